@@ -1,11 +1,17 @@
 """Repeated passages by winnowed anchors, at the grain of words (substring dedup) or lines (line dedup).
 
 A window is `length` consecutive items (words or lines) of one document. Winnowing takes from every window the item gram with
-the smallest hash as its anchor: equal windows have equal anchors, so a passage that repeats always shares one. Documents are
-joined on their anchors; an anchor that two documents share is a seed, and it is extended both ways to all windows that it
-stands for. A window's first document is the smallest id that has it; in later documents the window is removed, and runs of
-overlapping windows make up the maximal repeats. Counting is by minimum and maximum for each key, combined before the shuffle:
-no group of copies is gathered or expanded into pairs. Window hashes have 64 bits.
+the smallest hash as its anchor: equal windows have equal anchors, so a passage that repeats always shares one. The seed at an
+anchor is extended both ways to its extent: all consecutive windows that the anchor stands for. Documents are joined on seeds:
+
+1. Anchor and extent hashes, with the smallest and largest id that has them, combined in each task before the shuffle. An extent
+   found again in a larger id is a repeat there as a whole: most copied text is settled so, by one row for many windows.
+2. Where one anchor has several extents (the ends of passages), each extent's first document gives its single windows, and the
+   smallest id of each window settles the rest. The first documents suffice: the smallest id that has a window is also the
+   smallest that has the extent around it.
+
+Runs of overlapping repeated windows make up the maximal repeats, which are removed. No group of copies is gathered or expanded
+into pairs. Hashes have 64 bits.
 
 Edge cases: a null text counts as empty; null ids count as one id larger than all others; rows that repeat a doc_id are never
 removed because of each other; a document shorter than a window keeps everything; an empty table gives an empty result.
@@ -13,14 +19,15 @@ removed because of each other; a document shorter than a window keeps everything
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgraph.llm.text import Texts, U, grams, inside, owners, scan, signed, space_table
+from voxelgraph.llm.text import Powers, Texts, U, grams, inside, mix, owners, scan, signed, slices, space_table
+from voxelgraph.storage import durable
 
 LAST = (1 << 63) - 1
 
@@ -33,17 +40,27 @@ def line_items(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.lines()
 
 
-def windows(h: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """at: where each window inside one text begins; its hash; the hash of its anchor (rightmost smallest of its grams)."""
+def windows(h: np.ndarray, first: np.ndarray, length: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window inside one text: where it begins, its hash, its anchor (the smallest hash of its grams), its extent's hash."""
     at = np.flatnonzero(inside(first, length))
     if not len(at):
-        return at, np.zeros(0, U), np.zeros(0, U)
+        return at, *[np.zeros(0, U)] * 3
     g = grams(h, gram, seed=11)
     n = len(h) - length + 1
     low = g[:n].copy()
     for j in range(1, length - gram + 1):
         np.minimum(low, g[j : j + n], out=low)
-    return at, grams(h, length, seed=23)[at], low[at]
+    low, own = low[at], owners(first)[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (low[1:] != low[:-1]) | (own[1:] != own[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at)))
+    start, end = at[begin], at[begin] + size + length - 1
+    up, down = powers.upto(len(h) + 1)
+    prefix = np.zeros(len(h) + 1, U)
+    np.cumsum(h * up[: len(h)], out=prefix[1:])
+    extent = mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    return at, grams(h, length, seed=23)[at], low, np.repeat(extent, size)
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -51,37 +68,85 @@ def _keyed(docs: DataFrame, id_col: str, text: str, carry: tuple[str, ...] = ())
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_rid"), F.col(text).cast("string").alias("text"), *more)
 
 
-def _anchors(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
+def _runs(at: np.ndarray, low: np.ndarray, extent: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Index of the first window of each extent."""
+    new = np.ones(len(at), bool)
+    new[1:] = (extent[1:] != extent[:-1]) | (own[1:] != own[:-1])
+    return np.flatnonzero(new)
+
+
+def _salted(h: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Hashes told apart by the text they are of."""
+    return h ^ (who.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def _listed(part: pa.RecordBatch, column: str) -> np.ndarray:
+    """Salted members of a list column, for membership tests of hashes salted by their text."""
+    lists = part.column(column)
+    per = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    return _salted(np.asarray(lists.flatten(), np.int64).view(U), np.repeat(np.arange(len(per)), per))
+
+
+def _seeds(rows: DataFrame, items: Callable, length: int, gram: int, hold: int = 1_000_000) -> DataFrame:
+    """g, x, low, high: anchors and extents with the smallest and largest id, combined over up to `hold` rows of a task."""
+    schema = pa.schema([(c, pa.int64()) for c in ("g", "x", "low", "high")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, held, n = Powers(), [], 0
+
+        def combined() -> pa.RecordBatch:
+            g, x, rid = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(x, kind="stable")
+            g, x, rid = g[order], x[order], rid[order]
+            begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            columns = (signed(g[begin]), signed(x[begin]), np.minimum.reduceat(rid, begin), np.maximum.reduceat(rid, begin))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                t = Texts(part.column("text"), powers)
+                start, end, first = items(t)
+                at, _, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
+                own = owners(first)[at]
+                run = _runs(at, low, extent, own)
+                if len(run):
+                    held.append((low[run], extent[run], np.asarray(part.column("_rid"), np.int64)[own[run]]))
+                    n += len(run)
+                if n > hold:
+                    yield combined()
+                    held, n = [], 0
+        if n:
+            yield combined()
+
+    return rows.mapInArrow(run, "g long, x long, low long, high long")
+
+
+def _extents(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
+    """x, rid for every extent of every document."""
+
     def make():
         def work(part, t):
             start, end, first = items(t)
-            at, _, low = windows(t.hashes(start, end), first, length, gram)
+            at, _, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
             own = owners(first)[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (low[1:] != low[:-1]) | (own[1:] != own[:-1])
-            rid = np.asarray(part.column("_rid"), np.int64)
-            return signed(low[new]), rid[own[new]]
+            run = _runs(at, low, extent, own)
+            return signed(extent[run]), np.asarray(part.column("_rid"), np.int64)[own[run]]
 
         return work
 
-    return scan(rows, make, "g long, rid long")
+    return scan(rows, make, "x long, rid long")
 
 
-def _seeded(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """w, rid: the windows that a document's seeds (column _seeds) stand for."""
+def _singles(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
+    """w, rid: the windows of those extents of a document that column _open lists."""
 
     def make():
         def work(part, t):
             start, end, first = items(t)
-            at, whole, low = windows(t.hashes(start, end), first, length, gram)
+            at, whole, _, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
             own = owners(first)[at]
-            seeds = part.column("_seeds")
-            flat, per = np.asarray(seeds.flatten(), np.int64).view(U), np.asarray(seeds.value_lengths(), np.int64)
-            # A seed counts in its own text only.
-            salt = lambda x, who: x ^ (who.astype(U) * U(0x9E3779B97F4A7C15))
-            hit = np.isin(salt(low, own), salt(flat, np.repeat(np.arange(t.n), per)))
-            rid = np.asarray(part.column("_rid"), np.int64)
-            return signed(whole[hit]), rid[own[hit]]
+            hit = np.isin(_salted(extent, own), _listed(part, "_open"))
+            return signed(whole[hit]), np.asarray(part.column("_rid"), np.int64)[own[hit]]
 
         return work
 
@@ -89,14 +154,17 @@ def _seeded(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFra
 
 
 def later_windows(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """rid, _gone: for each document, the hashes of its windows that also begin in a document with a smaller id."""
-    anchors = _anchors(rows, items, length, gram)
-    shared = anchors.groupBy("g").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("g")
-    seeds = anchors.join(shared, "g", "left_semi").groupBy("rid").agg(F.collect_set("g").alias("_seeds"))
-    seeded = rows.join(seeds, rows._rid == seeds.rid).select("_rid", "text", "_seeds")
-    found = _seeded(seeded, items, length, gram)
-    lowest = found.groupBy("w").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("w", "low")
-    return found.join(lowest, "w").where("rid > low").groupBy("rid").agg(F.collect_set("w").alias("_gone"))
+    """rid, _gone: for each document, the hashes of its extents and single windows that begin in a document with a smaller id too."""
+    seeds = _seeds(rows, items, length, gram).repartition("g").groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    each = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
+    shared = durable(seeds.join(each, "g").select("x", "low", "high", "n"))
+    whole = shared.where("low < high").select("x", "low")
+    later = _extents(rows, items, length, gram).join(whole, "x").where("rid > low").select("rid", F.col("x").alias("h"))
+    several = shared.where("n > 1").groupBy("low").agg(F.collect_set("x").alias("_open"))
+    singles = _singles(rows.join(several, rows._rid == several.low).select("_rid", "text", "_open"), items, length, gram)
+    lowest = singles.groupBy("w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("w", "a")
+    single = singles.join(lowest, "w").where("rid > a").select("rid", F.col("w").alias("h"))
+    return later.unionByName(single).groupBy("rid").agg(F.collect_set("h").alias("_gone"))
 
 
 def covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -110,13 +178,10 @@ def covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
 def _marked(part: pa.RecordBatch, t: Texts, items: Callable, length: int, gram: int, within: bool) -> tuple:
     """Items of each text and which of them go. within: windows that began earlier in the same text go too."""
     start, end, first = items(t)
-    at, whole, _ = windows(t.hashes(start, end), first, length, gram)
-    own = owners(first)[at]
-    gone = part.column("_gone")
-    flat, per = np.asarray(gone.flatten(), np.int64).view(U), np.asarray(gone.value_lengths().fill_null(0), np.int64)
-    salt = lambda x, who: x ^ (who.astype(U) * U(0x9E3779B97F4A7C15))
-    key = salt(whole, own)
-    hit = np.isin(key, salt(flat, np.repeat(np.arange(t.n), per)))
+    at, whole, _, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
+    own, gone = owners(first)[at], _listed(part, "_gone")
+    key = _salted(whole, own)
+    hit = np.isin(key, gone) | np.isin(_salted(extent, own), gone)
     if within and len(key):
         order = np.argsort(key, kind="stable")
         same = np.zeros(len(key), bool)
