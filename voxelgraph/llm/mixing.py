@@ -1,14 +1,15 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
 1. A labelled table (doc_id, domain) teaches a multinomial naive Bayes classifier over hashed words, from at most PER_CLASS
-   documents of each domain; its log-likelihoods (BUCKETS rows at most: that bounds the broadcast) give every document a
-   posterior over domains, tempered for length so that long texts don't saturate.
+   documents of each domain; its log-likelihoods (BUCKETS rows at most: that bounds the broadcast) give every document evidence
+   for each domain, tempered for length, which a small softmax, fitted on labels held back, turns into a posterior.
 2. Every document gets a rate in 0..max_rate. Expected domain totals T_k = sum of rate x tokens x posterior_k should equal
    weight_k x total; the squared misses (each divided by its domain's scale) are minimised by projected gradient steps
    r <- clip(r - g . p), g from the misses of the step before. Each step is one distributed sum of K numbers; the rates are a
    column expression over the posteriors, written every ten steps.
 
-total None: the largest total for which no domain needs more than max_rate times what it has.
+total None: SLACK below the largest total for which no domain needs more than max_rate times what it has; without slack every
+document with some of the scarcest domain would have to stay whole, whatever else it holds.
 
 Edge cases: a null or empty text has no tokens, the prior as posterior, and the rate that follows; null ids are mixed like
 others; null domains aren't learned; domains without a target have weight 0; without any label every document gets the same rate; an
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from voxelgraph.llm.training import sample_ids
 from voxelgraph.storage import durable
 
-BUCKETS, PER_CLASS, TEMPER = 1 << 15, 2000, 50.0
+BUCKETS, PER_CLASS, TEMPER, LEAST, MARGIN, MOST_DOMAINS, SLACK = 1 << 18, 3000, 100.0, 4, 1.0, 32, 0.04
 
 
 def words(text: Column) -> Column:
@@ -37,43 +38,97 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
-def likelihoods(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS, buckets: int = BUCKETS, most_domains: int = 32) -> tuple[list, DataFrame, np.ndarray]:
-    """The domains; bucket, ll (log-likelihood of each domain less that of a bucket never seen); log priors. Each document counts a word once."""
-    ids = sample_ids(labelled.select("doc_id", F.col("domain").alias("label")), per_class, most_domains)
+def likelihoods(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, least: int = LEAST, margin: float = MARGIN) -> tuple[list, DataFrame]:
+    """The domains; bucket, ll: how far each domain's log-likelihood (add-half smoothing) is below the best, less the margin. ids: a bounded
+    table of doc_id, label. A document counts a word once; buckets of fewer than `least` documents say nothing and are left out."""
     known = docs.join(F.broadcast(ids), docs.doc_id == ids.doc_id).select("label", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    counts = known.groupBy(_bucket(F.col("word"), buckets).alias("bucket"), "label").agg(F.count(F.lit(1)).alias("n"))
-    counts = durable(counts)
-    total = {r.label: r.n for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    share = {r.label: r["count"] for r in labelled.where("domain is not null").groupBy("domain").count().withColumnRenamed("domain", "label").collect()}
-    domains = sorted(total)
-    each = counts.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("label") == d, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]) if domains else counts.select("bucket").limit(0)
-    # Add-half smoothing; a bucket never seen adds the same to every domain but for the totals, taken out here.
-    ll = F.array(*[F.log((F.col(f"n{k}") + 0.5) / 0.5) for k in range(len(domains))]) if domains else F.array().cast("array<double>")
-    prior = np.log(np.array([share[d] for d in domains], float) / max(1, sum(share[d] for d in domains))) if domains else np.zeros(0)
-    offset = np.array([np.log(total[d] + 0.5 * buckets) for d in domains])
-    return domains, each.select("bucket", ll.alias("ll")), np.stack([prior, offset]) if domains else np.zeros((2, 0))
-
-
-def posteriors(docs: DataFrame, domains: list, model: DataFrame, prior: np.ndarray, buckets: int = BUCKETS, temper: float = TEMPER) -> DataFrame:
-    """doc_id, tokens (words), p (an array with the posterior of each domain), for every row, with _row to tell rows apart."""
+    counts = durable(known.groupBy(_bucket(F.col("word"), buckets).alias("bucket"), "label").agg(F.count(F.lit(1)).alias("n")))
+    domains = sorted(r.label for r in counts.select("label").distinct().collect())
+    if not domains:
+        return domains, counts.select("bucket", F.array().cast("array<double>").alias("ll"))
+    n_of = [f"n{k}" for k in range(len(domains))]
+    each = counts.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("label") == d, F.col("n"))), F.lit(0)).alias(c) for d, c in zip(domains, n_of)])
+    each = durable(each.where(" + ".join(n_of) + f" >= {least}"))
+    n, *known = each.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in n_of]).first()
+    # Small differences between domains come from topic or language and add up over long texts: only what is beyond the margin counts.
+    raw = [F.log((F.col(c) + 0.5) / F.lit(float(t + 0.5 * max(n, 1)))) for c, t in zip(n_of, known)]
+    top = F.greatest(*raw) if len(raw) > 1 else raw[0]
+    return domains, each.select("bucket", F.array(*[F.least(F.lit(0.0), x - top + margin) for x in raw]).alias("ll"))
+
+
+def evidence(docs: DataFrame, domains: list, model: DataFrame, buckets: int = BUCKETS, temper: float = TEMPER) -> DataFrame:
+    """doc_id, tokens (words), s (summed log-likelihoods of each domain, tempered) for every row."""
     k = len(domains)
     split = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), F.size(words(F.col("text"))).cast("long").alias("tokens"), F.array_distinct(words(F.col("text"))).alias("_words"))
     if not k:
-        return split.select("doc_id", "tokens", F.array().cast("array<double>").alias("p"))
+        return split.select("doc_id", "tokens", F.array().cast("array<double>").alias("s"))
     one = split.select("doc_id", "_row", "tokens", F.posexplode_outer("_words").alias("_at", "_word"))
     one = one.withColumn("bucket", _bucket(F.col("_word"), buckets)).join(F.broadcast(model), "bucket", "left")
     sums = [F.coalesce(F.sum(F.col("ll")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
-    n = F.count("_word")
-    # Copies of a row are summed together and counted once each: _copies.
-    per = one.groupBy("doc_id", "_row", "tokens").agg(*sums, n.alias("_n"), F.sum(F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, 1).otherwise(0)).alias("_copies"))
-    copies, distinct = F.col("_copies"), F.col("_n") / F.col("_copies")
-    power = F.lit(temper) / F.greatest(F.lit(temper), distinct)
-    logit = [F.lit(float(prior[0, i])) + power * (F.col(f"s{i}") / copies - distinct * float(prior[1, i])) for i in range(k)]
+    # Copies of a row are summed together and told apart again by their number.
+    copies = F.sum(F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, 1).otherwise(0)).alias("_copies")
+    per = one.groupBy("doc_id", "_row", "tokens").agg(*sums, F.count("ll").alias("_n"), copies)
+    power = F.lit(temper) / F.greatest(F.lit(temper), F.col("_n") / F.col("_copies")) / F.col("_copies")
+    out = per.select("doc_id", "tokens", "_copies", F.array(*[power * F.col(f"s{i}") for i in range(k)]).alias("s"))
+    return out.select("doc_id", "tokens", "s", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
+def calibrated(s: np.ndarray, own: np.ndarray, share: np.ndarray, steps: int = 400) -> np.ndarray:
+    """(K, K + 1) weights and biases of a softmax over the evidence, from labelled rows that the likelihoods haven't seen, each domain
+    weighing as its share of all labels."""
+    k = len(share)
+    scale = max(float(np.abs(s).mean()), 1e-9) if s.size else 1.0
+    x = np.column_stack([s / scale, np.ones(len(s))])
+    w = np.column_stack([np.eye(k) * scale, np.log(np.maximum(share, 1e-9))])
+    count = np.bincount(own, minlength=k)
+    if (count == 0).any():
+        return np.column_stack([w[:, :k] / scale, w[:, k]])
+    weight = (share / count)[own]
+    weight = weight / weight.sum()
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        z = x @ w.T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(own)), own] -= 1
+        g = (p * weight[:, None]).T @ x + 1e-4 * w
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+    return np.column_stack([w[:, :k] / scale, w[:, k]])
+
+
+def posteriors(found: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id, tokens, p (the posterior of each domain). found: what evidence() gives."""
+    k = len(weights)
+    if not k:
+        return found.select("doc_id", "tokens", F.col("s").alias("p"))
+    logit = []
+    for row in weights:
+        z = F.lit(float(row[k]))
+        for j in range(k):
+            z = z + F.lit(float(row[j])) * F.col("s")[j]
+        logit.append(z)
     top = F.greatest(*logit) if k > 1 else logit[0]
-    raw = per.select("doc_id", "tokens", "_copies", F.array(*[F.exp(x - top) for x in logit]).alias("_e"))
+    raw = found.select("doc_id", "tokens", F.array(*[F.exp(x - top) for x in logit]).alias("_e"))
     total = F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)
-    out = raw.select("doc_id", "tokens", "_copies", F.transform("_e", lambda x: x / total).alias("p"))
-    return out.select("doc_id", "tokens", "p", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    return raw.select("doc_id", "tokens", F.transform("_e", lambda x: x / total).alias("p"))
+
+
+def memberships(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[list, DataFrame]:
+    """The domains, and doc_id, tokens, p for every row. Half of the sampled labels teach the likelihoods, the other half calibrates."""
+    ids = durable(sample_ids(labelled.select("doc_id", F.col("domain").alias("label")), per_class, MOST_DOMAINS))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    domains, model = likelihoods(docs, ids.where(half == 0))
+    if not domains:
+        return [], posteriors(evidence(docs, domains, model), np.zeros((0, 1)))
+    share = {r.domain: r["count"] for r in labelled.where("domain is not null").groupBy("domain").count().collect()}
+    share = np.array([share[d] for d in domains], float)
+    rest = ids.where(half == 1).where(F.col("label").isin(domains))
+    rows = docs.join(F.broadcast(rest.select("doc_id")), "doc_id", "left_semi")
+    seen = evidence(rows, domains, model).join(F.broadcast(rest), "doc_id").select("label", "s").collect()
+    s = np.array([r.s for r in seen], float).reshape(len(seen), len(domains))
+    weights = calibrated(s, np.array([domains.index(r.label) for r in seen], int), share / share.sum())
+    return domains, posteriors(evidence(docs, domains, model), weights)
 
 
 @dataclass
@@ -85,7 +140,7 @@ class Mix:
     rates: DataFrame = field(repr=False)
 
 
-def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | None = None, max_rate: float = 1.0, steps: int = 50, close: float = 1e-3) -> Mix:
+def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | None = None, max_rate: float = 1.0, steps: int = 60, close: float = 1e-3, slack: float = SLACK) -> Mix:
     """Rates for members (doc_id, tokens, p). members should be a written table: it is read once a step."""
     k = len(domains)
     if not k:
@@ -96,7 +151,7 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
     w = np.array([float(weights.get(d, 0)) for d in domains])
     w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
     need = w > 0
-    total = float(total) if total is not None else float((max_rate * have[need] / w[need]).min())
+    total = float(total) if total is not None else float((1 - slack) * (max_rate * have[need] / w[need]).min())
     target = w * total
     rate: Column = F.lit(float(min(max_rate, total / have.sum()) if have.sum() else 0.0))
     moment = members.agg(*[F.sum(tokens * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
@@ -111,7 +166,7 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
         best = np.array([x or 0.0 for x in members.agg(*[F.sum(rate * tokens * x) for x in p]).first()])
         e = best - target
         size = float(np.linalg.norm(e / scale))
-        if np.abs(e).max() <= close * total or size > 0.995 * last or done == steps:
+        if np.abs(e).max() <= close * total or size > 0.999 * last or done == steps:
             break
         last, g = size, e / scale**2 / reach
         step = rate
@@ -134,8 +189,8 @@ def taken(rate: Column, *key: Column) -> Column:
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict, id_col: str = "doc_id", text: str = "text", total: float | None = None, max_rate: float = 1.0, per_class: int = PER_CLASS) -> Mix:
     """rates: doc_id, tokens, p, rate, n_taken for every row. labelled: doc_id, domain; weights: domain -> share of the tokens."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    domains, model, prior = likelihoods(rows, labelled, per_class)
-    members = durable(posteriors(rows, domains, model, prior))
+    domains, found = memberships(rows, labelled, per_class)
+    members = durable(found)
     mix = fit_rates(members, domains, weights, total, max_rate)
     mix.rates = mix.rates.withColumn("n_taken", taken(F.col("rate"), F.col("doc_id")))
     return mix

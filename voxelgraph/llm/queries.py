@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelgraph.llm import exact_dedup, language, mixing, packing, quality, repeats, rules, simhash, toxicity
 
 #: Target shares of the mixture.
-WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+WEIGHTS = {"clean": 0.94, "low": 0.03, "toxic": 0.03}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
