@@ -2,7 +2,9 @@
 
 Terms are lower-cased words and the first four and five bytes of longer words (so inflected insults share a term), present or not.
 score = sigmoid(bias + sum of weights + sum over pairs of terms of the inner product of their factors): the pairs catch what
-single words don't, such as an insult beside a mention of a group. Terms of fewer than MIN_DOCS training texts weigh nothing.
+single words don't, such as an insult beside a mention of a group. Terms of fewer than
+MIN_DOCS training texts, or whose presence says too little about the label there (chi-square below LEAST_CHI, one in a hundred by
+chance), weigh nothing.
 
 Trained with numpy (AdaGrad) on a bounded sample of labelled rows; the model (buckets x (1 + factors) floats) is broadcast.
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from voxelgraph.llm.text import Powers, Texts, U, mix, not_alnum_table, owners, scan
 from voxelgraph.llm.training import fold, sample_ids, sample_texts
 
-BUCKETS, FACTORS, MIN_DOCS, PER_CLASS = 1 << 20, 4, 4, 4000
+BUCKETS, FACTORS, MIN_DOCS, LEAST_CHI, PER_CLASS = 1 << 20, 4, 4, 6.63, 4000
 
 
 def terms(t: Texts, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +43,13 @@ def terms(t: Texts, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     return key % buckets, key // buckets
 
 
+def chi_square(seen: np.ndarray, toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Of each term's presence and the label."""
+    expected = seen * positive / n
+    variance = seen * (1 - seen / n) * (positive / n) * (1 - positive / n)
+    return np.where(variance > 0, (toxic - expected) ** 2 / np.maximum(variance, 1e-12), 0)
+
+
 @dataclass
 class FactorizationMachine:
     bias: float
@@ -57,7 +66,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, factors: int = FACTORS, min_docs: int = MIN_DOCS, epochs: int = 6, rate: float = 0.15, decay: float = 2e-4, seed: int = 5) -> FactorizationMachine:
+def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, factors: int = FACTORS, min_docs: int = MIN_DOCS, least_chi: float = LEAST_CHI, epochs: int = 12, rate: float = 0.15, decay: float = 2e-4, seed: int = 5) -> FactorizationMachine:
     y = np.asarray(labels, float)
     weight, factor = np.zeros(buckets, np.float32), np.zeros((buckets, factors), np.float32)
     if not len(y) or y.min() == y.max():
@@ -68,12 +77,14 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, factors:
         term, own = terms(Texts(pa.array(texts[at : at + per], pa.large_string()), powers), buckets)
         cut = np.searchsorted(own, np.arange(len(texts[at : at + per]) + 1))
         bags += [term[a:b] for a, b in zip(cut, cut[1:])]
-    often = np.bincount(np.concatenate(bags), minlength=buckets) >= min_docs
+    seen = np.bincount(np.concatenate(bags), minlength=buckets)
+    toxic = np.bincount(np.concatenate([b for b, v in zip(bags, y) if v > 0]), minlength=buckets)
+    often = (seen >= min_docs) & (chi_square(seen, toxic, len(y), y.sum()) >= least_chi)
     bags = [b[often[b]] for b in bags]
     rng = np.random.default_rng(seed)
     used = np.flatnonzero(often)
     factor[used] = rng.normal(0, 0.01, (len(used), factors))
-    weight[used] = 1e-9
+    weight[used] = 1e-9  # not zero: used
     gw, gv, gb, bias = np.full(buckets, 1e-2, np.float32), np.full((buckets, factors), 1e-2, np.float32), 1e-2, 0.0
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(epochs):
