@@ -1,7 +1,9 @@
 """Sum-of-squares bin packing of token sequences.
 
 Documents are tokenised inside tasks, cut only where longer than a sequence (the first piece takes the remainder), and packed:
-each piece goes where the sum of the squared counts of open sequences per residual gap becomes smallest, longest pieces first.
+each piece goes to the open sequence after which the sum of the squared counts of open sequences per residual gap is smallest,
+longest pieces first. A new sequence is opened only where no open one has room: letting the sum decide that too, as for an online
+stream, cost 1.2 % more sequences on 25,000 documents.
 Pieces are dealt over shards of about SHARD pieces by hash; each shard is packed on its own with state bounded by its size, so
 the pieces of all documents are packed in parallel and at most a few sequences of each shard stay open.
 
@@ -78,13 +80,10 @@ class SumOfSquares:
     def place(self, length: int) -> tuple[int, int]:
         gaps = self.count[length:]  # index i: gap length + i, which becomes gap i
         there = np.flatnonzero(gaps)
-        left = self.size - length
-        best, where = (2 * self.count[left] + 1 if left else 0), None
+        where = None
         if len(there):
-            after = np.where(there > 0, 2 * self.count[there] + 1, 0) - 2 * gaps[there] + 1
-            k = int(np.argmin(after))  # the smallest gap among equals
-            if after[k] <= best:
-                where = int(there[k])
+            after = np.where(there > 0, 2 * self.count[there] + 1, 0) - 2 * gaps[there]
+            where = int(there[int(np.argmin(after))])  # the smallest gap among equals
         if where is None:
             number, gap, self.made = self.made, self.size, self.made + 1
         else:
