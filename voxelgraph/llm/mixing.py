@@ -5,8 +5,8 @@
    for each domain, tempered for length, which a small softmax, fitted on labels held back, turns into a posterior.
 2. Every document gets a rate in 0..max_rate. Expected domain totals T_k = sum of rate x tokens x posterior_k should equal
    weight_k x total; the squared misses (each divided by its domain's scale) are minimised by projected gradient steps
-   r <- clip(r - g . p), g from the misses of the step before. Each step is one distributed sum of K numbers; the rates are a
-   column expression over the posteriors, written every ten steps.
+   r <- clip(r - g . p), g from the misses of the step before. A step is one or two distributed sums of K and K x K numbers; the
+   rates are a column expression over the posteriors, written every ten steps.
 
 total None: SLACK below the largest total for which no domain needs more than max_rate times what it has; without slack every
 document with some of the scarcest domain would have to stay whole, whatever else it holds.
@@ -161,18 +161,38 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
     # Misses are weighed by 1 / scale, so that small domains converge as fast as large ones; 1 / reach is then a safe step.
     scale = np.sqrt(np.maximum(np.diag(m), 1e-9))
     reach = max(np.linalg.eigvalsh(m / np.outer(scale, scale)).max(), 1e-9)
-    done, last, best = 0, np.inf, np.zeros(k)
-    for done in range(steps + 1):
-        best = np.array([x or 0.0 for x in members.agg(*[F.sum(rate * tokens * x) for x in p]).first()])
+
+    def measured(r: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals, and second moments of the documents that are not held at a bound."""
+        free = F.when((F.col("_r") > 0) & (F.col("_r") < max_rate), tokens).otherwise(0.0)
+        sums = [F.sum(F.col("_r") * tokens * x) for x in p] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
+        got = np.array([x or 0.0 for x in members.withColumn("_r", r).agg(*sums).first()])
+        f = np.zeros((k, k))
+        f[np.triu_indices(k)] = got[k:]
+        return got[:k], f + np.triu(f, 1).T
+
+    def moved(r: Column, g: np.ndarray) -> Column:
+        for x, y in zip(g, p):
+            r = r - F.lit(float(x)) * y
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r))
+
+    best, free = measured(rate)
+    done = 0
+    for done in range(1, steps + 1):
         e = best - target
         size = float(np.linalg.norm(e / scale))
-        if np.abs(e).max() <= close * total or size > 0.999 * last or done == steps:
+        if np.abs(e).max() <= close * total:
             break
-        last, g = size, e / scale**2 / reach
-        step = rate
-        for x, y in zip(g, p):
-            step = step - F.lit(float(x)) * y
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), step))
+        # First the gradient scaled by the free documents' moments; where the bounds spoil that, the plain scaled step.
+        for g in (np.linalg.lstsq(free + 1e-6 * np.diag(scale**2), e, rcond=None)[0], e / scale**2 / reach):
+            tried = moved(rate, g)
+            now, f = measured(tried)
+            after = float(np.linalg.norm((now - target) / scale))
+            if after < 0.9 * size:
+                break
+        if after >= 0.999 * size:
+            break
+        rate, best, free = tried, now, f
         if done % 10 == 9:  # the expression has grown long: write the rates
             members = durable(members.withColumn("_rate", rate).select("doc_id", "tokens", "p", F.col("_rate").alias("rate")))
             rate = F.col("rate")
