@@ -6,10 +6,13 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelgraph.functions.series import lists
+
 VOXELS = "subject_id int, voxel_id long, i int, j int, k int, series array<double>"
 ATLAS = "i int, j int, k int, roi int"
 DATA_KEYS, COORD_KEYS = ("data", "arr_0"), ("voxel_coord", "coords", "arr_0")
@@ -35,9 +38,8 @@ def from_arrays(spark: SparkSession, data: np.ndarray, coord: np.ndarray) -> Dat
     if coord.shape[1] < 3:
         raise ValueError("three coordinates are needed")
     s, v, _ = data.shape
-    pdf = pd.DataFrame({"subject_id": np.repeat(np.arange(s), v).astype("int32"), "voxel_id": np.tile(np.arange(v), s)} | {n: np.tile(coord[:, c].astype("int32"), s) for c, n in enumerate("ijk")})
-    pdf["series"] = list(data.reshape(s * v, -1))
-    return spark.createDataFrame(pdf, VOXELS)
+    columns = {"subject_id": np.repeat(np.arange(s), v).astype("int32"), "voxel_id": np.tile(np.arange(v), s)} | {n: np.tile(coord[:, c].astype("int32"), s) for c, n in enumerate("ijk")}
+    return spark.createDataFrame(pa.table(columns | {"series": lists(data.reshape(s * v, -1))}), VOXELS)
 
 
 def read_numpy(spark: SparkSession, data_path: str, coord_path: str) -> DataFrame:
