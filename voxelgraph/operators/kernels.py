@@ -148,8 +148,11 @@ def edge_srvf(voxels: DataFrame, edges: DataFrame, smooth: bool = False, eps: fl
 
 def dtw_rms(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each row pair: root mean square difference along the symmetric2 warp (a diagonal step counts its cost twice). All pairs
-    of a batch advance together, cell by cell."""
+    of a batch advance together, cell by cell; a batch is cut so that its tables hold four million cells at most, or one pair."""
     n, t, s = len(a), a.shape[1], b.shape[1]
+    most = max(1, 4_000_000 // max(1, t * s))
+    if n > most:
+        return np.concatenate([dtw_rms(a[at : at + most], b[at : at + most]) for at in range(0, n, most)])
     cost = np.abs(a[:, :, None] - b[:, None, :])
     best, came = np.full((n, t, s), np.inf), np.zeros((n, t, s), np.int8)
     best[:, 0, 0] = cost[:, 0, 0]
