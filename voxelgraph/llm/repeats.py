@@ -11,7 +11,8 @@ anchor is extended both ways to its extent: all consecutive windows that the anc
    smallest that has the extent around it.
 
 Runs of overlapping repeated windows make up the maximal repeats, which are removed. No group of copies is gathered or expanded
-into pairs. Hashes have 64 bits.
+into pairs. Extents and windows are equal if two 64-bit hashes agree, their own and their anchor's: a false match needs different
+text around one anchor with one hash.
 
 Edge cases: a null text counts as empty; null ids count as one id larger than all others; rows that repeat a doc_id are never
 removed because of each other; a document shorter than a window keeps everything; an empty table gives an empty result.
@@ -122,7 +123,7 @@ def _seeds(rows: DataFrame, items: Callable, length: int, gram: int, hold: int =
 
 
 def _extents(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """x, rid for every extent of every document."""
+    """g, x, rid for every extent of every document."""
 
     def make():
         def work(part, t):
@@ -130,40 +131,41 @@ def _extents(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFr
             at, _, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
             own = owners(first)[at]
             run = _runs(at, low, extent, own)
-            return signed(extent[run]), np.asarray(part.column("_rid"), np.int64)[own[run]]
+            return signed(low[run]), signed(extent[run]), np.asarray(part.column("_rid"), np.int64)[own[run]]
 
         return work
 
-    return scan(rows, make, "x long, rid long")
+    return scan(rows, make, "g long, x long, rid long")
 
 
 def _singles(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """w, rid: the windows of those extents of a document that column _open lists."""
+    """g, w, rid: anchors and windows of those extents of a document that column _open lists."""
 
     def make():
         def work(part, t):
             start, end, first = items(t)
-            at, whole, _, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
+            at, whole, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
             own = owners(first)[at]
             hit = np.isin(_salted(extent, own), _listed(part, "_open"))
-            return signed(whole[hit]), np.asarray(part.column("_rid"), np.int64)[own[hit]]
+            return signed(low[hit]), signed(whole[hit]), np.asarray(part.column("_rid"), np.int64)[own[hit]]
 
         return work
 
-    return scan(rows, make, "w long, rid long")
+    return scan(rows, make, "g long, w long, rid long")
 
 
 def later_windows(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
     """rid, _gone: for each document, the hashes of its extents and single windows that begin in a document with a smaller id too."""
-    seeds = _seeds(rows, items, length, gram).repartition("g").groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    seeds = _seeds(rows, items, length, gram).groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Extents are dealt by both hashes: an anchor as common as a blank line has many. Its totals are combined before they move.
     each = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
-    shared = durable(seeds.join(each, "g").select("x", "low", "high", "n"))
-    whole = shared.where("low < high").select("x", "low")
-    later = _extents(rows, items, length, gram).join(whole, "x").where("rid > low").select("rid", F.col("x").alias("h"))
+    shared = durable(seeds.join(each, "g").select("g", "x", "low", "high", "n"))
+    whole = shared.where("low < high").select("g", "x", "low")
+    later = _extents(rows, items, length, gram).join(whole, ["g", "x"]).where("rid > low").select("rid", F.col("x").alias("h"))
     several = shared.where("n > 1").groupBy("low").agg(F.collect_set("x").alias("_open"))
     singles = _singles(rows.join(several, rows._rid == several.low).select("_rid", "text", "_open"), items, length, gram)
-    lowest = singles.groupBy("w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("w", "a")
-    single = singles.join(lowest, "w").where("rid > a").select("rid", F.col("w").alias("h"))
+    lowest = singles.groupBy("g", "w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("g", "w", "a")
+    single = singles.join(lowest, ["g", "w"]).where("rid > a").select("rid", F.col("w").alias("h"))
     return later.unionByName(single).groupBy("rid").agg(F.collect_set("h").alias("_gone"))
 
 
