@@ -32,6 +32,9 @@ from voxelgraph.storage import durable
 
 LAST = (1 << 63) - 1
 
+#: A key with more than 1 / HOT of the rows that repeat is joined by broadcast: fewer than HOT keys can be so frequent.
+HOT = 1000
+
 
 def word_items(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.words(space_table())
@@ -89,8 +92,8 @@ def _listed(part: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _seeds(rows: DataFrame, items: Callable, length: int, gram: int, hold: int = 1_000_000) -> DataFrame:
-    """g, x, low, high: anchors and extents with the smallest and largest id, combined over up to `hold` rows of a task."""
-    schema = pa.schema([(c, pa.int64()) for c in ("g", "x", "low", "high")])
+    """g, x, low, high, rows: anchors and extents with the smallest and largest id, combined over up to `hold` rows of a task."""
+    schema = pa.schema([(c, pa.int64()) for c in ("g", "x", "low", "high", "rows")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, n = Powers(), [], 0
@@ -100,7 +103,7 @@ def _seeds(rows: DataFrame, items: Callable, length: int, gram: int, hold: int =
             order = np.argsort(x, kind="stable")
             g, x, rid = g[order], x[order], rid[order]
             begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            columns = (signed(g[begin]), signed(x[begin]), np.minimum.reduceat(rid, begin), np.maximum.reduceat(rid, begin))
+            columns = (signed(g[begin]), signed(x[begin]), np.minimum.reduceat(rid, begin), np.maximum.reduceat(rid, begin), np.diff(np.append(begin, len(x))))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
         for batch in batches:
@@ -119,11 +122,11 @@ def _seeds(rows: DataFrame, items: Callable, length: int, gram: int, hold: int =
         if n:
             yield combined()
 
-    return rows.mapInArrow(run, "g long, x long, low long, high long")
+    return rows.mapInArrow(run, "g long, x long, low long, high long, rows long")
 
 
 def _extents(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """g, x, rid for every extent of every document."""
+    """g, h, rid for every extent of every document."""
 
     def make():
         def work(part, t):
@@ -135,11 +138,11 @@ def _extents(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFr
 
         return work
 
-    return scan(rows, make, "g long, x long, rid long")
+    return scan(rows, make, "g long, h long, rid long")
 
 
 def _singles(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """g, w, rid: anchors and windows of those extents of a document that column _open lists."""
+    """g, h, rid: anchors and windows of those extents of a document that column _open lists."""
 
     def make():
         def work(part, t):
@@ -151,21 +154,31 @@ def _singles(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFr
 
         return work
 
-    return scan(rows, make, "g long, w long, rid long")
+    return scan(rows, make, "g long, h long, rid long")
+
+
+def _beyond(found: DataFrame, first: DataFrame) -> DataFrame:
+    """rid, h for rows of found (g, h, rid) whose id is larger than their key's in first (g, h, low, rows; a written table). Rows of
+    hot keys are settled by broadcast and dealt out by id after that, so no common passage is gathered in one task."""
+    total = first.agg(F.sum("rows")).first()[0] or 0
+    hot = first.where(F.col("rows") > total / HOT).select("g", "h", F.col("low").alias("_hot"))
+    dealt = found.join(F.broadcast(hot), ["g", "h"], "left").where("_hot is null or rid > _hot")
+    dealt = dealt.withColumn("g", F.when(F.col("_hot").isNull(), F.col("g")).otherwise(F.xxhash64("rid", "h")))
+    return dealt.join(first.select("g", "h", "low"), ["g", "h"], "left").where(F.col("rid") > F.coalesce("_hot", "low")).select("rid", "h")
 
 
 def later_windows(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
     """rid, _gone: for each document, the hashes of its extents and single windows that begin in a document with a smaller id too."""
-    seeds = _seeds(rows, items, length, gram).groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    seeds = _seeds(rows, items, length, gram).groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))
     # Extents are dealt by both hashes: an anchor as common as a blank line has many. Its totals are combined before they move.
     each = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
-    shared = durable(seeds.join(each, "g").select("g", "x", "low", "high", "n"))
-    whole = shared.where("low < high").select("g", "x", "low")
-    later = _extents(rows, items, length, gram).join(whole, ["g", "x"]).where("rid > low").select("rid", F.col("x").alias("h"))
+    shared = durable(seeds.join(each, "g").select("g", "x", "low", "high", "rows", "n"))
+    whole = shared.where("low < high").select("g", F.col("x").alias("h"), "low", "rows")
+    later = _beyond(_extents(rows, items, length, gram), whole)
     several = shared.where("n > 1").groupBy("low").agg(F.collect_set("x").alias("_open"))
     singles = _singles(rows.join(several, rows._rid == several.low).select("_rid", "text", "_open"), items, length, gram)
-    lowest = singles.groupBy("g", "w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("g", "w", "a")
-    single = singles.join(lowest, ["g", "w"]).where("rid > a").select("rid", F.col("w").alias("h"))
+    lowest = singles.groupBy("g", "h").agg(F.min("rid").alias("low"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("rows")).where("low < b")
+    single = _beyond(singles, durable(lowest.select("g", "h", "low", "rows")))
     return later.unionByName(single).groupBy("rid").agg(F.collect_set("h").alias("_gone"))
 
 
