@@ -171,7 +171,7 @@ def later_windows(rows: DataFrame, items: Callable, length: int, gram: int) -> D
     """rid, _gone: for each document, the hashes of its extents and single windows that begin in a document with a smaller id too."""
     seeds = _seeds(rows, items, length, gram).groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))
     # Extents are dealt by both hashes: an anchor as common as a blank line has many. Its totals are combined before they move.
-    each = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
+    each = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b"), F.sum("rows").alias("m")).where("a < b and m > 1")  # with the columns of seeds, whose shuffle serves both
     shared = durable(seeds.join(each, "g").select("g", "x", "low", "high", "rows", "n"))
     whole = shared.where("low < high").select("g", F.col("x").alias("h"), "low", "rows")
     later = _beyond(_extents(rows, items, length, gram), whole)
