@@ -34,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    stay = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    """Of each group of documents with at least 0.8 of their five-word shingles in common, the document with the smallest id."""
+    stay = simhash.first_similar(docs).select(F.col("component_id").alias("_id"))
     return docs.join(stay, docs.doc_id.eqNullSafe(stay._id), "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 

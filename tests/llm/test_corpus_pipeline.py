@@ -1,5 +1,6 @@
 """The pipeline's stages, each against what its operator or brute force gives on the stage's own input."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -64,3 +65,43 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def brute_similar(rows, least=0.8):
+    """Ids that stay: the smallest of each group linked by the Jaccard similarity of five-word shingles."""
+    sets = []
+    for _, text in rows:
+        w = [x.lower() for x in WORD.findall(text)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)), key=lambda k: rows[k][0])
+                up[b] = a
+    return sorted({rows[top(i)][0] for i in range(len(rows))})
+
+
+def test_near_duplicate_stage_reaches_edited_copies(spark):
+    rng = random.Random(3)
+    rows = []
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 5, 12])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert got == brute_similar(rows)
+    groups = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert sorted(set(groups.values())) == got and len(groups) == len(rows)
+    two_bits = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(two_bits) > len(got)  # what a radius of two bits leaves

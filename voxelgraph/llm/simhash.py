@@ -9,11 +9,16 @@ them link and a star suffices; no link is lost and no group is expanded into its
 Edge cases: a null or empty text, or one without words, has fingerprint zero, which links like any other; null ids never
 become a component's id unless it has no other; repeated rows share a fingerprint; an empty table gives an empty result; other
 columns of the input are not read.
+
+similar_documents() takes fingerprints for candidates only, within a wide radius of bits, and links documents whose sets of word
+shingles have a Jaccard similarity of at least `least`, computed from the texts. bits // 2 + 1 segments guarantee one that differs by
+one bit at most. A short first round joins most of a group of copies by few pairs; the full round then takes every pair within the
+radius whose ends aren't joined yet, so no pair is left out and no group of copies is expanded into its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +26,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgraph.llm.components import components
-from voxelgraph.llm.text import U, scan, signed, space_table
+from voxelgraph.llm.text import Powers, Texts, U, mix, scan, signed, space_table
 from voxelgraph.storage import durable
 
 #: A variant with more fingerprints than this goes to the exact two-bit index: beyond it, pairs cost more than that index.
 FULL = 64
 
+LAST = (1 << 63) - 1
+
+
+def _shingles(t: Texts, digest: Callable, words: tuple[np.ndarray, np.ndarray, np.ndarray], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of every shingle, and how many each text has; a text of fewer words has one."""
+    start, end, first = words
+    size = end - start
+    raw = t.data.tobytes()
+    joined = b" ".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())])
+    begin = np.cumsum(size + 1) - size - 1
+    stop = begin + size
+    per = np.diff(first)
+    count = np.where(per >= shingle, per - shingle + 1, np.minimum(per, 1))
+    at = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    last = np.minimum(at + shingle, np.repeat(first[1:], count)) - 1
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(begin[at].tolist(), stop[last].tolist())), U, len(at)), count
+
+
+def _majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each text, the bits set in over half of its hashes."""
+    out = np.zeros(len(count), U)
+    some = np.flatnonzero(count)
+    if len(some):
+        begins = (np.cumsum(count) - count)[some]
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view(U).ravel()
+    return out
+
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp: bit set if set in over half of the XXH64 (seed 42) of the word shingles, repeats included."""
@@ -38,25 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 
         def work(part, t):
             t.lower()
-            start, end, first = t.words(blanks)
-            size = end - start
-            raw = t.data.tobytes()
-            joined = b" ".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())])
-            begin = np.cumsum(size + 1) - size - 1
-            stop = begin + size
-            per = np.diff(first)
-            count = np.where(per >= shingle, per - shingle + 1, np.minimum(per, 1))
-            at = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            last = np.minimum(at + shingle, np.repeat(first[1:], count)) - 1
-            h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(begin[at].tolist(), stop[last].tolist())), U, len(at))
-            out = np.zeros(t.n, U)
-            some = np.flatnonzero(count)
-            if len(some):
-                begins = (np.cumsum(count) - count)[some]
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-                out[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view(U).ravel()
-            return part.column("_doc"), signed(out)
+            h, count = _shingles(t, digest, t.words(blanks), shingle)
+            return part.column("_doc"), signed(_majority(h, count))
 
         return work
 
@@ -172,3 +189,190 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
     named = durable(whole.join(ids, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _cuts(bits: int) -> np.ndarray:
+    """Where the bits // 2 + 1 segments of 64 bits begin, and the end."""
+    return np.linspace(0, 64, bits // 2 + 2).round().astype(int)
+
+
+def _sketches(docs: DataFrame, id_col: str, text: str, shingle: int, words: int) -> DataFrame:
+    """doc_id, fp, size, node: the fingerprint, how many distinct shingles of `words` words there are, and a hash of their set."""
+
+    def make():
+        import xxhash
+
+        digest, blanks = xxhash.xxh64_intdigest, space_table()
+
+        def work(part, t):
+            t.lower()
+            found = t.words(blanks)
+            fp = _majority(*_shingles(t, digest, found, shingle))
+            h, count = _shingles(t, digest, found, words)
+            size, node = np.zeros(t.n, np.int64), np.zeros(t.n, U)
+            ends = np.cumsum(count)
+            for i, (a, b) in enumerate(zip((ends - count).tolist(), ends.tolist())):
+                x = np.unique(h[a:b])
+                size[i], node[i] = len(x), mix(x).sum(dtype=U)
+            return part.column("_doc"), signed(fp), size, signed(mix(node + size.astype(U)))
+
+        return work
+
+    return scan(docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).cast("string").alias("text")), make, "doc_id long, fp long, size long, node long")
+
+
+def _segments(rows: DataFrame, bits: int, wild: bool) -> DataFrame:
+    """key and the columns of rows (fp first): a key for each segment, or with wild for each segment without each of its bits."""
+    cuts, names = _cuts(bits), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                fp, keys = np.asarray(part.column(0), np.int64).view(U), []
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                    seg = (fp >> U(a)) & U((1 << (b - a)) - 1)
+                    keys += [(U(i) << U(32)) | seg & ~(U(1) << U(i - a)) for i in range(a, b)] if wild else [(U(a) << U(32)) | seg]
+                which = np.repeat(np.arange(part.num_rows), len(keys))
+                key = mix(np.stack(keys, axis=1).ravel() + U(1))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *[pa.array(np.asarray(c, np.int64)[which]) for c in part.columns]], names=["key", *names])
+
+    return rows.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
+
+
+def _candidates(rows: DataFrame, bits: int, least: float, whole: bool, hold: int = 100_000) -> DataFrame:
+    """a, b: nodes of rows (fp, size, node, label) within `bits` bits of each other that differ in label, where the sizes allow a
+    similarity of `least`. whole: every such pair; else of each node one that comes shortly before it in a segment."""
+    cuts = _cuts(bits)
+
+    def pairs(key, fp, size, node, label) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(begin, len(key)))
+        end, left, found = np.repeat(begin + n, n), np.flatnonzero(np.repeat(n, n) > 1), []
+        for step in range(1, int(n.max()) if whole else 33):
+            left = left[left + step < end[left]]
+            left = left[size[left] >= least * size[left + step] - 1e-9]  # sizes ascend within a key
+            if not len(left):
+                break
+            ok = np.bitwise_count(fp[left] ^ fp[left + step]) <= bits
+            ok &= label[left] != label[left + step]
+            i, j = left[ok], left[ok] + step
+            if whole and len(i):  # a pair shares many keys: report it where it is first met
+                d, first = fp[i] ^ fp[j], np.full(len(i), -1)
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                    seg = (d >> U(a)) & U((1 << (b - a)) - 1)
+                    place = a + np.where(seg > 0, np.bitwise_count((seg & (~seg + U(1))) - U(1)), 0)
+                    first = np.where((first < 0) & (np.bitwise_count(seg) <= 1), place, first)
+                low = np.zeros(len(i), U)
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                    seg = (fp[i] >> U(a)) & U((1 << (b - a)) - 1)
+                    clear = ~(U(1) << np.maximum(first - a, 0).astype(U))
+                    low = np.where((first >= a) & (first < b), seg & clear, low)
+                met = mix((first.astype(U) << U(32) | low) + U(1)) == key[i].view(U)
+                i, j = i[met], j[met]
+            found.append((node[i], node[j]))
+            if not whole:
+                left = left[~ok]
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([np.asarray(c, np.int64) for c in batch.columns])
+            n += batch.num_rows
+            if n < hold:
+                continue
+            key, fp, size, node, label = (np.concatenate(c) for c in zip(*held))
+            at = int(np.searchsorted(key, key[-1]))
+            if at:
+                yield pairs(key[:at], fp[:at].view(U), size[:at], node[:at], label[:at])
+            held = [[c[at:] for c in (key, fp, size, node, label)]]
+            n = 0  # a key of many rows is gathered by concatenation, once for each `hold` rows
+        if held:
+            key, fp, size, node, label = (np.concatenate(c) for c in zip(*held))
+            if len(key):
+                yield pairs(key, fp.view(U), size, node, label)
+
+    keyed = _segments(rows.select("fp", "size", "node", "label"), bits, whole).repartition("key").sortWithinPartitions("key", "size")
+    return keyed.mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """a, b: those pairs whose sets of shingles are alike enough. texts: node, text."""
+    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "text"), "b").select("a", "b", "left", "text")
+
+    def make():
+        import xxhash
+
+        digest, blanks, powers = xxhash.xxh64_intdigest, space_table(), Powers()
+
+        def work(part, t):
+            other = Texts(part.column("left"), powers)
+            sets = []
+            for x in (t.lower(), other.lower()):
+                h, count = _shingles(x, digest, x.words(blanks), words)
+                sets.append([np.unique(y) for y in np.split(h, np.cumsum(count)[:-1])])
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)])
+            total = np.array([len(x) + len(y) for x, y in zip(*sets)]) - common
+            ok = common >= least * total - 1e-9
+            return np.asarray(part.column("a"), np.int64)[ok], np.asarray(part.column("b"), np.int64)[ok]
+
+        return work
+
+    return scan(both, make, "a long, b long")
+
+
+def _similar(docs: DataFrame, id_col: str, text: str, words: int, least: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every row; node, component_id of every node."""
+    rows = durable(_sketches(docs, id_col, text, shingle, words))
+    nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("low")))
+    prints = durable(rows.where("size > 0").select("fp", "size", "node").distinct())
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = durable(pairs)
+        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
+        ids = need.select(F.coalesce("low", F.lit(LAST)).alias("_low")).distinct()
+        there = source.join(ids, F.col("_id") == F.col("_low"), "left_semi").select("doc_id", "text")
+        there = _noded(there, words).join(need, "node", "left_semi").dropDuplicates(["node"])
+        return durable(_alike(pairs, durable(there), words, least))
+
+    near = verified(_candidates(prints.withColumn("label", F.col("node")), bits, least, False))
+    root = components(near)
+    marked = prints.join(root, "node", "left").select("fp", "size", "node", F.coalesce("root", "node").alias("label"))
+    links = near.unionByName(verified(_candidates(durable(marked), bits, least, True)))
+    whole = nodes.join(components(links), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.select("doc_id", "node"), durable(whole.join(ids, "root").select("node", "component_id"))
+
+
+def _noded(texts: DataFrame, words: int) -> DataFrame:
+    """node, text for every row of texts (text)."""
+
+    def make():
+        import xxhash
+
+        digest, blanks = xxhash.xxh64_intdigest, space_table()
+
+        def work(part, t):
+            t.lower()
+            h, count = _shingles(t, digest, t.words(blanks), words)
+            sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+            return (signed(mix(np.array([mix(x).sum(dtype=U) + U(len(x)) for x in sets], U))),)
+
+        return work
+
+    return scan(texts, make, "node long", carry=("text",))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, shingle: int = 3, bits: int = 11) -> DataFrame:
+    """doc_id, component_id for every row: groups of documents linked by a Jaccard similarity of at least `least` between their sets
+    of `words`-word shingles, among the pairs whose fingerprints of `shingle` words are within `bits` bits."""
+    rows, named = _similar(docs, id_col, text, words, least, shingle, bits)
+    return rows.join(named, "node").select("doc_id", "component_id")
+
+
+def first_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, shingle: int = 3, bits: int = 11) -> DataFrame:
+    """component_id: the smallest id of each group of similar_documents()."""
+    return _similar(docs, id_col, text, words, least, shingle, bits)[1].select("component_id").distinct()
