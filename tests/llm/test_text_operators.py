@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxelgraph.llm import exact_dedup, language, mixing, packing, quality, repeats, rules, simhash, toxicity
+from voxelgraph.llm import exact_dedup, language, mixing, packing, quality, repeats, rules, simhash, toxicity, training
 from voxelgraph.llm.components import components
 from voxelgraph.llm.text import Powers, Texts
 
@@ -393,6 +393,30 @@ def test_kernel_is_shared_presence():
     assert t.sum(1).tolist() == [2 + 2 + 2 + 1, 2 + 1] and t[0] @ t[1] == 3
 
 
+def test_language_score_does_not_fall_with_length(spark):
+    docs, _ = big(spark)
+    rng, rows = random.Random(5), []
+    for lang in sorted({r.lang for r in docs.select("lang").distinct().collect() if r.lang}):
+        texts = [r.text for r in docs.where(F.col("lang") == lang).select("text").limit(2500).collect() if r.text]
+        words = " ".join(texts).split(" ")
+        for k, size in enumerate([30_000, 1_000_000, 3_000_000, 10_000_000]):
+            text = " ".join(rng.choices(words, k=size // 4))[:size]
+            rows.append((len(rows), text, lang, k))
+    long = spark.createDataFrame(rows, "doc_id long, text string, lang string, k int")
+    got = language.identify(long, docs, carry=("lang", "k")).collect()
+    assert all(r.lang_pred == r._0 for r in got)
+    score = {(r._0, r._1): r.score for r in got}
+    for (lang, k), x in score.items():
+        assert x > 0.5 and abs(x - score[lang, 0]) < 0.05
+
+
+def test_samples_skip_a_text_too_long(spark):
+    docs = table(spark, ["a" * 5, "b" * 50, "c" * 5, "d" * 5])
+    ids = docs.select("doc_id", F.lit(1).alias("label"))
+    assert sorted(training.sample_texts(docs, ids, 16)["text"].str[0]) == ["a", "c", "d"]
+    assert sorted(training.sample_texts(docs, ids, 60)["text"].str.len())[-1] == 50
+
+
 @pytest.mark.parametrize("score", [toxicity.score_documents, quality.score_documents, rules.judge])
 def test_labelled_operators_on_awkward_rows(spark, score):
     rows = awkward(spark)

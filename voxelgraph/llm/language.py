@@ -2,7 +2,8 @@
 
 The blended-spectrum presence kernel, normalised, is approximated from Nystrom landmarks; one-versus-rest kernel ridge
 regression on that map gives a weight for each landmark and language. A batch of texts is scored by two matrix products:
-presence x landmarks, then kernel x weights.
+presence x landmarks, then kernel x weights. A text of more than PART bytes is the mean of its even parts, all of which count, in
+training as in scoring: however long it is, it doesn't fill the space, and its score doesn't depend on its length.
 
 Edge cases: `und`, score 0, for a null text or one without letters (Unicode category L), or when nothing could be learned; null
 ids are scored and never held out; null langs aren't learned; repeated rows are scored alike; an empty table gives an empty
@@ -23,29 +24,49 @@ from voxelgraph.llm.training import fold, sample_ids, sample_texts
 
 SPACE, LANDMARKS, PER_CLASS, GRAMS, ROWS = 1 << 13, 96, 500, (1, 2, 3, 4), 256
 
+#: Bytes of the longest part.
+PART = 1 << 13
 
-def presence(t: Texts, space: int = SPACE) -> np.ndarray:
-    """(texts, space) float32: 1 where a text has an n-gram hashed there."""
+
+def parts_of(t: Texts, most: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Where the even parts of each text begin, and the end of the last; the text of each part."""
+    size = np.diff(t.off)
+    n = np.maximum(1, -(-size // most))
+    own = np.repeat(np.arange(t.n), n)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    return np.append(t.off[own] + k * size[own] // n[own], t.off[-1]), own
+
+
+def presence(t: Texts, space: int = SPACE, at: np.ndarray | None = None) -> np.ndarray:
+    """(parts, space) float32: 1 where a part has an n-gram hashed there. at: as from parts_of(); each text is one part without.
+    An n-gram is of the part that it begins in."""
     t.lower()
-    out = np.zeros((t.n, space), np.float32)
+    at = t.off if at is None else at
+    out = np.zeros((len(at) - 1, space), np.float32)
     flat = out.reshape(-1)
     prefix = t.prefix()
     _, down = t.powers.upto(len(t.data) + 1)
-    own = np.repeat(np.arange(t.n) * space, np.diff(t.off))
+    own, text = np.repeat(np.arange(len(at) - 1) * space, np.diff(at)), np.repeat(np.arange(t.n), np.diff(t.off))
     for n in GRAMS:
         m = len(t.data) - n + 1
         if m <= 0:
             break
         h = mix((prefix[n : n + m] - prefix[:m]) * down[:m] + U(n))
-        same = own[:m] == own[n - 1 :]
+        same = text[:m] == text[n - 1 :]
         flat[(own[:m] + (h & U(space - 1)).astype(np.int64))[same]] = 1
     return out
 
 
+def mean_of(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The mean row of each text."""
+    begin = np.flatnonzero(np.diff(own, prepend=-1))
+    return np.add.reduceat(rows, begin, axis=0) / np.diff(np.append(begin, len(own)))[:, None]
+
+
 @dataclass
 class StringKernel:
     classes: list
-    landmarks: np.ndarray  # (landmarks, space), each divided by its length
+    landmarks: np.ndarray  # (landmarks, space), each the mean of parts divided by their lengths
     weights: np.ndarray  # (landmarks, classes)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -58,9 +79,12 @@ def train(texts: list[str], labels: list, space: int = SPACE, landmarks: int = L
         return None
     classes, powers, x = sorted(set(labels)), Powers(), []
     for at in range(0, len(texts), 64):
-        x.append(presence(Texts(pa.array(texts[at : at + 64], pa.large_string()), powers), space))
+        t = Texts(pa.array(texts[at : at + 64], pa.large_string()), powers)
+        cuts, own = parts_of(t)
+        part = presence(t, space, cuts)
+        part /= np.maximum(1, np.sqrt(part.sum(1, keepdims=True)))
+        x.append(mean_of(part, own))
     x = np.concatenate(x)
-    x /= np.maximum(1, np.sqrt(x.sum(1, keepdims=True)))
     y = np.array([classes.index(v) for v in labels])
     rng = np.random.default_rng(seed)
     per = -(-landmarks // len(classes))
@@ -96,7 +120,9 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text:
             if kernel is None:
                 return part.column("doc_id"), ["und"] * t.n, score
             for at in range(0, t.n, ROWS):  # short texts come many to a slice
-                f = kernel.score(presence(Texts(part.column("text").slice(at, ROWS), t.powers)))
+                some = Texts(part.column("text").slice(at, ROWS), t.powers)
+                cuts, own = parts_of(some)
+                f = mean_of(kernel.score(presence(some, at=cuts)), own)
                 best = f.argmax(1)
                 score[at : at + ROWS] = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
                 pred += [str(kernel.classes[b]) for b in best]

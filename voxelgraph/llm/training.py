@@ -26,10 +26,14 @@ def sample_ids(labelled: DataFrame, per_class: int, most_classes: int = 256) ->
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, most_chars: int = 60_000_000) -> pd.DataFrame:
-    """doc_id, text, label of a sample, on the driver: whole texts, in order of the id's hash, up to most_chars in all. The
-    sample's ids are bounded (sample_ids), so they are broadcast; one text for each id."""
+    """doc_id, text, label of a sample, on the driver: whole texts, in order of the id's hash, up to most_chars in all; a
+    text that doesn't fit is skipped, those after it aren't. The sample's ids are bounded (sample_ids), so they are broadcast; one text for each id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = rows.join(F.broadcast(ids), "doc_id").toPandas()
+    got = rows.where(F.length("text") <= most_chars).join(F.broadcast(ids), "doc_id").toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     got = got.assign(order=got["doc_id"].map(lambda i: (i * 0x9E3779B97F4A7C15) % (1 << 64))).sort_values("order")
-    return got[got["text"].str.len().cumsum() <= most_chars].drop(columns="order").reset_index(drop=True)
+    left, fits = most_chars, []
+    for n in got["text"].str.len():
+        fits.append(n <= left)
+        left -= n if fits[-1] else 0
+    return got[pd.Series(fits, got.index, bool)].drop(columns="order").reset_index(drop=True)
