@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=packing.added_tokens())
 
 
 STAGES = [

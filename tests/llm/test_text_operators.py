@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelgraph.llm import exact_dedup, language, mixing, packing, quality, repeats, rules, simhash, toxicity, training
+from voxelgraph.llm import queries as text_queries
 from voxelgraph.llm.components import components
 from voxelgraph.llm.text import Powers, Texts
 
@@ -249,6 +250,23 @@ def test_packing_round_trip(spark):
         assert at == len(ids)
 
 
+def test_added_tokens_are_encoded_as_tokenizers_does_by_default(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x\n", "é<|endoftext|>  two", "<|endoftext", "plain 's text", ""]
+    encode = packing.encoder(packing.tokens_file(), packing.added_tokens())
+    for t in texts:
+        assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert 50256 in encode(texts[0])
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in text_queries.op4(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_sum_of_squares_places_where_squares_are_least():
     rng = random.Random(4)
     bins, gaps = packing.SumOfSquares(30), Counter()

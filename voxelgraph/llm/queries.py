@@ -30,7 +30,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), added=packing.added_tokens())
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
