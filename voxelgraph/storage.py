@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes a query's shuffle files when the query ends; what a written table needs is in its files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one where that is unset, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("voxelgraph.scratch", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         path = "file://" + tempfile.mkdtemp(prefix="voxelgraph-")
         spark.conf.set("voxelgraph.scratch", path)
     return path.rstrip("/")
@@ -23,5 +29,20 @@ def durable(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that durable() wrote; nothing that is still to run may read them."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._durable_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
