@@ -196,17 +196,87 @@ def test_substring_dedup_matches_brute_force(spark, words, gram):
         assert got[i].kept_text == " ".join(w for w, g in zip(seq, gone) if not g)
 
 
-@pytest.mark.parametrize("n", [2, 3])
-def test_line_dedup_matches_brute_force(spark, n):
+def brute_lines(items, n, alone):
+    """True for every line to remove: in a run of n lines with a word, or a long line, found earlier by document and place."""
+    seen, out = set(), []
+    for seq in items:
+        gone = [False] * len(seq)
+        for span in (n, 1):
+            for p in range(len(seq) - span + 1):
+                run = tuple(seq[p : p + span])
+                if any(WORD.search(x) for x in run) and (span == n or len(run[0]) >= alone):
+                    if run in seen:
+                        gone[p : p + span] = [True] * span
+                    seen.add(run)
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("n,alone", [(2, 4), (3, 80)])
+def test_line_dedup_matches_brute_force(spark, n, alone):
     rng = random.Random(n)
-    texts = ["\n".join(rng.choice(["a", "b", "", "c d", "é"]) for _ in range(rng.randint(0, 9))) for _ in range(80)] + [None]
-    got = {r.doc_id: r for r in repeats.line_dedup(table(spark, texts), lines=n).collect()}
+    texts = ["\n".join(rng.choice(["a", "b", "", " ", "c d", "é", "éééé", "eight it"]) for _ in range(rng.randint(0, 9))) for _ in range(80)] + [None]
+    got = {r.doc_id: r for r in repeats.line_dedup(table(spark, texts), lines=n, alone=alone).collect()}
     items = [(t or "").split("\n") for t in texts]
-    for i, (seq, gone) in enumerate(zip(items, brute_repeats(items, n, True, range(len(texts))))):
+    for i, (seq, gone) in enumerate(zip(items, brute_lines(items, n, alone))):
         assert (got[i].n_lines, got[i].n_removed) == (len(seq), sum(gone))
         assert got[i].kept_text == "\n".join(w for w, g in zip(seq, gone) if not g)
 
 
+def thue_morse(n, a="a", b="b"):
+    return [b if i.bit_count() % 2 else a for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [1024, 4096, 8192])
+def test_structured_texts_are_not_taken_for_each_other(spark, size):
+    one, two = "".join(thue_morse(size)), "".join(thue_morse(size, "b", "a"))
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join([one, *words]), " ".join([two, *words]), f"{one}\nx", f"{two}\nx", f"{one}\n{two}\nk", " ".join(thue_morse(size, "yes", "no")), " ".join(thue_morse(size, "no", "yes")[::-1])]
+    got = {r.doc_id: r for r in repeats.substring_dedup(table(spark, texts)).collect()}
+    items = [WORD.findall(t) for t in texts]
+    for i, gone in enumerate(brute_repeats(items, 13, False, range(len(texts)))):
+        assert got[i].n_removed == sum(gone)
+    assert got[1].n_removed == 0
+    lines = {r.doc_id: r for r in repeats.line_dedup(table(spark, texts)).collect()}
+    for i, gone in enumerate(brute_lines([t.split("\n") for t in texts], 2, 80)):
+        assert lines[i].n_removed == sum(gone)
+    counts = {r.doc_id: r for r in rules.judge(table(spark, texts), labels(spark, table(spark, texts))).collect()}
+    assert all(counts[i].n_dup_lines == brute_counts(t)[3] for i, t in enumerate(texts))
+
+
+def test_texts_decide_where_all_hashes_collide(spark, monkeypatch):
+    from voxelgraph.llm import text as kernels
+
+    monkeypatch.setattr(repeats, "item_hashes", lambda t, start, end: kernels.mix((end - start).astype(np.uint64)))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["aa", "bb", "ccc"]) for _ in range(40)) for _ in range(12)]
+    grain = repeats.Grain(repeats.word_items, " ", 5, 2)
+    items = [t.split(" ") for t in texts]
+    truth = brute_repeats(items, 5, False, range(len(texts)))
+    for i, seq in enumerate(items):
+        worded, long = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        told = [{"low": j, "tag": 0, "diag": d, "at": d, "items": texts[j]} for j in range(i) for d in range(-39, 40)]
+        gone = repeats._extended(seq, told, worded, long, grain)
+        assert gone.tolist() == truth[i]  # every diagonal proposed: the texts alone decide
+
+
+def test_hot_passages_are_settled_alike(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "LEAST", 2)
+    monkeypatch.setattr(repeats, "HOT", 200)
+    monkeypatch.setattr(repeats, "CHUNK", 37)
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(30)]
+    texts = []
+    for i in range(120):
+        own = [f"{rng.choice('xyz')}{rng.randrange(9)}" for _ in range(rng.randrange(40))]
+        texts.append(" ".join(own + common[rng.randrange(4) :] + own[::-1] if i % 3 else own))
+    got = {r.doc_id: r for r in repeats.substring_dedup(table(spark, texts)).collect()}
+    items = [WORD.findall(t) for t in texts]
+    for i, (seq, gone) in enumerate(zip(items, brute_repeats(items, 13, False, range(len(texts))))):
+        assert got[i].kept_text == " ".join(w for w, g in zip(seq, gone) if not g)
+
+
 def test_repeats_on_awkward_rows(spark):
     got = repeats.substring_dedup(awkward(spark)).collect()
     assert len(got) == 11
@@ -215,6 +285,11 @@ def test_repeats_on_awkward_rows(spark):
     same = repeats.substring_dedup(awkward(spark), words=3, gram=1).collect()
     assert [r.n_removed for r in same if r.doc_id == 4] == [0, 0] and 3 in [r.n_removed for r in same if r.doc_id is None]
     assert repeats.line_dedup(awkward(spark), carry=("lang", "_words")).count() == 11
+    last = table(spark, ["a b c d", "a b c d e"], [7, (1 << 63) - 1])
+    assert {r.doc_id: r.n_removed for r in repeats.substring_dedup(last, words=3, gram=1).collect()} == {7: 0, (1 << 63) - 1: 4}
+    # Rows that repeat an id as first documents: halves of a window in two of them are no window.
+    split = table(spark, ["a b c x y z", "p q r d e f", "a b c d e f"], [1, 1, 2])
+    assert {r.n_removed for r in repeats.substring_dedup(split, words=4, gram=2).collect()} == {0}
     assert repeats.substring_dedup(empty(spark)).count() == 0 and repeats.line_dedup(empty(spark)).count() == 0
 
 

@@ -87,9 +87,10 @@ def oracle_sql() -> dict[str, str]:
         "op5_winnowed_lines": r"""
             WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
             l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
-            w AS (SELECT doc_id, pos, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM l),
-            f AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) AS n FROM w WHERE pair IS NOT NULL),
-            c AS (SELECT DISTINCT doc_id, pos + k AS pos FROM f, range(2) AS r(k) WHERE n > 1)
+            w AS (SELECT doc_id, pos, 2 AS span, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l
+                  UNION ALL SELECT doc_id, pos, 1, line FROM l WHERE length(line) >= 80),
+            f AS (SELECT *, row_number() OVER (PARTITION BY span, run ORDER BY doc_id, pos) AS n FROM w WHERE regexp_matches(run, '[^\x20\x09-\x0D]')),
+            c AS (SELECT DISTINCT doc_id, pos + k AS pos FROM f, range(2) AS r(k) WHERE n > 1 AND k < span)
             SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
                    sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '')) AS kept_sha256
             FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id""",

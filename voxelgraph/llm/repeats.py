@@ -1,40 +1,51 @@
 """Repeated passages by winnowed anchors, at the grain of words (substring dedup) or lines (line dedup).
 
-A window is `length` consecutive items (words or lines) of one document. Winnowing takes from every window the item gram with
-the smallest hash as its anchor: equal windows have equal anchors, so a passage that repeats always shares one. The seed at an
-anchor is extended both ways to its extent: all consecutive windows that the anchor stands for. Documents are joined on seeds:
-
-1. Anchor and extent hashes, with the smallest and largest id that has them, combined in each task before the shuffle. An extent
-   found again in a larger id is a repeat there as a whole: most copied text is settled so, by one row for many windows.
-2. Where one anchor has several extents (the ends of passages), each extent's first document gives its single windows, and the
-   smallest id of each window settles the rest. The first documents suffice: the smallest id that has a window is also the
-   smallest that has the extent around it.
-
-Runs of overlapping repeated windows make up the maximal repeats, which are removed. No group of copies is gathered or expanded
-into pairs. Extents and windows are equal if two 64-bit hashes agree, their own and their anchor's: a false match needs different
-text around one anchor with one hash.
-
-Edge cases: a null text counts as empty; null ids count as one id larger than all others; rows that repeat a doc_id are never
-removed because of each other; a document shorter than a window keeps everything; an empty table gives an empty result.
+A window is `length` consecutive items (words or lines) of one document. Winnowing takes from every window the item gram with the
+smallest hash as its anchor, so a passage that repeats always shares one. The windows that one anchor stands for are its extent.
+
+1. Seeds: every anchor's gram and extent hash with document and place. Seeds with equal extents are joined, the document with the
+   smallest id first: each later one gives a pair of places, whose windows are alike. Most copied text is settled so, by one row
+   for many windows.
+2. Where one anchor has several extents (the ends of passages), each extent's first document gives its single windows, joined
+   likewise. The first documents suffice: the smallest id that has a window is also the smallest that has the extent around it.
+3. Pairs on one diagonal are chained to matches. The first document's items there, and PAD items on either side, go to the later
+   document, where both are compared item by item and the match is extended both ways. Only runs of equal items that hold a whole
+   window are maximal repeats and removed: hashes propose, texts decide.
+
+A key with more than 1 / HOT of the rows (found on a sample of the documents, which steers how rows are dealt and nothing else) is
+settled by broadcast or salted: fewer than HOT keys can be so frequent. No group of copies is gathered or expanded into pairs.
+
+Edge cases: a null text counts as empty; null ids count as the largest id, 2**63 - 1; rows that repeat a doc_id are never removed
+because of each other; among documents with one passage the smallest id keeps it, within a document the first place (ties in
+both are the same text in the same row); a document shorter than a window keeps everything; an empty table gives an empty result.
+Only the id, the text and the columns in `carry` are read, and these get names of their own, so no column can clash. Very long
+texts: a task holds some 10 bytes for each byte of the longest text, and windows are made in runs of CHUNK items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelgraph.llm.text import Powers, Texts, U, grams, inside, mix, owners, scan, signed, slices, space_table
-from voxelgraph.storage import durable
+from voxelgraph.llm.text import Texts, U, grams, inside, item_hashes, mix, owners, scan, signed, space_table
+from voxelgraph.storage import durable, release
 
 LAST = (1 << 63) - 1
 
-#: A key with more than 1 / HOT of the rows that repeat is joined by broadcast: fewer than HOT keys can be so frequent.
+#: A key with more than 1 / HOT of the rows is hot.
 HOT = 1000
 
+#: One document in SAMPLE shows which keys are hot; a key must be there LEAST times.
+SAMPLE, LEAST = 64, 50
+
+#: Items whose windows are made at a time; items that travel together in a block.
+CHUNK, BLOCK = 1 << 20, 64
+
 
 def word_items(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.words(space_table())
@@ -44,205 +55,346 @@ def line_items(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.lines()
 
 
-def windows(h: np.ndarray, first: np.ndarray, length: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window inside one text: where it begins, its hash, its anchor (the smallest hash of its grams), its extent's hash."""
-    at = np.flatnonzero(inside(first, length))
-    if not len(at):
-        return at, *[np.zeros(0, U)] * 3
-    g = grams(h, gram, seed=11)
-    n = len(h) - length + 1
-    low = g[:n].copy()
+@dataclass(frozen=True)
+class Grain:
+    """What an item is and which runs of items count. alone: an item of so many characters is a window by itself (0: none is).
+    wordy: a window counts only if it has a word."""
+
+    items: Callable
+    glue: str
+    length: int
+    gram: int
+    alone: int = 0
+    wordy: bool = False
+
+    def worded(self, t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which items have a word, where that matters."""
+        if not self.wordy:
+            return np.ones(len(start), bool)
+        solid = np.concatenate([[0], np.cumsum(~space_table()[t.data])])
+        return solid[end] > solid[start]
+
+    def long(self, t: Texts, start: np.ndarray, end: np.ndarray, worded: np.ndarray) -> np.ndarray:
+        """Which items are windows by themselves."""
+        if not self.alone:
+            return np.zeros(len(start), bool)
+        chars = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
+        return worded & (chars[end] - chars[start] >= self.alone)
+
+
+def any_in(flags: np.ndarray, length: int) -> np.ndarray:
+    """For each run of `length` places: whether a flag is set there."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[length:] > total[:-length]
+
+
+def windows(h: np.ndarray, first: np.ndarray, worded: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window inside one text that counts: where it begins, its hash, its anchor's hash and place (the leftmost smallest)."""
+    ok = inside(first, length)
+    if not len(ok):
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+    at = np.flatnonzero(ok & any_in(worded, length))
+    g, n = grams(h, gram, seed=11), len(h) - length + 1
+    low, place = g[:n].copy(), np.arange(n)
     for j in range(1, length - gram + 1):
-        np.minimum(low, g[j : j + n], out=low)
-    low, own = low[at], owners(first)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (low[1:] != low[:-1]) | (own[1:] != own[:-1])
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(at)))
-    start, end = at[begin], at[begin] + size + length - 1
-    up, down = powers.upto(len(h) + 1)
-    prefix = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=prefix[1:])
-    extent = mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-    return at, grams(h, length, seed=23)[at], low, np.repeat(extent, size)
-
-
-def _keyed(docs: DataFrame, id_col: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_rid"), F.col(text).cast("string").alias("text"), *more)
-
-
-def _runs(at: np.ndarray, low: np.ndarray, extent: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Index of the first window of each extent."""
-    new = np.ones(len(at), bool)
-    new[1:] = (extent[1:] != extent[:-1]) | (own[1:] != own[:-1])
-    return np.flatnonzero(new)
+        less = g[j : j + n] < low
+        low[less], place[less] = g[j : j + n][less], np.flatnonzero(less) + j
+    return at, grams(h, length, seed=23)[at], low[at], place[at]
 
 
-def _salted(h: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """Hashes told apart by the text they are of."""
-    return h ^ (who.astype(U) * U(0x9E3779B97F4A7C15))
+def chunks(t: Texts, grain: Grain) -> Iterator[tuple]:
+    """windows() of a run of texts, in chunks, with the text and the place in it where each begins: own, pos, whole, low, new (the first
+    window of an extent)."""
+    start, end, first = grain.items(t)
+    worded, h = grain.worded(t, start, end), item_hashes(t, start, end)
+    for a in range(0, max(1, len(h) - grain.length + 1), CHUNK):
+        b = min(len(h), a + CHUNK + grain.length - 1)
+        at, whole, low, place = windows(h[a:b], np.clip(first, a, b) - a, worded[a:b], grain.length, grain.gram)
+        own = np.searchsorted(first, at + a, side="right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (place[1:] != place[:-1]) | (np.diff(at) != 1) | (own[1:] != own[:-1])
+        yield own, at + a - first[own], whole, low, new
 
 
-def _listed(part: pa.RecordBatch, column: str) -> np.ndarray:
-    """Salted members of a list column, for membership tests of hashes salted by their text."""
-    lists = part.column(column)
-    per = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-    return _salted(np.asarray(lists.flatten(), np.int64).view(U), np.repeat(np.arange(len(per)), per))
+def _seeds(rows: DataFrame, grain: Grain) -> DataFrame:
+    """g, x, rid, pos, span: anchor and extent of each seed, its document, the extent's first item and how many items it has."""
 
+    def make():
+        def work(part, t):
+            rid, out = np.asarray(part.column("_rid"), np.int64), []
+            for own, pos, whole, low, new in chunks(t, grain):
+                begin = np.flatnonzero(new)
+                size = np.diff(np.append(begin, len(new)))
+                # The first and the last window cover the extent: it has no more windows than a window has items.
+                x = mix(whole[begin] * U(0xBF58476D1CE4E5B9) + whole[begin + size - 1] * U(0xD6E8FEB86659FD93) + size.astype(U))
+                out.append((signed(low[begin]), signed(x), rid[own[begin]], pos[begin], size + grain.length - 1))
+            if grain.alone:
+                start, end, first = grain.items(t)
+                at = np.flatnonzero(grain.long(t, start, end, grain.worded(t, start, end)))
+                h, own = item_hashes(t, start[at], end[at]), owners(first)[at]
+                out.append((signed(mix(h + U(3))), signed(mix(h + U(5))), rid[own], at - first[own], np.ones(len(at), np.int64)))
+            return [np.concatenate(c) for c in zip(*out)]
 
-def _seeds(rows: DataFrame, items: Callable, length: int, gram: int, hold: int = 1_000_000) -> DataFrame:
-    """g, x, low, high, rows: anchors and extents with the smallest and largest id, combined over up to `hold` rows of a task."""
-    schema = pa.schema([(c, pa.int64()) for c in ("g", "x", "low", "high", "rows")])
+        return work
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, n = Powers(), [], 0
+    return scan(rows, make, "g long, x long, rid long, pos int, span int")
 
-        def combined() -> pa.RecordBatch:
-            g, x, rid = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(x, kind="stable")
-            g, x, rid = g[order], x[order], rid[order]
-            begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            columns = (signed(g[begin]), signed(x[begin]), np.minimum.reduceat(rid, begin), np.maximum.reduceat(rid, begin), np.diff(np.append(begin, len(x))))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                t = Texts(part.column("text"), powers)
-                start, end, first = items(t)
-                at, _, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
-                own = owners(first)[at]
-                run = _runs(at, low, extent, own)
-                if len(run):
-                    held.append((low[run], extent[run], np.asarray(part.column("_rid"), np.int64)[own[run]]))
-                    n += len(run)
-                if n > hold:
-                    yield combined()
-                    held, n = [], 0
-        if n:
-            yield combined()
-
-    return rows.mapInArrow(run, "g long, x long, low long, high long, rows long")
-
-
-def _extents(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """g, h, rid for every extent of every document."""
+def _singles(rows: DataFrame, grain: Grain) -> DataFrame:
+    """g, x, rid, pos, span: anchor and hash of each single window of the extents that column _open lists."""
 
     def make():
         def work(part, t):
-            start, end, first = items(t)
-            at, _, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
-            own = owners(first)[at]
-            run = _runs(at, low, extent, own)
-            return signed(low[run]), signed(extent[run]), np.asarray(part.column("_rid"), np.int64)[own[run]]
+            rid, lists, out = np.asarray(part.column("_rid"), np.int64), part.column("_open"), []
+            whose = np.repeat(np.arange(t.n), np.asarray(lists.value_lengths().fill_null(0), np.int64))
+            flat = lists.flatten()
+            pos, span = (np.asarray(flat.field(c), np.int64) for c in ("pos", "span"))
+            first = grain.items(t)[2]
+            edge = np.zeros(first[-1] + 1, np.int64)
+            np.add.at(edge, np.minimum(first[whose] + pos, first[-1]), 1)
+            np.add.at(edge, np.minimum(first[whose] + pos + span - grain.length + 1, first[-1]), -1)
+            wanted = np.cumsum(edge) > 0
+            for own, pos, whole, low, _ in chunks(t, grain):
+                hit = wanted[first[own] + pos]
+                out.append((signed(low[hit]), signed(whole[hit]), rid[own[hit]], pos[hit], np.full(hit.sum(), grain.length)))
+            return [np.concatenate(c) for c in zip(*out)]
 
         return work
 
-    return scan(rows, make, "g long, h long, rid long")
+    return scan(rows, make, "g long, x long, rid long, pos int, span int")
 
 
-def _singles(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """g, h, rid: anchors and windows of those extents of a document that column _open lists."""
+FOUND = "rid long, pos int, span int, low long, at int"
+
+
+def _joined(seeds: DataFrame, length: int) -> DataFrame:
+    """rid, pos, span, low, at: each seed beside the first document with the same g and x and its place there, where that has a smaller
+    id; and with low null the first seed of each x whose g has others. Rows come in runs of equal keys: only what a run's first
+    row says is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = last = None  # the first row of the run of equal g and x; the last such row within its deal, and whether it is out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, g, x, rid, pos, span = (np.asarray(batch.column(c), np.int64) for c in ("_k", "g", "x", "rid", "pos", "span"))
+            many = np.asarray(batch.column("_many"))
+            new = np.ones(len(k), bool)
+            new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+            new[0] = lead is None or (lead[0], lead[1]) != (g[0], x[0])
+            whose = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            low, at = rid[np.maximum(whose, 0)], pos[np.maximum(whose, 0)]
+            if lead is not None:
+                low[whose < 0], at[whose < 0] = lead[2], lead[3]
+            lead = (g[-1], x[-1], low[-1], at[-1])
+            out = [[c[rid > low] for c in (rid, pos, span, low, at)]]
+            head = np.flatnonzero(new & (span >= length))
+            if len(head):
+                rows = [c[head] for c in (k, rid, pos, span)] + [many[head], np.zeros(len(head), bool)]
+                if last is not None:
+                    rows = [np.concatenate([[a], b]) for a, b in zip(last, rows)]
+                hk, hrid, hpos, hspan, hmany, done = rows
+                same = np.concatenate([[False], hk[1:] == hk[:-1]])
+                opens = (same | np.append(same[1:], False) | hmany) & ~done
+                out.append([hrid[opens], hpos[opens], hspan[opens], None, None])
+                last = (hk[-1], hrid[-1], hpos[-1], hspan[-1], hmany[-1], bool(opens[-1] or done[-1]))
+            for r, p, s, a, b in out:
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(p, pa.int32()), pa.array(s, pa.int32()), pa.nulls(len(r), pa.int64()) if a is None else pa.array(a), pa.nulls(len(r), pa.int32()) if b is None else pa.array(b, pa.int32())], names=["rid", "pos", "span", "low", "at"])
+
+    return seeds.select("_k", "g", "x", "rid", "pos", "span", "_many").sortWithinPartitions("_k", "g", "x", "rid", "pos").mapInArrow(run, FOUND)
+
+
+def _hot(sample: DataFrame, total: int, *keys: str) -> DataFrame:
+    return durable(sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= LEAST) & (F.col("_n") * HOT > total)).drop("_n"))
+
+
+def settled(seeds: DataFrame, length: int) -> DataFrame:
+    """_joined() of seeds (a written table), with hot keys dealt out."""
+    sample = seeds.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)
+    total = sample.count()
+    hot_x, hot_g = _hot(sample, total, "g", "x"), _hot(sample, total, "g")  # fewer than HOT rows each
+    marked = seeds.join(F.broadcast(hot_x.withColumn("_hot", F.lit(True))), ["g", "x"], "left").join(F.broadcast(hot_g.withColumn("_wide", F.lit(True))), "g", "left")
+    # An anchor with very many extents is dealt by extent too: all of them have others.
+    cold = marked.where("_hot is null").withColumn("_many", F.col("_wide").isNotNull()).withColumn("_k", F.when(F.col("_many"), F.xxhash64("g", "x")).otherwise(F.col("g")))
+    out = _joined(cold.repartition("_k"), length)
+    # A very frequent extent: its first seed, combined before it moves, comes back by broadcast.
+    often = seeds.join(F.broadcast(hot_x), ["g", "x"])
+    first = durable(often.groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
+    again = often.join(F.broadcast(first), ["g", "x"]).where("rid > _f.rid").select("rid", "pos", "span", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
+    opens = first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "cast(null as long) low", "cast(null as int) at")
+    return out.unionByName(again).unionByName(opens)
+
+
+def matches(rows: DataFrame, grain: Grain) -> DataFrame:
+    """rid, low, diag, start, end: items start to end of a document, proposed to repeat those `diag` places before in document low."""
+    seeds = durable(_seeds(rows, grain))
+    found = durable(settled(seeds, grain.length))
+    release(seeds)
+    opens = found.where("low is null").groupBy("rid").agg(F.collect_list(F.struct("pos", "span")).alias("_open"))
+    singles = durable(_singles(rows.join(opens, rows._rid == opens.rid).select("_rid", "text", "_open"), grain))
+    # Single windows give pairs only: no extent is longer than LAST items.
+    pairs = found.where("low is not null").unionByName(settled(singles, LAST))
+    d = pairs.select("rid", "low", (F.col("pos") - F.col("at")).alias("diag"), F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end"))
+    w = Window.partitionBy("rid", "low", "diag").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = durable(d.groupBy("rid", "low", "diag", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run"))
+    release(found, singles)
+    return out
+
+
+def _pieces(rows: DataFrame, grain: Grain) -> DataFrame:
+    """low, tag, block, items: the items of those blocks of a document that column _blocks lists. tag: rows that repeat an id differ in it."""
 
     def make():
+        glue = grain.glue.encode()
+
         def work(part, t):
-            start, end, first = items(t)
-            at, whole, low, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
-            own = owners(first)[at]
-            hit = np.isin(_salted(extent, own), _listed(part, "_open"))
-            return signed(low[hit]), signed(whole[hit]), np.asarray(part.column("_rid"), np.int64)[own[hit]]
+            start, end, first = grain.items(t)
+            raw, out = t.data.tobytes(), ([], [], [], [])
+            for i, (rid, tag, blocks) in enumerate(zip(*[part.column(c).to_pylist() for c in ("_rid", "_tag", "_blocks")])):
+                for b in blocks:
+                    a, z = first[i] + b * BLOCK, min(first[i] + (b + 1) * BLOCK, first[i + 1])
+                    if a < z:
+                        for to, v in zip(out, (rid, tag, b, glue.join([raw[p:q] for p, q in zip(start[a:z].tolist(), end[a:z].tolist())]).decode())):
+                            to.append(v)
+            return *out[:3], pa.array(out[3], pa.string())
 
         return work
 
-    return scan(rows, make, "g long, h long, rid long")
-
-
-def _beyond(found: DataFrame, first: DataFrame) -> DataFrame:
-    """rid, h for rows of found (g, h, rid) whose id is larger than their key's in first (g, h, low, rows; a written table). Rows of
-    hot keys are settled by broadcast and dealt out by id after that, so no common passage is gathered in one task."""
-    total = first.agg(F.sum("rows")).first()[0] or 0
-    hot = first.where(F.col("rows") > total / HOT).select("g", "h", F.col("low").alias("_hot"))
-    dealt = found.join(F.broadcast(hot), ["g", "h"], "left").where("_hot is null or rid > _hot")
-    dealt = dealt.withColumn("g", F.when(F.col("_hot").isNull(), F.col("g")).otherwise(F.xxhash64("rid", "h")))
-    return dealt.join(first.select("g", "h", "low"), ["g", "h"], "left").where(F.col("rid") > F.coalesce("_hot", "low")).select("rid", "h")
-
-
-def later_windows(rows: DataFrame, items: Callable, length: int, gram: int) -> DataFrame:
-    """rid, _gone: for each document, the hashes of its extents and single windows that begin in a document with a smaller id too."""
-    seeds = _seeds(rows, items, length, gram).groupBy("g", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))
-    # Extents are dealt by both hashes: an anchor as common as a blank line has many. Its totals are combined before they move.
-    each = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b"), F.sum("rows").alias("m")).where("a < b and m > 1")  # with the columns of seeds, whose shuffle serves both
-    shared = durable(seeds.join(each, "g").select("g", "x", "low", "high", "rows", "n"))
-    whole = shared.where("low < high").select("g", F.col("x").alias("h"), "low", "rows")
-    later = _beyond(_extents(rows, items, length, gram), whole)
-    several = shared.where("n > 1").groupBy("low").agg(F.collect_set("x").alias("_open"))
-    singles = _singles(rows.join(several, rows._rid == several.low).select("_rid", "text", "_open"), items, length, gram)
-    lowest = singles.groupBy("g", "h").agg(F.min("rid").alias("low"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("rows")).where("low < b")
-    single = _beyond(singles, durable(lowest.select("g", "h", "low", "rows")))
-    return later.unionByName(single).groupBy("rid").agg(F.collect_set("h").alias("_gone"))
-
-
-def covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
-    """n booleans: which items the windows that begin at `at` cover."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + length, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _marked(part: pa.RecordBatch, t: Texts, items: Callable, length: int, gram: int, within: bool) -> tuple:
-    """Items of each text and which of them go. within: windows that began earlier in the same text go too."""
-    start, end, first = items(t)
-    at, whole, _, extent = windows(t.hashes(start, end), first, length, gram, t.powers)
-    own, gone = owners(first)[at], _listed(part, "_gone")
-    key = _salted(whole, own)
-    hit = np.isin(key, gone) | np.isin(_salted(extent, own), gone)
-    if within and len(key):
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(key), bool)
-        same[order[1:]] = key[order][1:] == key[order][:-1]
-        hit |= same
-    return start, end, first, covered(at[hit], len(start), length)
-
-
-def remove_repeats(docs: DataFrame, items: Callable, length: int, gram: int, joiner: str, within: bool, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_items, n_removed, kept_text (what stays, joined by joiner) and the columns in carry (under _0, _1, ...) for every row."""
-    rows, more = _keyed(docs, id_col, text, carry), tuple(f"_{i}" for i in range(len(carry)))
-    gone = later_windows(rows.select("_rid", "text"), items, length, gram)
-    marked = rows.join(gone, rows._rid == gone.rid, "left").select("_rid", "text", "_gone", *more)
-    glue = joiner.encode()
+    return scan(rows.withColumn("_tag", F.xxhash64("text")), make, "low long, tag long, block int, items string")
+
+
+def sources(rows: DataFrame, found: DataFrame, grain: Grain) -> DataFrame:
+    """rid, _from: for each document the items of first documents that its matches propose, with PAD items on either side: a list
+    of low, tag, diag, at (the document's place that the first item stands against) and items."""
+    pad = max(1, grain.length - 1)
+    lo, hi = F.greatest(F.lit(0), F.col("start") - F.col("diag") - pad), F.col("end") - F.col("diag") + pad
+    needs = found.select("rid", "low", "diag", lo.alias("lo"), hi.alias("hi")).select("*", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor((F.col("hi") - 1) / BLOCK).cast("int"))).alias("block"))
+    asked = durable(needs.groupBy("low", "block").agg(F.count(F.lit(1)).alias("n")))
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = asked.where((F.col("n") >= LEAST) & (F.col("n") * HOT > total)).select("low", "block", F.ceil(F.col("n") * HOT / F.lit(max(1, total))).cast("int").alias("salts"))
+    lists = asked.groupBy("low").agg(F.collect_list("block").alias("_blocks"))  # as many as the document has blocks, at most
+    pieces = _pieces(rows.join(lists, rows._rid == lists.low).select("_rid", "text", "_blocks"), grain)
+    salted = lambda df, salt: df.join(F.broadcast(hot), ["low", "block"], "left").withColumn("_salt", salt).drop("salts")
+    pieces = salted(pieces, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    needs = salted(needs, F.pmod(F.xxhash64("rid", "diag"), F.coalesce("salts", F.lit(1))).cast("int"))
+    both = needs.join(pieces, ["low", "block", "_salt"])
+    a = F.greatest("lo", F.col("block") * BLOCK)
+    n = F.least("hi", (F.col("block") + 1) * BLOCK) - a
+    cut = F.array_join(F.slice(F.split("items", grain.glue), (a - F.col("block") * BLOCK + 1).cast("int"), n.cast("int")), grain.glue)
+    out = both.select("rid", "low", "tag", "diag", (a + F.col("diag")).cast("int").alias("at"), cut.alias("items"))
+    out = durable(out.groupBy("rid").agg(F.collect_list(F.struct("low", "tag", "diag", "at", "items")).alias("_from")))
+    release(asked)
+    return out
+
+
+def kept_runs(eq: np.ndarray, worded: np.ndarray, long: np.ndarray, length: int) -> np.ndarray:
+    """Which items the windows cover that lie wholly within equal items."""
+    out = eq & long
+    if len(eq) >= length:
+        total = np.concatenate([[0], np.cumsum(eq)])
+        whole = (total[length:] - total[:-length] == length) & any_in(worded, length)
+        edge = np.zeros(len(eq) + 1, np.int64)
+        edge[: len(whole)] += whole
+        edge[length:] -= whole
+        out |= np.cumsum(edge[:-1]) > 0
+    return out
+
+
+def _extended(own: list[bytes], found: list[dict], worded: np.ndarray, long: np.ndarray, grain: Grain) -> np.ndarray:
+    """Which items of a document are in maximal repeats. found: what sources() lists for it."""
+    out, glue = np.zeros(len(own), bool), grain.glue
+    found = sorted(found, key=lambda m: (m["low"], m["tag"], m["diag"], m["at"]))
+    here, reach = np.zeros(len(own), bool), []
+
+    def close():
+        if reach:
+            a, b = reach[0], reach[-1]
+            out[a:b] |= kept_runs(here[a:b], worded[a:b], long[a:b], grain.length)
+            here[a:b] = False
+            reach.clear()
+
+    key = None
+    for m in found:
+        at, theirs = m["at"], m["items"].split(glue)
+        if at < 0:
+            at, theirs = 0, theirs[-at:]
+        theirs = theirs[: max(0, len(own) - at)]
+        if (m["low"], m["tag"], m["diag"]) != key or (reach and at > reach[-1]):
+            close()
+            key = (m["low"], m["tag"], m["diag"])
+        if theirs:
+            here[at : at + len(theirs)] |= [a == b for a, b in zip(own[at : at + len(theirs)], theirs)]
+            reach.extend([at, max([at + len(theirs), *reach[-1:]])])
+    close()
+    return out
+
+
+def _within(t: Texts, grain: Grain, start: np.ndarray, end: np.ndarray, first: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which items are covered by windows that began earlier in the same text. Texts are compared, hashes only propose."""
+    out, raw = np.zeros(len(start), bool), t.data.tobytes()
+
+    def later(key, own, at, span):
+        order = np.lexsort((at, key, own))
+        key, own, at = key[order], own[order], at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else at
+        for p, q in zip(at[~new].tolist(), lead[~new].tolist()):  # items of a window lie side by side in the text
+            if raw[start[p] : end[p + span - 1]] == raw[start[q] : end[q + span - 1]]:
+                out[p : p + span] = True
+
+    for own, pos, whole, _, _ in chunks(t, grain):
+        later(whole, own, first[own] + pos, grain.length)
+    at = np.flatnonzero(long)
+    later(item_hashes(t, start[at], end[at]), owners(first)[at], at, 1)
+    return out
+
+
+def remove_repeats(docs: DataFrame, grain: Grain, within: bool, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_items, n_removed, kept_text (what stays, joined by the grain's glue) and the columns in carry (under _0, _1, ...) for every
+    row. within: a window that began earlier in the same text goes too (for items that the glue parts in the text, as lines)."""
+    more = tuple(f"_{i}" for i in range(len(carry)))
+    own_id = F.col(id_col).cast("long")
+    rows = docs.select(own_id.alias("_doc"), F.coalesce(own_id, F.lit(LAST)).alias("_rid"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more)])
+    bare = rows.select("_rid", "text")
+    proposed = matches(bare, grain)
+    told = sources(bare, proposed, grain)
+    release(proposed)
+    beside = rows.join(told, rows._rid == told.rid, "left").select("_doc", "text", "_from", *more)
+    glue = grain.glue.encode()
 
     def make():
         def work(part, t):
-            start, end, first, drop = _marked(part, t, items, length, gram, within)
-            raw, texts = t.data.tobytes(), []
-            removed = np.concatenate([[0], np.cumsum(drop)])
-            removed = removed[first[1:]] - removed[first[:-1]]
-            keep = ~drop
-            for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
-                k = keep[i:j]
+            start, end, first = grain.items(t)
+            worded = grain.worded(t, start, end)
+            long = grain.long(t, start, end, worded)
+            drop = _within(t, grain, start, end, first, long) if within else np.zeros(len(start), bool)
+            raw, texts, lists = t.data.tobytes(), [], part.column("_from").to_pylist()
+            for n, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                if lists[n]:
+                    own = [raw[a:b].decode() for a, b in zip(start[i:j].tolist(), end[i:j].tolist())]
+                    drop[i:j] |= _extended(own, lists[n], worded[i:j], long[i:j], grain)
+                k = ~drop[i:j]
                 texts.append(glue.join([raw[a:b] for a, b in zip(start[i:j][k].tolist(), end[i:j][k].tolist())]).decode())
-            return part.column("_rid"), np.diff(first), removed, pa.array(texts, pa.string())
+            removed = np.concatenate([[0], np.cumsum(drop)])
+            return part.column("_doc"), np.diff(first), removed[first[1:]] - removed[first[:-1]], pa.array(texts, pa.string())
 
         return work
 
-    out = scan(marked, make, "rid long, n_items long, n_removed long, kept_text string", carry=more)
-    return out.select(_null_last(F.col("rid")).alias("doc_id"), "n_items", "n_removed", "kept_text", *more)
-
-
-def _null_last(rid: Column) -> Column:
-    return F.when(rid != LAST, rid)
+    return scan(beside, make, "doc_id long, n_items long, n_removed long, kept_text string", carry=more)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 13, gram: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each word covered by a window of `words` words that also begins in a document
     with a smaller id is removed; kept words are joined by one space. Windows are judged on the input."""
-    out = remove_repeats(docs, word_items, words, gram, " ", False, id_col, text)
-    return out.withColumnRenamed("n_items", "n_words")
+    return remove_repeats(docs, Grain(word_items, " ", words, gram), False, id_col, text).withColumnRenamed("n_items", "n_words")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lines: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text: of runs of `lines` or more lines that occur several times, the first (by doc_id,
-    then place) stays and later ones are deleted. carry: as in remove_repeats. Lines are compared whole; an empty text has one empty line."""
-    out = remove_repeats(docs, line_items, lines, 1, "\n", True, id_col, text, carry)
-    return out.withColumnRenamed("n_items", "n_lines")
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lines: int = 2, alone: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text: of runs of `lines` or more lines with a word among each `lines` of them, and of single
+    lines of `alone` characters or more, that occur several times, the first (by doc_id, then place) stays and later ones are
+    deleted. carry: as in remove_repeats. Lines are compared whole; an empty text has one empty line."""
+    return remove_repeats(docs, Grain(line_items, "\n", lines, 1, alone, True), True, id_col, text, carry).withColumnRenamed("n_items", "n_lines")

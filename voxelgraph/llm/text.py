@@ -1,7 +1,8 @@
 """Vectorised text kernels that run on Arrow batches inside tasks: words, lines and n-grams as numpy arrays.
 
-Texts are UTF-8 bytes laid end to end, as Arrow keeps them. All hashes are 64 bits: a polynomial modulo 2**64 over the
-bytes, from prefix sums, mixed at the end. A null text counts as empty.
+Texts are UTF-8 bytes laid end to end, as Arrow keeps them. A null text counts as empty. Hashes have 64 bits, of two kinds:
+item_hashes() and what grams() makes of them tell items apart (no structured collisions, at most 8 bytes are hashed without any);
+Texts.hashes(), a polynomial modulo 2**64 from prefix sums, collides on long texts built for that and only picks features.
 """
 
 from __future__ import annotations
@@ -118,13 +119,33 @@ class Texts:
         return start, end, np.concatenate([[0], np.cumsum(per)])
 
 
+#: What keeps the lowest 0 to 8 bytes of a word.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
+
+
+def item_hashes(t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes that tell items apart: of up to 8 bytes by a bijection of the bytes, of more by XXH3."""
+    import xxhash
+
+    size, out = end - start, np.zeros(len(start), U)
+    eight = np.ndarray((len(t.data) + 1,), "<u8", np.concatenate([t.data, np.zeros(8, np.uint8)]), 0, (1,))
+    few = size <= 8
+    n = size[few]
+    out[few] = mix(mix((eight[start[few]] & _LOW[n]) ^ (n.astype(U) * U(0x9E3779B97F4A7C15))) + U(1))
+    many = np.flatnonzero(~few)
+    if len(many):
+        raw, digest = t.data.tobytes(), xxhash.xxh3_64_intdigest
+        out[many] = np.fromiter((digest(raw[a:b]) for a, b in zip(start[many].tolist(), end[many].tolist())), U, len(many))
+    return out
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """For each item, the index of the text that holds it."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-#: Odd multipliers, one for each place in an n-gram of items.
 def multipliers(k: int, seed: int) -> np.ndarray:
+    """Odd multipliers, one for each place in an n-gram of items."""
     with np.errstate(over="ignore"):
         return mix(np.arange(1, k + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
 
