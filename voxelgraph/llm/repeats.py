@@ -209,21 +209,29 @@ def _hot(sample: DataFrame, total: int, *keys: str) -> DataFrame:
     return durable(sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= LEAST) & (F.col("_n") * HOT > total)).drop("_n"))
 
 
-def settled(seeds: DataFrame, length: int) -> DataFrame:
-    """_joined() of seeds (a written table), with hot keys dealt out."""
+def settled(seeds: DataFrame, length: int, opens: bool = True) -> DataFrame:
+    """_joined() of seeds (a written table), with hot keys dealt out. opens: whether rows with low null are wanted."""
     sample = seeds.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)
     total = sample.count()
-    hot_x, hot_g = _hot(sample, total, "g", "x"), _hot(sample, total, "g")  # fewer than HOT rows each
-    marked = seeds.join(F.broadcast(hot_x.withColumn("_hot", F.lit(True))), ["g", "x"], "left").join(F.broadcast(hot_g.withColumn("_wide", F.lit(True))), "g", "left")
-    # An anchor with very many extents is dealt by extent too: all of them have others.
-    cold = marked.where("_hot is null").withColumn("_many", F.col("_wide").isNotNull()).withColumn("_k", F.when(F.col("_many"), F.xxhash64("g", "x")).otherwise(F.col("g")))
-    out = _joined(cold.repartition("_k"), length)
+    hot = _hot(sample, total, "g", "x")  # fewer than HOT rows, as below
+    marked = seeds.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["g", "x"], "left").where("_hot is null")
+    if opens:  # an anchor with very many extents is dealt by extent too: all of them have others
+        wide = _hot(sample, total, "g").withColumn("_many", F.lit(True))
+        marked = marked.join(F.broadcast(wide), "g", "left").withColumn("_many", F.col("_many").isNotNull())
+        marked = marked.withColumn("_k", F.when(F.col("_many"), F.xxhash64("g", "x")).otherwise(F.col("g")))
+    else:
+        marked = marked.withColumn("_many", F.lit(False)).withColumn("_k", F.xxhash64("g", "x"))
+    out = _joined(marked.repartition("_k"), length if opens else LAST)  # no extent has LAST items
+    if hot.isEmpty():
+        return out
     # A very frequent extent: its first seed, combined before it moves, comes back by broadcast.
-    often = seeds.join(F.broadcast(hot_x), ["g", "x"])
+    often = seeds.join(F.broadcast(hot), ["g", "x"])
     first = durable(often.groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
     again = often.join(F.broadcast(first), ["g", "x"]).where("rid > _f.rid").select("rid", "pos", "span", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
-    opens = first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "cast(null as long) low", "cast(null as int) at")
-    return out.unionByName(again).unionByName(opens)
+    out = out.unionByName(again)
+    if opens:
+        out = out.unionByName(first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "cast(null as long) low", "cast(null as int) at"))
+    return out
 
 
 def matches(rows: DataFrame, grain: Grain) -> DataFrame:
@@ -233,8 +241,7 @@ def matches(rows: DataFrame, grain: Grain) -> DataFrame:
     release(seeds)
     opens = found.where("low is null").groupBy("rid").agg(F.collect_list(F.struct("pos", "span")).alias("_open"))
     singles = durable(_singles(rows.join(opens, rows._rid == opens.rid).select("_rid", "text", "_open"), grain))
-    # Single windows give pairs only: no extent is longer than LAST items.
-    pairs = found.where("low is not null").unionByName(settled(singles, LAST))
+    pairs = found.where("low is not null").unionByName(settled(singles, grain.length, opens=False))
     d = pairs.select("rid", "low", (F.col("pos") - F.col("at")).alias("diag"), F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end"))
     w = Window.partitionBy("rid", "low", "diag").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -305,30 +312,25 @@ def kept_runs(eq: np.ndarray, worded: np.ndarray, long: np.ndarray, length: int)
 
 def _extended(own: list[bytes], found: list[dict], worded: np.ndarray, long: np.ndarray, grain: Grain) -> np.ndarray:
     """Which items of a document are in maximal repeats. found: what sources() lists for it."""
-    out, glue = np.zeros(len(own), bool), grain.glue
-    found = sorted(found, key=lambda m: (m["low"], m["tag"], m["diag"], m["at"]))
-    here, reach = np.zeros(len(own), bool), []
-
-    def close():
-        if reach:
-            a, b = reach[0], reach[-1]
-            out[a:b] |= kept_runs(here[a:b], worded[a:b], long[a:b], grain.length)
-            here[a:b] = False
-            reach.clear()
-
-    key = None
-    for m in found:
-        at, theirs = m["at"], m["items"].split(glue)
+    out, equal, places, key, reach = np.zeros(len(own), bool), [], [], None, 0
+    for m in sorted(found, key=lambda m: (m["low"], m["tag"], m["diag"], m["at"])):
+        at, theirs = m["at"], m["items"].split(grain.glue)
         if at < 0:
             at, theirs = 0, theirs[-at:]
         theirs = theirs[: max(0, len(own) - at)]
-        if (m["low"], m["tag"], m["diag"]) != key or (reach and at > reach[-1]):
-            close()
-            key = (m["low"], m["tag"], m["diag"])
-        if theirs:
-            here[at : at + len(theirs)] |= [a == b for a, b in zip(own[at : at + len(theirs)], theirs)]
-            reach.extend([at, max([at + len(theirs), *reach[-1:]])])
-    close()
+        here = (m["low"], m["tag"], m["diag"])
+        if here == key and at < reach:  # blocks that overlap: what is there already has been compared
+            theirs, at = theirs[reach - at :], reach
+        if not theirs:
+            continue
+        if here != key or at > reach:  # no run goes on across a gap
+            equal.append(False)
+            places.append(0)
+        key, reach = here, at + len(theirs)
+        equal += [a == b for a, b in zip(own[at:reach], theirs)]
+        places += range(at, reach)
+    place = np.array(places, np.int64)
+    out[place[kept_runs(np.array(equal, bool), worded[place], long[place], grain.length)]] = True
     return out
 
 
