@@ -565,3 +565,17 @@ def test_mixing_on_awkward_rows(spark):
     assert len(got) == 11 and all(0 <= r.rate <= 1 for r in got)
     assert mixing.mix_documents(rows, domains.limit(0), {"a": 1}).rates.count() == 11
     assert mixing.mix_documents(empty(spark), domains, {"a": 1}).rates.count() == 0
+
+
+@pytest.mark.parametrize("glue", [" ", "\n"])
+def test_kept_texts_join_what_stays(glue):
+    from voxelgraph.llm.text import kept_texts
+
+    rng = random.Random(1)
+    texts = ["", None, " a\t\tb ", "\n\n", "é é\nü", "one", *["".join(rng.choice("ab \n\té") for _ in range(rng.randrange(12))) for _ in range(60)]]
+    t = Texts(pa.array(texts, pa.large_string()), Powers())
+    start, end, first = repeats.word_items(t) if glue == " " else repeats.line_items(t)
+    keep = np.array([rng.random() < 0.6 for _ in start], bool)
+    items = [WORD.findall(x or "") if glue == " " else (x or "").split("\n") for x in texts]
+    want = [glue.join(w for w, k in zip(seq, keep[first[i] :]) if k) for i, seq in enumerate(items)]
+    assert kept_texts(t, start, end, first, keep, glue).to_pylist() == want

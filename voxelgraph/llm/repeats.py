@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelgraph.llm.text import Texts, U, grams, inside, item_hashes, mix, owners, scan, signed, space_table
+from voxelgraph.llm.text import Texts, U, grams, inside, item_hashes, kept_texts, mix, owners, scan, signed, space_table
 from voxelgraph.storage import durable, release
 
 LAST = (1 << 63) - 1
@@ -225,9 +225,8 @@ def settled(seeds: DataFrame, length: int, opens: bool = True) -> DataFrame:
     if hot.isEmpty():
         return out
     # A very frequent extent: its first seed, combined before it moves, comes back by broadcast.
-    often = seeds.join(F.broadcast(hot), ["g", "x"])
-    first = durable(often.groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
-    again = often.join(F.broadcast(first), ["g", "x"]).where("rid > _f.rid").select("rid", "pos", "span", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
+    first = durable(seeds.join(F.broadcast(hot), ["g", "x"]).groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
+    again = seeds.join(F.broadcast(first), ["g", "x"], "left").where(F.col("rid") > F.coalesce("_f.rid", F.lit(LAST))).select("rid", "pos", "span", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
     out = out.unionByName(again)
     if opens:
         out = out.unionByName(first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "cast(null as long) low", "cast(null as int) at"))
@@ -366,7 +365,6 @@ def remove_repeats(docs: DataFrame, grain: Grain, within: bool, id_col: str = "d
     told = sources(bare, proposed, grain)
     release(proposed)
     beside = rows.join(told, rows._rid == told.rid, "left").select("_doc", "text", "_from", *more)
-    glue = grain.glue.encode()
 
     def make():
         def work(part, t):
@@ -374,15 +372,13 @@ def remove_repeats(docs: DataFrame, grain: Grain, within: bool, id_col: str = "d
             worded = grain.worded(t, start, end)
             long = grain.long(t, start, end, worded)
             drop = _within(t, grain, start, end, first, long) if within else np.zeros(len(start), bool)
-            raw, texts, lists = t.data.tobytes(), [], part.column("_from").to_pylist()
-            for n, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                if lists[n]:
-                    own = [raw[a:b].decode() for a, b in zip(start[i:j].tolist(), end[i:j].tolist())]
-                    drop[i:j] |= _extended(own, lists[n], worded[i:j], long[i:j], grain)
-                k = ~drop[i:j]
-                texts.append(glue.join([raw[a:b] for a, b in zip(start[i:j][k].tolist(), end[i:j][k].tolist())]).decode())
+            for n in np.flatnonzero(np.asarray(part.column("_from").is_valid())).tolist():
+                i, j = first[n], first[n + 1]
+                raw, base = t.data[t.off[n] : t.off[n + 1]].tobytes(), t.off[n]
+                own = [raw[a:b].decode() for a, b in zip((start[i:j] - base).tolist(), (end[i:j] - base).tolist())]
+                drop[i:j] |= _extended(own, part.column("_from")[n].as_py(), worded[i:j], long[i:j], grain)
             removed = np.concatenate([[0], np.cumsum(drop)])
-            return part.column("_doc"), np.diff(first), removed[first[1:]] - removed[first[:-1]], pa.array(texts, pa.string())
+            return part.column("_doc"), np.diff(first), removed[first[1:]] - removed[first[:-1]], kept_texts(t, start, end, first, ~drop, grain.glue)
 
         return work
 

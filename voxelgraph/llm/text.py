@@ -168,6 +168,20 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
     return own[:n] == own[k - 1 :] if n > 0 else np.zeros(0, bool)
 
 
+def kept_texts(t: Texts, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray, glue: str) -> pa.Array:
+    """Of each text the items kept, joined by glue (one byte). At least one byte lies between two items of a text."""
+    at, own = np.flatnonzero(keep), owners(first)[keep]
+    last = np.ones(len(at), bool)
+    last[:-1] = own[1:] != own[:-1]
+    data, edge = t.data.copy(), np.zeros(len(t.data) + 2, np.int8)
+    data[end[at[~last]]] = ord(glue)
+    np.add.at(edge, start[at], 1)
+    np.add.at(edge, end[at] + ~last, -1)
+    stay = np.cumsum(edge[: len(data)], dtype=np.int8) > 0
+    off = np.concatenate([[0], np.cumsum(stay)])[t.off]
+    return pa.Array.from_buffers(pa.large_string(), t.n, [None, pa.py_buffer(off.astype("<i8")), pa.py_buffer(data[stay])])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about limit bytes of text."""
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
