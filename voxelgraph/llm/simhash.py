@@ -10,10 +10,15 @@ Edge cases: a null or empty text, or one without words, has fingerprint zero, wh
 become a component's id unless it has no other; repeated rows share a fingerprint; an empty table gives an empty result; other
 columns of the input are not read.
 
-similar_documents() takes fingerprints for candidates only, within a wide radius of bits, and links documents whose sets of word
-shingles have a Jaccard similarity of at least `least`, computed from the texts. bits // 2 + 1 segments guarantee one that differs by
-one bit at most. A short first round joins most of a group of copies by few pairs; the full round then takes every pair within the
-radius whose ends aren't joined yet, so no pair is left out and no group of copies is expanded into its pairs.
+Very long texts: fingerprints() takes some 100 bytes for each word of the longest text, a sketch some 200. Ties have no say:
+fingerprints depend on the text alone, and a component's id is its smallest.
+
+similar_documents() uses the same variants on longer signatures to find candidates, and links documents whose sets of word
+shingles have a Jaccard similarity of at least `least`, computed from the texts. PRINTS fingerprints of a document's set of words
+make one string of bits, cut into SEGMENTS; each is indexed under every segment with one bit left out, and documents that share
+one are candidates if the whole strings are close. A pair whose every segment differs by two bits or more is missed: recall is
+measured in the tests and the README. Keys of 22 bits and more hold few strangers, so the work grows with the documents; members of
+crowded keys are joined by few pairs first, and only those still apart meet again.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgraph.llm.components import components
-from voxelgraph.llm.text import Powers, Texts, U, mix, scan, signed, space_table
-from voxelgraph.storage import durable
+from voxelgraph.llm.text import Texts, U, grams, inside, item_hashes, mix, owners, scan, signed, space_table
+from voxelgraph.storage import durable, release
 
 #: A variant with more fingerprints than this goes to the exact two-bit index: beyond it, pairs cost more than that index.
 FULL = 64
@@ -191,111 +196,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _cuts(bits: int) -> np.ndarray:
-    """Where the bits // 2 + 1 segments of 64 bits begin, and the end."""
-    return np.linspace(0, 64, bits // 2 + 2).round().astype(int)
+#: similar_documents(): fingerprints of 64 bits, segments they are cut into together, bits in which two may differ in the first
+#: fingerprint and in all, and members of a key that are compared in place.
+PRINTS, SEGMENTS, NEAR, NEAR_ALL, CROWD = 4, 11, 20, 60, 16
 
 
-def _sketches(docs: DataFrame, id_col: str, text: str, shingle: int, words: int) -> DataFrame:
-    """doc_id, fp, size, node: the fingerprint, how many distinct shingles of `words` words there are, and a hash of their set."""
+def _sets(t: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the word shingles of each text in turn, and where each text's begin; a text of fewer words has one."""
+    start, end, first = t.words(space_table())
+    h, own, per = item_hashes(t, start, end), owners(first), np.diff(first)
+    found = [(grams(h, words)[inside(first, words)], own[: max(0, len(h) - words + 1)][inside(first, words)])]
+    for k in range(1, words):
+        few = np.flatnonzero(per == k)
+        found.append((grams(h, k, seed=7 + k)[first[few]], few))
+    return _distinct(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), t.n)
 
-    def make():
-        import xxhash
 
-        digest, blanks = xxhash.xxh64_intdigest, space_table()
+def _distinct(x: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((x, own))
+    x, own = x[order], own[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (own[1:] != own[:-1])
+    return x[new], np.searchsorted(own[new], np.arange(n + 1))
+
+
+def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of each text's run."""
+    total = np.zeros(len(x) + 1, U)
+    np.cumsum(x, out=total[1:])
+    return total[begin[1:]] - total[begin[:-1]]
+
 
+def _sketches(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
+    """doc_id, node, size, fp0, fp1, ...: a hash of the set of shingles of `words` words, how many they are, and fingerprints of the set
+    of words: bit set if set in over half of its members' hashes. Edits move few of a text's words but `words` times as many of
+    its shingles, so documents alike in shingles differ in few bits."""
+
+    def make():
         def work(part, t):
             t.lower()
-            found = t.words(blanks)
-            fp = _majority(*_shingles(t, digest, found, shingle))
-            h, count = _shingles(t, digest, found, words)
-            size, node = np.zeros(t.n, np.int64), np.zeros(t.n, U)
-            ends = np.cumsum(count)
-            for i, (a, b) in enumerate(zip((ends - count).tolist(), ends.tolist())):
-                x = np.unique(h[a:b])
-                size[i], node[i] = len(x), mix(x).sum(dtype=U)
-            return part.column("_doc"), signed(fp), size, signed(mix(node + size.astype(U)))
+            x, begin = _sets(t, words)
+            size = np.diff(begin)
+            node = mix(_sums(mix(x), begin) + size.astype(U))
+            start, end, first = t.words(space_table())
+            w, at = _distinct(item_hashes(t, start, end), owners(first), t.n)
+            prints = [_majority(mix(w ^ mix(np.full(1, k + 1, U))), np.diff(at)) for k in range(PRINTS)]
+            return part.column("_doc"), signed(node), size, *[signed(f) for f in prints]
 
         return work
 
-    return scan(docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).cast("string").alias("text")), make, "doc_id long, fp long, size long, node long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).cast("string").alias("text"))
+    return scan(rows, make, "doc_id long, node long, size long, " + ", ".join(f"fp{k} long" for k in range(PRINTS)))
 
 
-def _segments(rows: DataFrame, bits: int, wild: bool) -> DataFrame:
-    """key and the columns of rows (fp first): a key for each segment, or with wild for each segment without each of its bits."""
-    cuts, names = _cuts(bits), rows.columns
+def _keys(prints: DataFrame) -> DataFrame:
+    """key, size, fp, node (and label, where prints has it) for each wildcard place: its number, and its segment of all fingerprints' bits
+    without it. fp is the first one."""
+    more = ["label"] if "label" in prints.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = np.linspace(0, 64 * PRINTS, SEGMENTS + 1).round().astype(int).tolist()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fp, keys = np.asarray(part.column(0), np.int64).view(U), []
-                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                    seg = (fp >> U(a)) & U((1 << (b - a)) - 1)
-                    keys += [(U(i) << U(32)) | seg & ~(U(1) << U(i - a)) for i in range(a, b)] if wild else [(U(a) << U(32)) | seg]
-                which = np.repeat(np.arange(part.num_rows), len(keys))
-                key = mix(np.stack(keys, axis=1).ravel() + U(1))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *[pa.array(np.asarray(c, np.int64)[which]) for c in part.columns]], names=["key", *names])
-
-    return rows.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
-
-
-def _candidates(rows: DataFrame, bits: int, least: float, whole: bool, hold: int = 100_000) -> DataFrame:
-    """a, b: nodes of rows (fp, size, node, label) within `bits` bits of each other that differ in label, where the sizes allow a
-    similarity of `least`. whole: every such pair; else of each node one that comes shortly before it in a segment."""
-    cuts = _cuts(bits)
-
-    def pairs(key, fp, size, node, label) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(begin, len(key)))
-        end, left, found = np.repeat(begin + n, n), np.flatnonzero(np.repeat(n, n) > 1), []
-        for step in range(1, int(n.max()) if whole else 33):
-            left = left[left + step < end[left]]
-            left = left[size[left] >= least * size[left + step] - 1e-9]  # sizes ascend within a key
-            if not len(left):
-                break
-            ok = np.bitwise_count(fp[left] ^ fp[left + step]) <= bits
-            ok &= label[left] != label[left + step]
-            i, j = left[ok], left[ok] + step
-            if whole and len(i):  # a pair shares many keys: report it where it is first met
-                d, first = fp[i] ^ fp[j], np.full(len(i), -1)
-                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                    seg = (d >> U(a)) & U((1 << (b - a)) - 1)
-                    place = a + np.where(seg > 0, np.bitwise_count((seg & (~seg + U(1))) - U(1)), 0)
-                    first = np.where((first < 0) & (np.bitwise_count(seg) <= 1), place, first)
-                low = np.zeros(len(i), U)
-                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                    seg = (fp[i] >> U(a)) & U((1 << (b - a)) - 1)
-                    clear = ~(U(1) << np.maximum(first - a, 0).astype(U))
-                    low = np.where((first >= a) & (first < b), seg & clear, low)
-                met = mix((first.astype(U) << U(32) | low) + U(1)) == key[i].view(U)
-                i, j = i[met], j[met]
-            found.append((node[i], node[j]))
-            if not whole:
-                left = left[~ok]
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = np.stack([np.asarray(part.column(f"fp{k}"), np.int64) for k in range(PRINTS)], axis=1)
+                bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").astype(U)
+                keys = []
+                for a, b in zip(cuts, cuts[1:]):
+                    one = U(1) << np.arange(b - a, dtype=U)
+                    segment = (bits[:, a:b] * one).sum(1, dtype=U)[:, None]
+                    keys.append(((np.arange(a, b, dtype=U) + U(1)) << U(32)) | (segment & ~one))
+                key = mix(np.concatenate(keys, axis=1))
+                each = [np.repeat(np.asarray(part.column(c), np.int64), key.shape[1]) for c in ("size", "fp0", "node", *more)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), *map(pa.array, each)], names=["key", "size", "fp", "node", *more])
+
+    return prints.select("node", "size", *[f"fp{k}" for k in range(PRINTS)], *more).mapInArrow(run, "key long, size long, fp long, node long" + ", label long" * len(more))
+
+
+def _met(keys: DataFrame, least: float) -> DataFrame:
+    """a, b, d: nodes that share a key with at most CROWD others, whose sizes allow a similarity of `least` and whose first
+    fingerprints are d <= NEAR bits apart; of a crowded key each with those among the CROWD before it, and (a = b) all its members. Rows
+    come by key and size; what is held are the last CROWD of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, before = None, 0  # the last rows of the key that is open, and how many it had before them
         for batch in batches:
-            held.append([np.asarray(c, np.int64) for c in batch.columns])
-            n += batch.num_rows
-            if n < hold:
+            key, size, fp, node = (np.asarray(c, np.int64) for c in batch.columns)
+            if not len(key):
                 continue
-            key, fp, size, node, label = (np.concatenate(c) for c in zip(*held))
-            at = int(np.searchsorted(key, key[-1]))
-            if at:
-                yield pairs(key[:at], fp[:at].view(U), size[:at], node[:at], label[:at])
-            held = [[c[at:] for c in (key, fp, size, node, label)]]
-            n = 0  # a key of many rows is gathered by concatenation, once for each `hold` rows
-        if held:
-            key, fp, size, node, label = (np.concatenate(c) for c in zip(*held))
-            if len(key):
-                yield pairs(key, fp.view(U), size, node, label)
-
-    keyed = _segments(rows.select("fp", "size", "node", "label"), bits, whole).repartition("key").sortWithinPartitions("key", "size")
-    return keyed.mapInArrow(run, "a long, b long").distinct()
+            old = 0
+            if held is not None:
+                old = len(held[0])
+                key, size, fp, node = (np.concatenate(c) for c in zip(held, (key, size, fp, node)))
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            place = np.arange(len(key)) - begin + np.where(begin == 0, before, 0)
+            f, found, left = fp.view(U), [], np.arange(max(old, 1), len(key))
+            for step in range(1, CROWD + 1):
+                left = left[left - step >= begin[left]]
+                left = left[size[left - step] >= least * size[left] - 1e-9]
+                if not len(left):
+                    break
+                d = np.bitwise_count(f[left] ^ f[left - step]).astype(np.int64)
+                ok = d <= NEAR
+                found.append((node[left[ok]], node[left[ok] - step], d[ok]))
+            fresh = np.arange(len(key)) >= old
+            over = np.flatnonzero((place >= CROWD) & fresh)
+            first = over[place[over] == CROWD]
+            over = np.concatenate([over, (first[:, None] - np.arange(1, CROWD + 1)).ravel()])
+            found.append((node[over], node[over], np.zeros(len(over), np.int64)))
+            a, b, d = (np.concatenate(c) for c in zip(*found))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
+            tail = max(begin[-1], len(key) - CROWD)
+            held, before = [c[tail:] for c in (key, size, fp, node)], int(place[tail])
+
+    return keys.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long, d long")
+
+
+def _apart(keys: DataFrame, least: float) -> DataFrame:
+    """a, b, d: pairs of nodes with different labels that share a key, within the same bounds as in _met(). In a key, the most frequent label
+    meets all others, but not itself."""
+    each = keys.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.expr("max_by(label, struct(n, label))").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    k = keys.join(each, "key").select("key", "size", "fp", "node", "label", "most")
+    few = k.where("label <> most").select("key", F.col("size").alias("s"), F.col("fp").alias("f"), F.col("node").alias("m"), F.col("label").alias("l"))
+    d = F.bit_count(F.col("f").bitwiseXOR(F.col("fp")))
+    pairs = few.join(k, "key").where((F.col("l") != F.col("label")) & (F.least("s", "size") >= least * F.greatest("s", "size") - 1e-9) & (d <= NEAR))
+    return pairs.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"), d.cast("long").alias("d")).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -303,19 +330,10 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "text"), "b").select("a", "b", "left", "text")
 
     def make():
-        import xxhash
-
-        digest, blanks, powers = xxhash.xxh64_intdigest, space_table(), Powers()
-
         def work(part, t):
-            other = Texts(part.column("left"), powers)
-            sets = []
-            for x in (t.lower(), other.lower()):
-                h, count = _shingles(x, digest, x.words(blanks), words)
-                sets.append([np.unique(y) for y in np.split(h, np.cumsum(count)[:-1])])
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)])
-            total = np.array([len(x) + len(y) for x, y in zip(*sets)]) - common
-            ok = common >= least * total - 1e-9
+            (x, i), (y, j) = _sets(t.lower(), words), _sets(Texts(part.column("left"), t.powers).lower(), words)
+            common = np.array([len(np.intersect1d(x[i[n] : i[n + 1]], y[j[n] : j[n + 1]], assume_unique=True)) for n in range(t.n)], np.int64)
+            ok = common >= least * (np.diff(i) + np.diff(j) - common) - 1e-9
             return np.asarray(part.column("a"), np.int64)[ok], np.asarray(part.column("b"), np.int64)[ok]
 
         return work
@@ -323,56 +341,79 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     return scan(both, make, "a long, b long")
 
 
-def _similar(docs: DataFrame, id_col: str, text: str, words: int, least: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node of every row; node, component_id of every node."""
-    rows = durable(_sketches(docs, id_col, text, shingle, words))
-    nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("low")))
-    prints = durable(rows.where("size > 0").select("fp", "size", "node").distinct())
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
-        ids = need.select(F.coalesce("low", F.lit(LAST)).alias("_low")).distinct()
-        there = source.join(ids, F.col("_id") == F.col("_low"), "left_semi").select("doc_id", "text")
-        there = _noded(there, words).join(need, "node", "left_semi").dropDuplicates(["node"])
-        return durable(_alike(pairs, durable(there), words, least))
-
-    near = verified(_candidates(prints.withColumn("label", F.col("node")), bits, least, False))
-    root = components(near)
-    marked = prints.join(root, "node", "left").select("fp", "size", "node", F.coalesce("root", "node").alias("label"))
-    links = near.unionByName(verified(_candidates(durable(marked), bits, least, True)))
-    whole = nodes.join(components(links), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.select("doc_id", "node"), durable(whole.join(ids, "root").select("node", "component_id"))
-
-
 def _noded(texts: DataFrame, words: int) -> DataFrame:
     """node, text for every row of texts (text)."""
 
     def make():
-        import xxhash
-
-        digest, blanks = xxhash.xxh64_intdigest, space_table()
-
         def work(part, t):
-            t.lower()
-            h, count = _shingles(t, digest, t.words(blanks), words)
-            sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
-            return (signed(mix(np.array([mix(x).sum(dtype=U) + U(len(x)) for x in sets], U))),)
+            x, begin = _sets(t.lower(), words)
+            return (signed(mix(_sums(mix(x), begin) + np.diff(begin).astype(U))),)
 
         return work
 
     return scan(texts, make, "node long", carry=("text",))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, shingle: int = 3, bits: int = 11) -> DataFrame:
+def _similar(docs: DataFrame, id_col: str, text: str, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every row; node, component_id of every node."""
+    rows = durable(_sketches(docs, id_col, text, words))
+    nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("low")))
+    fps = [f"fp{k}" for k in range(PRINTS)]
+    prints = durable(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), *[F.first(f).alias(f) for f in fps]))  # one set, one size; of its texts' words one
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.col(text).cast("string").alias("text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are alike by their texts."""
+        pairs = durable(pairs)
+        if pairs.isEmpty():
+            return pairs
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+        ids = need.select(F.coalesce("low", F.lit(LAST)).alias("_low")).distinct()
+        there = source.join(ids, F.col("_id") == F.col("_low"), "left_semi").select("text")
+        there = durable(_noded(there, words).join(need, "node", "left_semi").dropDuplicates(["node"]))
+        out = durable(_alike(pairs, there, words, least))
+        release(pairs, there)
+        return out
+
+    def close(found: DataFrame) -> DataFrame:
+        """Of pairs found by the first fingerprint, those close in all."""
+        one, two = prints.select(F.col("node").alias("a"), *[F.col(f).alias(f"x{f}") for f in fps]), prints.select(F.col("node").alias("b"), *fps)
+        d = sum((F.bit_count(F.col(f"x{f}").bitwiseXOR(F.col(f))) for f in fps), F.lit(0))
+        return found.join(one, "a").join(two, "b").where(d <= NEAR_ALL).select("a", "b", "d")
+
+    def linked(found: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links and those that found adds. Most join by two pairs for each node, its smallest and its nearest neighbour; of the
+        other pairs only those are compared whose ends are still apart. So a group of copies costs pairs in proportion."""
+        both = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "d").unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "d"))
+        two = both.groupBy("x").agg(F.array(F.min("y"), F.expr("min_by(y, struct(d, y))")).alias("_two")).select("x", F.explode("_two").alias("y"))
+        one = verified(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        links = one if links is None else links.unionByName(one)
+        root = durable(components(links))
+        rest = found.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        return links.unionByName(verified(rest.select("a", "b")))
+
+    met = durable(_met(_keys(prints), least).groupBy("a", "b").agg(F.min("d").alias("d")))
+    links = linked(durable(close(met.where("a <> b"))), None)
+    # Members of crowded keys: what is still apart there meets once more.
+    crowd = durable(prints.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"))
+    if not crowd.isEmpty():
+        crowd = crowd.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        keyed = durable(_keys(durable(crowd)))
+        links = linked(durable(close(_apart(keyed, least))), links)
+        release(keyed)
+    release(met)
+    whole = nodes.join(components(links), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.select("doc_id", "node"), durable(whole.join(ids, "root").select("node", "component_id"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, component_id for every row: groups of documents linked by a Jaccard similarity of at least `least` between their sets
-    of `words`-word shingles, among the pairs whose fingerprints of `shingle` words are within `bits` bits."""
-    rows, named = _similar(docs, id_col, text, words, least, shingle, bits)
+    of `words`-word shingles, among the pairs that share a deletion variant (see the module's text)."""
+    rows, named = _similar(docs, id_col, text, words, least)
     return rows.join(named, "node").select("doc_id", "component_id")
 
 
-def first_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, shingle: int = 3, bits: int = 11) -> DataFrame:
+def first_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """component_id: the smallest id of each group of similar_documents()."""
-    return _similar(docs, id_col, text, words, least, shingle, bits)[1].select("component_id").distinct()
+    return _similar(docs, id_col, text, words, least)[1].select("component_id").distinct()
