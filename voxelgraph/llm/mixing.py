@@ -5,15 +5,17 @@
    for each domain, tempered for length, which a small softmax, fitted on labels held back, turns into a posterior.
 2. Every document gets a rate in 0..max_rate. Expected domain totals T_k = sum of rate x tokens x posterior_k should equal
    weight_k x total; the squared misses (each divided by its domain's scale) are minimised by projected gradient steps
-   r <- clip(r - g . p), g from the misses of the step before. A step is one or two distributed sums of K and K x K numbers; the
-   rates are a column expression over the posteriors, written every ten steps.
+   r <- clip(r0 - g . p): g adds up the (scaled) gradients of all steps, which the projection then cuts at once. A step is one
+   distributed sum of K and K x K numbers for each of four step sizes; the rates stay one short column expression.
 
-total None: SLACK below the largest total for which no domain needs more than max_rate times what it has; without slack every
-document with some of the scarcest domain would have to stay whole, whatever else it holds.
+total None: the largest for which no domain needs more than max_rate times what it has, less SLACK, and two in a hundred more
+as long as the targets can't be met (ten times at most): without slack every document with some of the scarcest domain
+would have to stay whole, whatever else it holds.
 
 Edge cases: a null or empty text has no tokens, the prior as posterior, and the rate that follows; null ids are mixed like
 others; null domains aren't learned; domains without a target have weight 0; without any label every document gets the same rate; an
-empty table gives an empty result. Clashing column names can't arise: only id and text are read.
+empty table gives an empty result. Clashing column names can't arise: only id and text are read. Very long texts: a task holds a
+text's words, some 60 bytes each; rates don't depend on ties, and rows that repeat an id are drawn alike.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from voxelgraph.llm.training import sample_ids
 from voxelgraph.storage import durable
 
-BUCKETS, PER_CLASS, TEMPER, LEAST, MARGIN, MOST_DOMAINS, SLACK = 1 << 18, 3000, 100.0, 4, 1.0, 32, 0.04
+BUCKETS, PER_CLASS, TEMPER, LEAST, MARGIN, SLACK = 1 << 18, 3000, 100.0, 4, 1.0, 0.04
 
 
 def words(text: Column) -> Column:
@@ -116,7 +118,7 @@ def posteriors(found: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def memberships(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS) -> tuple[list, DataFrame]:
     """The domains, and doc_id, tokens, p for every row. Half of the sampled labels teach the likelihoods, the other half calibrates."""
-    ids = durable(sample_ids(labelled.select("doc_id", F.col("domain").alias("label")), per_class, MOST_DOMAINS))
+    ids = durable(sample_ids(labelled.select("doc_id", F.col("domain").alias("label")), per_class))
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     domains, model = likelihoods(docs, ids.where(half == 0))
     if not domains:
@@ -140,9 +142,13 @@ class Mix:
     rates: DataFrame = field(repr=False)
 
 
-def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | None = None, max_rate: float = 1.0, steps: int = 60, close: float = 1e-3, slack: float = SLACK) -> Mix:
-    """Rates for members (doc_id, tokens, p). members should be a written table: it is read once a step."""
+def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | None = None, max_rate: float = 1.0, steps: int = 30, close: float = 3e-3, slack: float = SLACK) -> Mix:
+    """Rates for members (doc_id, tokens, p), which miss no domain's target by more than `close` of that target (of the total where the
+    target is 0), or come as near as the steps allow. members should be a written table: it is read once a step. A weight for a
+    domain that nothing is known of is refused."""
     k = len(domains)
+    if domains and (unknown := sorted(d for d, x in weights.items() if x > 0 and d not in domains)):
+        raise ValueError(f"no labels for the domains {unknown}")
     if not k:
         return Mix([], [], [], 0, members.withColumn("rate", F.lit(float(max_rate))))
     p = [F.col("p")[i] for i in range(k)]
@@ -151,9 +157,8 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
     w = np.array([float(weights.get(d, 0)) for d in domains])
     w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
     need = w > 0
-    total = float(total) if total is not None else float((1 - slack) * (max_rate * have[need] / w[need]).min())
-    target = w * total
-    rate: Column = F.lit(float(min(max_rate, total / have.sum()) if have.sum() else 0.0))
+    most = float((max_rate * have[need] / w[need]).min())
+    totals = [float(total)] if total is not None else [most * (1 - slack - 0.02 * n) for n in range(11)]
     moment = members.agg(*[F.sum(tokens * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
     m = np.zeros((k, k))
     m[np.triu_indices(k)] = [x or 0.0 for x in moment]
@@ -162,40 +167,48 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
     scale = np.sqrt(np.maximum(np.diag(m), 1e-9))
     reach = max(np.linalg.eigvalsh(m / np.outer(scale, scale)).max(), 1e-9)
 
-    def measured(r: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals, and second moments of the documents that are not held at a bound."""
-        free = F.when((F.col("_r") > 0) & (F.col("_r") < max_rate), tokens).otherwise(0.0)
-        sums = [F.sum(F.col("_r") * tokens * x) for x in p] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        got = np.array([x or 0.0 for x in members.withColumn("_r", r).agg(*sums).first()])
-        f = np.zeros((k, k))
-        f[np.triu_indices(k)] = got[k:]
-        return got[:k], f + np.triu(f, 1).T
-
-    def moved(r: Column, g: np.ndarray) -> Column:
+    def measured(*rates: Column) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the rates, in one pass: expected totals, and second moments of the documents that are not held at a bound."""
+        sums, rows = [], members.withColumns({f"_r{n}": r for n, r in enumerate(rates)})
+        for n in range(len(rates)):
+            r = F.col(f"_r{n}")
+            free = F.when((r > 0) & (r < max_rate), tokens).otherwise(0.0)
+            sums += [F.sum(r * tokens * x) for x in p] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
+        out = []
+        for got in np.array([x or 0.0 for x in rows.agg(*sums).first()]).reshape(len(rates), -1):
+            f = np.zeros((k, k))
+            f[np.triu_indices(k)] = got[k:]
+            out.append((got[:k], f + np.triu(f, 1).T))
+        return out
+
+    def moved(start: float, g: np.ndarray) -> Column:
+        r = F.lit(start)
         for x, y in zip(g, p):
             r = r - F.lit(float(x)) * y
         return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r))
 
-    best, free = measured(rate)
-    done = 0
-    for done in range(1, steps + 1):
-        e = best - target
-        size = float(np.linalg.norm(e / scale))
-        if np.abs(e).max() <= close * total:
-            break
-        # First the gradient scaled by the free documents' moments; where the bounds spoil that, the plain scaled step.
-        for g in (np.linalg.lstsq(free + 1e-6 * np.diag(scale**2), e, rcond=None)[0], e / scale**2 / reach):
-            tried = moved(rate, g)
-            now, f = measured(tried)
-            after = float(np.linalg.norm((now - target) / scale))
-            if after < 0.9 * size:
+    done, all_tokens = 0, have.sum()
+    for total in totals:
+        target, start = w * total, float(min(max_rate, total / all_tokens)) if all_tokens else 0.0
+        unit = np.maximum(np.where(target > 0, target, total), 1e-9)  # misses count relative to each domain's target
+        gone, sizes = np.zeros(k), []
+        best, free = measured(moved(start, gone))[0]
+        for _ in range(steps):
+            e = best - target
+            sizes.append(float(np.linalg.norm(e / unit)))
+            # Met; or not to be met: five steps in a row gained less than a tenth each.
+            if (np.abs(e) <= close * unit).all() or len(sizes) > 5 and sizes[-1] > 0.9**5 * sizes[-6]:
                 break
-        if after >= 0.999 * size:
+            done += 1
+            # The gradient scaled by the free documents' moments, parts of that, and, where the bounds spoil all, the plain scaled step.
+            newton = np.linalg.lstsq(free + 1e-6 * np.diag(scale**2), e, rcond=None)[0]
+            tried = [gone + g for g in (newton, newton / 3, newton / 10, e / scale**2 / reach)]
+            found = measured(*[moved(start, g) for g in tried])
+            n = int(np.argmin([np.linalg.norm((now - target) / unit) for now, _ in found]))
+            gone, (best, free) = tried[n], found[n]
+        if (np.abs(best - target) <= close * unit).all():
             break
-        rate, best, free = tried, now, f
-        if done % 10 == 9:  # the expression has grown long: write the rates
-            members = durable(members.withColumn("_rate", rate).select("doc_id", "tokens", "p", F.col("_rate").alias("rate")))
-            rate = F.col("rate")
+    rate = moved(start, gone)
     return Mix(domains, target.tolist(), best.tolist(), done, members.withColumn("rate", rate))
 
 

@@ -92,9 +92,9 @@ def score(share: np.ndarray, bias: float, feature: np.ndarray, own: np.ndarray,
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 3, held: int = 1, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Only labels whose fold isn't `held` are learned."""
-    known = labels.where(fold("doc_id", parts) != held).select("doc_id", F.col(label).alias("label"))
+    known = labels.where(fold("doc_id", parts) != held).select("doc_id", F.col(label).alias("label")).where("label in (0, 1)")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    got = sample_texts(rows, sample_ids(known, per_class, 2))
+    got = sample_texts(rows, sample_ids(known, per_class))
     share, bias = train(got["text"].tolist(), got["label"].to_numpy(int))
     model = docs.sparkSession.sparkContext.broadcast((share, bias))
 

