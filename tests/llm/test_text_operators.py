@@ -510,6 +510,47 @@ def test_kernel_is_shared_presence():
     assert t.sum(1).tolist() == [2 + 2 + 2 + 1, 2 + 1] and t[0] @ t[1] == 3
 
 
+def brute_kernel(train, texts, landmarks, ridge, part):
+    """One-versus-rest ridge on Nystrom features from sets of n-grams, without hashing or batches."""
+    def bags(s):
+        raw = "".join(c.lower() if c.isascii() else c for c in s).encode()
+        n = max(1, -(-len(raw) // part))
+        cuts = [len(raw) * k // n for k in range(n + 1)]
+        return [{raw[i : i + m] for m in (1, 2, 3, 4) for i in range(a, b) if i + m <= len(raw)} for a, b in zip(cuts, cuts[1:])]
+
+    def alike(a, b):
+        return np.mean([len(x & y) / np.sqrt(max(1, len(x)) * max(1, len(y))) for x in bags(a) for y in bags(b)])
+
+    x, y = [s for s, _ in train], np.array([v for _, v in train])
+    classes = sorted(set(y))
+    rng = np.random.default_rng(1)
+    code = np.array([classes.index(v) for v in y])
+    mark = [x[i] for i in np.concatenate([rng.permutation(np.flatnonzero(code == c))[: -(-landmarks // len(classes))] for c in range(len(classes))])]
+    k = lambda a, b: np.array([[alike(p, q) for q in b] for p in a])
+    value, vector = np.linalg.eigh(k(mark, mark))
+    ok = value > 1e-6 * value.max()
+    root = vector[:, ok] / np.sqrt(value[ok])
+    z = k(x, mark) @ root
+    share = np.bincount(code) / len(code)
+    rows = (1 / (len(classes) * share))[code]
+    w = np.linalg.solve((z * rows[:, None]).T @ z + ridge * len(y) * np.eye(z.shape[1]) / 10, (z * rows[:, None]).T @ (2.0 * (code[:, None] == np.arange(len(classes))) - 1))
+    return k(texts, mark) @ root @ w
+
+
+def test_kernel_scores_match_brute_force(monkeypatch):
+    rng = random.Random(6)
+    train = [(" ".join(rng.choice(a) for _ in range(rng.randint(3, 30))), v) for v, a in (("x", ["der", "und", "nicht"]), ("y", ["the", "and", "not"])) for _ in range(12)]
+    texts = ["der the und", "NOT the", "und " * 30, "é ü the", ""]
+    monkeypatch.setattr(language, "ROWS", 3)
+    monkeypatch.setattr(language.parts_of, "__defaults__", (40,))
+    monkeypatch.setattr(language.blocks, "__defaults__", (3,))
+    model = language.train([s for s, _ in train], [v for _, v in train], space=1 << 22, landmarks=6)
+    t = Texts(pa.array(texts), Powers()).lower()
+    at, own = language.parts_of(t)
+    got = language.mean_of(np.concatenate([model.score(language.presence(t, 1 << 22, at, r)) for r in language.blocks(at)]), own)
+    assert np.allclose(got, brute_kernel(train, texts, 6, 1e-2, 40), atol=1e-3)
+
+
 def test_language_score_does_not_fall_with_length(spark):
     docs, _ = big(spark)
     rng, rows = random.Random(5), []

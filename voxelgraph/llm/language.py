@@ -6,8 +6,9 @@ presence x landmarks, then kernel x weights. A text of more than PART bytes is t
 training as in scoring: however long it is, it doesn't fill the space, and its score doesn't depend on its length.
 
 Edge cases: `und`, score 0, for a null text or one without letters (Unicode category L), or when nothing could be learned; null
-ids are scored and never held out; null langs aren't learned; repeated rows are scored alike; an empty table gives an empty
-result; other columns are not read.
+ids are scored and never held out; null langs aren't learned; repeated rows are scored alike; of languages with equal scores the
+first in order wins; an empty table gives an empty result; other columns are read only where carried, under names of their own, so
+none can clash. Very long texts: ROWS parts are held at a time, and a few copies of the text's bytes.
 """
 
 from __future__ import annotations
@@ -37,26 +38,37 @@ def parts_of(t: Texts, most: int = PART) -> tuple[np.ndarray, np.ndarray]:
     return np.append(t.off[own] + k * size[own] // n[own], t.off[-1]), own
 
 
-def presence(t: Texts, space: int = SPACE, at: np.ndarray | None = None) -> np.ndarray:
-    """(parts, space) float32: 1 where a part has an n-gram hashed there. at: as from parts_of(); each text is one part without.
-    An n-gram is of the part that it begins in."""
-    t.lower()
+def presence(t: Texts, space: int = SPACE, at: np.ndarray | None = None, rows: tuple[int, int] | None = None) -> np.ndarray:
+    """(parts, space) float32: 1 where a part has an n-gram hashed there. t: lower-cased. at: as from parts_of(); each text is one part
+    without. rows: only these parts. An n-gram is of the part that it begins in."""
     at = t.off if at is None else at
-    out = np.zeros((len(at) - 1, space), np.float32)
-    flat = out.reshape(-1)
-    prefix = t.prefix()
-    _, down = t.powers.upto(len(t.data) + 1)
-    own, text = np.repeat(np.arange(len(at) - 1) * space, np.diff(at)), np.repeat(np.arange(t.n), np.diff(t.off))
+    a, b = rows or (0, len(at) - 1)
+    out = np.zeros((b - a, space), np.float32)
+    flat, low, high = out.reshape(-1), int(at[a]), int(at[b])
+    some = Texts(pa.array([], pa.large_string()), t.powers)
+    some.data = t.data[low : min(high + max(GRAMS) - 1, len(t.data))]
+    size, prefix = len(some.data), some.prefix()
+    _, down = t.powers.upto(size + 1)
+    own = np.repeat(np.arange(b - a) * space, np.diff(at[a : b + 1]))
+    cut = np.zeros(size + 1, np.int32)
+    inner = t.off[(t.off > low) & (t.off <= low + size)] - low
+    np.add.at(cut, inner, 1)
+    text = np.cumsum(cut)[:size]
     for n in GRAMS:
-        m = len(t.data) - n + 1
+        m = min(size - n + 1, high - low)
         if m <= 0:
             break
         h = mix((prefix[n : n + m] - prefix[:m]) * down[:m] + U(n))
-        same = text[:m] == text[n - 1 :]
+        same = text[:m] == text[n - 1 : n - 1 + m]
         flat[(own[:m] + (h & U(space - 1)).astype(np.int64))[same]] = 1
     return out
 
 
+def blocks(at: np.ndarray, most: int = ROWS) -> list[tuple[int, int]]:
+    """Runs of parts that are held at a time."""
+    return [(a, min(a + most, len(at) - 1)) for a in range(0, len(at) - 1, most)]
+
+
 def mean_of(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The mean row of each text."""
     begin = np.flatnonzero(np.diff(own, prepend=-1))
@@ -78,12 +90,14 @@ def train(texts: list[str], labels: list, space: int = SPACE, landmarks: int = L
     if not texts:
         return None
     classes, powers, x = sorted(set(labels)), Powers(), []
-    for at in range(0, len(texts), 64):
-        t = Texts(pa.array(texts[at : at + 64], pa.large_string()), powers)
-        cuts, own = parts_of(t)
-        part = presence(t, space, cuts)
-        part /= np.maximum(1, np.sqrt(part.sum(1, keepdims=True)))
-        x.append(mean_of(part, own))
+    for n in range(0, len(texts), 64):
+        t = Texts(pa.array(texts[n : n + 64], pa.large_string()), powers).lower()
+        at, own = parts_of(t)
+        total = np.zeros((t.n, space), np.float32)
+        for a, b in blocks(at):
+            part = presence(t, space, at, (a, b))
+            np.add.at(total, own[a:b], part / np.maximum(1, np.sqrt(part.sum(1, keepdims=True))))
+        x.append(total / np.bincount(own, minlength=t.n)[:, None].astype(np.float32))
     x = np.concatenate(x)
     y = np.array([classes.index(v) for v in labels])
     rng = np.random.default_rng(seed)
@@ -115,17 +129,16 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text:
         kernel, letter = model.value, regex.compile(r"\p{L}")
 
         def work(part, t):
-            pred, score = [], np.zeros(t.n)
+            score = np.zeros(t.n)
             spell = [bool(letter.search(s or "")) for s in part.column("text").to_pylist()]
             if kernel is None:
                 return part.column("doc_id"), ["und"] * t.n, score
-            for at in range(0, t.n, ROWS):  # short texts come many to a slice
-                some = Texts(part.column("text").slice(at, ROWS), t.powers)
-                cuts, own = parts_of(some)
-                f = mean_of(kernel.score(presence(some, at=cuts)), own)
-                best = f.argmax(1)
-                score[at : at + ROWS] = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
-                pred += [str(kernel.classes[b]) for b in best]
+            t.lower()
+            at, own = parts_of(t)
+            f = mean_of(np.concatenate([kernel.score(presence(t, at=at, rows=r)) for r in blocks(at)]), own) if t.n else np.zeros((0, len(kernel.classes)))
+            best = f.argmax(1) if t.n else np.zeros(0, int)
+            score[:] = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
+            pred = [str(kernel.classes[b]) for b in best]
             return part.column("doc_id"), [p if ok else "und" for p, ok in zip(pred, spell)], np.where(spell, score, 0.0)
 
         return work

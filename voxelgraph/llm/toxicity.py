@@ -66,7 +66,7 @@ def telling_pairs(bags: list[np.ndarray], y: np.ndarray, open_: np.ndarray, leas
         i, j = b[left[:m]], b[right[:m]]
         return i, j, (mix(i.astype(U) * U(len(open_)) + j.astype(U)) % U(PAIR_BUCKETS)).astype(np.int64)
 
-    seen, toxic = np.zeros(PAIR_BUCKETS), np.zeros(PAIR_BUCKETS)
+    seen, toxic = np.zeros(PAIR_BUCKETS, np.float32), np.zeros(PAIR_BUCKETS, np.float32)
     for b, v in few:
         key = np.unique(pairs(b)[2])
         seen[key] += 1
