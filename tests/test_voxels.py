@@ -8,7 +8,7 @@ from voxelgraph.functions import basis
 from voxelgraph.functions.series import gaussian_kernel, gaussian_smooth, matrix, smoothing_matrix, with_standardized
 from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, tables
 from voxelgraph.operators.pairs import edges26
-from voxelgraph.operators.spectral import randomized_eigenvectors, resolve_spectral_hyper, spectral_clustering
+from voxelgraph.operators.spectral import eigenvectors, randomized_eigenvectors, resolve_spectral_hyper, spectral_clustering
 from voxelgraph.plans import registry
 from voxelgraph.plans.pipeline import Pipeline
 from voxelgraph.sources import sinks, voxels as sources
@@ -175,6 +175,33 @@ def test_randomized_eigenvalues_match_dense(spark):
     assert np.allclose(value, np.linalg.eigvalsh(s)[::-1][:3], atol=1e-6)
 
 
+@pytest.mark.parametrize("solver", ["eigsh", "randomized", "auto"])
+def test_larger_subjects_go_through_as_tables_together(spark, solver, monkeypatch):
+    from voxelgraph.operators import spectral
+
+    w, v = blocks(spark, 2)
+    small = {(r.subject_id, r.voxel_id): r.label for r in spectral_clustering(w, v, 3).collect()}
+    monkeypatch.setattr(spectral, "DENSE", 2)
+    opts = {"eig_solver": solver, "randomized_oversample": 8, "randomized_n_iter": 4, "kmeans_nstart": 4}
+    large = {(r.subject_id, r.voxel_id): r.label for r in spectral_clustering(w, v, 3, **opts).collect()}
+    assert large == small and len({s for s, _ in small}) > 1  # the same numbers, too
+
+
+def test_table_eigenvectors_settle(spark):
+    w, _ = blocks(spark, 2)
+    n = graph.normalized(w)
+    value, y = eigenvectors(n, 3, oversample=8, tolerance=1e-6)
+    rows = y.toPandas()
+    for s, part in n.toPandas().groupby("subject_id"):
+        nodes = sorted(set(part.i_idx) | set(part.j_idx))
+        m = np.zeros((len(nodes), len(nodes)))
+        for a, b, x in zip(part.i_idx, part.j_idx, part.w):
+            m[nodes.index(a), nodes.index(b)] = m[nodes.index(b), nodes.index(a)] = x
+        u = rows[rows.subject_id == s].sort_values("voxel_id")[["y0", "y1", "y2"]].to_numpy()
+        assert np.allclose(value[s], np.linalg.eigvalsh(m)[::-1][:3], atol=1e-6)
+        assert np.linalg.norm(m @ u - u * value[s], axis=0).max() < 1e-5
+
+
 def test_spectral_refusals(spark):
     w, v = blocks(spark)
     for bad in ({"n_clusters": 0}, {"n_clusters": 18}, {"n_clusters": 40}, {"n_clusters": 3, "remove_isolated": False}, {"n_clusters": 3, "eig_solver": "magic"}):
@@ -182,6 +209,7 @@ def test_spectral_refusals(spark):
             spectral_clustering(w, v, **bad).collect()
     assert {r.label for r in spectral_clustering(w.limit(0), v, 3).collect()} == {0}
     assert resolve_spectral_hyper({"K": 4, "seed": 1})["n_clusters"] == 4
+    assert resolve_spectral_hyper({"K": 4, "n_clusters": 5, "method": "spectral"})["n_clusters"] == 5
     with pytest.raises(ValueError):
         resolve_spectral_hyper({})
     with pytest.raises(TypeError):

@@ -13,6 +13,7 @@ from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, tab
 from voxelgraph.operators.pairs import edges26
 from voxelgraph.operators.spectral import randomized_eigenvectors, spectral_clustering
 from voxelgraph.plans.pipeline import Pipeline, strong_connections
+from voxelgraph.storage import durable
 from voxelgraph.sources.voxels import from_embeddings, series_from_events, subjects_from_embeddings
 
 R_MIN = 0.3
@@ -90,7 +91,7 @@ def _pipeline_report(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _greedy(s: SparkSession, sf: str, k: int | None = None) -> DataFrame:
-    w = graph.top_k(kernels.correlation_adjacency(three(s, sf), r_min=R_MIN), 20)
+    w = durable(graph.top_k(kernels.correlation_adjacency(three(s, sf), r_min=R_MIN), 20))  # counted, merged and cut
     return greedy.cut_labels(greedy.dendrogram(w), three(s, sf), w, k)
 
 
@@ -125,14 +126,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges26": edges,
         "corr26": lambda s, d: rounded(kernels.finish(kernels.edge_correlation(three(s, d), edges(s, d)), None, "auto"), "w"),
         "cosine_weight": lambda s, d: rounded(kernels.edge_cosine(one(s, d), edges(s, d)), "w"),
-        "l2_rbf": lambda s, d: rounded(kernels.distance_to_weight(kernels.edge_l2(three(s, d), edges(s, d)), "rbf"), "w"),
-        "l2_inv": lambda s, d: rounded(kernels.distance_to_weight(kernels.edge_l2(three(s, d), edges(s, d)), "inv"), "w"),
+        "l2_rbf": lambda s, d: rounded(kernels.distance_to_weight(durable(kernels.edge_l2(three(s, d), edges(s, d))), "rbf"), "w"),
+        "l2_inv": lambda s, d: rounded(kernels.distance_to_weight(durable(kernels.edge_l2(three(s, d), edges(s, d))), "inv"), "w"),
         "srvf_rms": lambda s, d: rounded(kernels.edge_srvf(one(s, d), edges(s, d)), "w"),
         "topk_prune": lambda s, d: rounded(lit0(graph.top_k(corr(s, d), 3)), "w"),
         "topk_union": lambda s, d: rounded(lit0(graph.top_k(corr(s, d), 3, symmetry="union")), "w"),
         "edge_agreement": lambda s, d: metrics.edge_agreement(second_labels(three(s, d)), edges(s, d)),
         "consensus_weights": lambda s, d: rounded(consensus.consensus_on_edges(second_labels(three(s, d)), edges(s, d)), "w"),
-        "consensus_all_pairs": lambda s, d: rounded(consensus.consensus_all_pairs(_some(second_labels(three(s, d)))), "w"),
+        "consensus_all_pairs": lambda s, d: rounded(consensus.consensus_all_pairs(second_labels(three(s, d))), "w"),
         "loo_weights": lambda s, d: rounded(consensus.leave_one_out(second_labels(three(s, d)), edges(s, d)), "w"),
         "silhouette_strict": lambda s, d: rounded(lit0(metrics.silhouette_strict(corr(s, d), first_labels(one(s, d)))), "a", "b", "s"),
         "silhouette_overall": lambda s, d: rounded(metrics.mean_sd(metrics.overall(metrics.silhouette_strict(kernels.correlation_adjacency(three(s, d), r_min=R_MIN), first_labels(three(s, d))))), "mean", "sd"),
@@ -184,11 +185,6 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
     return w.unionByName(flip)
 
 
-def _some(labels: DataFrame) -> DataFrame:
-    """Clusters small enough that the pairs inside them make a small result."""
-    return labels.withColumn("label", F.when(F.col("label") > 0, F.col("label") * 100 + (F.col("voxel_id") % 97).cast("int")).otherwise(0))
-
-
 def _by_atlas(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/embeddings.parquet")
     return e.select(F.lit(0).alias("subject_id"), F.col("vec_id").alias("voxel_id"), F.col("label"))
@@ -289,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "topk_union": f"{topk} SELECT DISTINCT least(node, other) AS i_idx, greatest(node, other) AS j_idx, {r('w')} AS w FROM k WHERE n <= 3",
         "edge_agreement": f"{AGREE} SELECT subject_id, i_idx, j_idx, agree, used AS use FROM g",
         "consensus_weights": f"{AGREE} SELECT i_idx, j_idx, CAST(sum(agree) AS BIGINT) AS agree, CAST(sum(used) AS BIGINT) AS cnt, {r('sum(agree) / nullif(sum(used), 0)')} AS w FROM g GROUP BY i_idx, j_idx",
-        "consensus_all_pairs": f"""WITH {SUBJECTS}, l AS (SELECT subject_id, voxel_id, l2 * 100 + voxel_id % 97 AS label FROM s WHERE l2 > 0),
+        "consensus_all_pairs": f"""WITH {SUBJECTS}, l AS (SELECT subject_id, voxel_id, l2 AS label FROM s WHERE l2 > 0),
             a AS (SELECT x.voxel_id AS i_idx, y.voxel_id AS j_idx, count(*) AS agree FROM l x JOIN l y ON x.subject_id = y.subject_id AND x.label = y.label AND x.voxel_id < y.voxel_id GROUP BY ALL),
             c AS (SELECT a.i_idx, a.j_idx, a.agree, count(*) AS cnt FROM a JOIN l x ON x.voxel_id = a.i_idx JOIN l y ON y.voxel_id = a.j_idx AND x.subject_id = y.subject_id GROUP BY ALL)
             SELECT i_idx, j_idx, agree, cnt, {r('agree / cnt')} AS w FROM c""",

@@ -47,7 +47,7 @@ METHODS = _methods(
     Method("l2_26", "similarity", "L2 distance between 26-neighbours as a weight", (Param("kernel", "str", "rbf"), Param("scale", "float"), Param("r_min", "float"), Param("standardized", "bool", True))),
     Method("srvf26", "similarity", "square-root velocity distance between 26-neighbours", (Param("warp", "str", "none"), Param("kernel", "str", "rbf"), Param("scale", "float"), Param("smooth", "bool", False), Param("r_min", "float"))),
     Method("partial26", "similarity", "ridge partial correlation between 26-neighbours", (Param("ridge", "float", 1.0), Param("prestandardized", "bool", True), Param("r_min", "float"))),
-    Method("spectral", "clustering", "normalised-cut spectral clustering", (*_CLUSTERS, Param("remove_isolated", "bool", True), Param("enforce_nonnegative", "bool", True, advanced=True), Param("eig_solver", "str", "auto", advanced=True), Param("randomized_oversample", "int", 20, advanced=True), Param("randomized_n_iter", "int", 2, advanced=True), Param("randomized_switch_n_nodes", "int", 4000, advanced=True))),
+    Method("spectral", "clustering", "normalised-cut spectral clustering", (*_CLUSTERS, Param("remove_isolated", "bool", True), Param("enforce_nonnegative", "bool", True, advanced=True), Param("eig_solver", "str", "auto", advanced=True), Param("randomized_oversample", "int", 20, advanced=True), Param("randomized_n_iter", "int", 2, advanced=True), Param("randomized_switch_n_nodes", "int", 15000, advanced=True))),
     Method("greedy_modularity", "clustering", "greedy modularity, cut at n_clusters or at its best", (Param("n_clusters", "int"), Param("top_k", "int", 200))),
     Method("silhouette", "report", "cluster silhouettes", (Param("unassigned_labels", "csv_int", (-1, 0)),)),
     Method("clusters_3d", "visualization", "rows of a 3-D scatter", (Param("include_unassigned", "bool", True), Param("unassigned_labels", "csv_int", (-1, 0)), Param("subject_id", "int"))),
