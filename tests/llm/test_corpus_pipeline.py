@@ -121,3 +121,24 @@ def test_near_duplicate_groups_larger_than_a_crowd(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
     assert sorted(set(got.values())) == brute_similar(rows) and got[1] == 0
+
+
+def test_the_first_shared_place_is_a_key_of_both(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in range(400):
+        x = [rng.getrandbits(64) for _ in range(simhash.PRINTS)]
+        y = list(x)
+        for _ in range(rng.randrange(40)):
+            y[rng.randrange(simhash.PRINTS)] ^= 1 << rng.randrange(64)
+        for side, z in ((0, x), (1, y)):
+            rows.append((n * 2 + side, *[v - (1 << 64) if v >> 63 else v for v in z]))
+    fps = [f"fp{k}" for k in range(simhash.PRINTS)]
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"{f} long" for f in fps))
+    keys = simhash._keys(df, ["node"]).select("key", (F.col("node") / 2).cast("int").alias("pair"), (F.col("node") % 2).alias("side"))
+    shared = keys.groupBy("pair", "key").agg(F.countDistinct("side").alias("n")).where("n = 2").groupBy("pair").agg((F.min("key") / (1 << 32)).cast("int").alias("place"))
+    want = {r.pair: r.place for r in shared.collect()}
+    a, b = df.where("node % 2 = 0"), df.where("node % 2 = 1")
+    both = a.select((F.col("node") / 2).cast("int").alias("pair"), *fps).join(b.select(((F.col("node") - 1) / 2).cast("int").alias("pair"), *[F.col(f).alias(f"x{f}") for f in fps]), "pair")
+    got = both.select("pair", simhash._first_shared([F.col(f).bitwiseXOR(F.col(f"x{f}")) for f in fps]).alias("place")).where("place is not null").collect()
+    assert {r.pair: r.place for r in got} == want and 50 < len(want) < 400

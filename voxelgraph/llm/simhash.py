@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelgraph.llm.components import components
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 #: similar_documents(): fingerprints of 64 bits, segments they are cut into together, bits in which two may differ in the first
 #: fingerprint and in all, and members of a key that are compared in place.
-PRINTS, SEGMENTS, NEAR, NEAR_ALL, CROWD = 4, 11, 20, 60, 16
+PRINTS, SEGMENTS, NEAR, NEAR_ALL, CROWD = 4, 11, 16, 44, 16
 
 
 def _sets(t: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,28 +249,32 @@ def _sketches(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     return scan(rows, make, "doc_id long, node long, size long, " + ", ".join(f"fp{k} long" for k in range(PRINTS)))
 
 
-def _keys(prints: DataFrame) -> DataFrame:
-    """key, size, fp, node (and label, where prints has it) for each wildcard place: its number, and its segment of all fingerprints' bits
-    without it. fp is the first one."""
-    more = ["label"] if "label" in prints.columns else []
+def _cuts() -> list[int]:
+    """Where the segments of the string of bits begin, and the end."""
+    return np.linspace(0, 64 * PRINTS, SEGMENTS + 1).round().astype(int).tolist()
+
+
+def _keys(prints: DataFrame, carry: list[str]) -> DataFrame:
+    """key and the columns in carry (long) for each wildcard place: key >> 32 is the place, the rest its segment without that bit."""
+    fps = [f"fp{k}" for k in range(PRINTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.linspace(0, 64 * PRINTS, SEGMENTS + 1).round().astype(int).tolist()
+        cuts = _cuts()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                fps = np.stack([np.asarray(part.column(f"fp{k}"), np.int64) for k in range(PRINTS)], axis=1)
-                bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").astype(U)
+                words = np.stack([np.asarray(part.column(f), np.int64) for f in fps], axis=1)
+                bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(U)
                 keys = []
                 for a, b in zip(cuts, cuts[1:]):
                     one = U(1) << np.arange(b - a, dtype=U)
                     segment = (bits[:, a:b] * one).sum(1, dtype=U)[:, None]
-                    keys.append(((np.arange(a, b, dtype=U) + U(1)) << U(32)) | (segment & ~one))
-                key = mix(np.concatenate(keys, axis=1))
-                each = [np.repeat(np.asarray(part.column(c), np.int64), key.shape[1]) for c in ("size", "fp0", "node", *more)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), *map(pa.array, each)], names=["key", "size", "fp", "node", *more])
+                    keys.append((np.arange(a, b, dtype=U) << U(32)) | (segment & ~one))
+                key = np.concatenate(keys, axis=1)
+                each = [np.repeat(np.asarray(part.column(c), np.int64), key.shape[1]) for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), *map(pa.array, each)], names=["key", *carry])
 
-    return prints.select("node", "size", *[f"fp{k}" for k in range(PRINTS)], *more).mapInArrow(run, "key long, size long, fp long, node long" + ", label long" * len(more))
+    return prints.select(*dict.fromkeys([*fps, *carry])).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in carry))
 
 
 def _met(keys: DataFrame, least: float) -> DataFrame:
@@ -281,7 +285,7 @@ def _met(keys: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, 0  # the last rows of the key that is open, and how many it had before them
         for batch in batches:
-            key, size, fp, node = (np.asarray(c, np.int64) for c in batch.columns)
+            key, size, fp, node = (np.asarray(batch.column(c), np.int64) for c in ("key", "size", "fp0", "node"))
             if not len(key):
                 continue
             old = 0
@@ -314,15 +318,30 @@ def _met(keys: DataFrame, least: float) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long, d long")
 
 
-def _apart(keys: DataFrame, least: float) -> DataFrame:
-    """a, b, d: pairs of nodes with different labels that share a key, within the same bounds as in _met(). In a key, the most frequent label
-    meets all others, but not itself."""
-    each = keys.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.expr("max_by(label, struct(n, label))").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    k = keys.join(each, "key").select("key", "size", "fp", "node", "label", "most")
-    few = k.where("label <> most").select("key", F.col("size").alias("s"), F.col("fp").alias("f"), F.col("node").alias("m"), F.col("label").alias("l"))
-    d = F.bit_count(F.col("f").bitwiseXOR(F.col("fp")))
-    pairs = few.join(k, "key").where((F.col("l") != F.col("label")) & (F.least("s", "size") >= least * F.greatest("s", "size") - 1e-9) & (d <= NEAR))
-    return pairs.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"), d.cast("long").alias("d")).distinct()
+def _first_shared(x: list[Column]) -> Column:
+    """The first wildcard place that two strings of bits share, from the exclusive or of their words."""
+    places, cuts = [], _cuts()
+    for a, b in zip(cuts, cuts[1:]):
+        w, at = divmod(a, 64)
+        segment = F.shiftrightunsigned(x[w], at) if at else x[w]
+        if at + b - a > 64:
+            segment = segment.bitwiseOR(F.shiftleft(x[w + 1], 64 - at))
+        segment = segment.bitwiseAND(F.lit((1 << (b - a)) - 1))
+        places.append(F.when(F.bit_count(segment) <= 1, F.lit(a) + F.when(segment == 0, 0).otherwise(F.bit_count(segment - 1))))
+    return F.coalesce(*places)
+
+
+def _apart(keys: DataFrame) -> DataFrame:
+    """a, b, d: close nodes with different labels that share a key, each pair once. In a key, members of the most frequent label meet all
+    others, but not each other: what remains of a group of copies that has been joined costs nothing more."""
+    most = keys.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.expr("max_by(label, struct(n, label))").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    fps = [f"fp{k}" for k in range(PRINTS)]
+    few = keys.join(most.select("key", "most"), "key").where("label <> most").select("key", F.col("node").alias("m"), F.col("label").alias("l"), F.col("most"), *[F.col(f).alias(f"x{f}") for f in fps])
+    x = [F.col(f"x{f}").bitwiseXOR(F.col(f)) for f in fps]
+    d = sum((F.bit_count(w) for w in x[1:]), F.bit_count(x[0]))
+    once = (F.col("label") == F.col("most")) | (F.col("m") < F.col("node"))
+    pairs = few.join(keys, "key").where((F.col("l") != F.col("label")) & once & (d <= NEAR_ALL) & (_first_shared(x) == F.shiftrightunsigned("key", 32)))
+    return pairs.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"), d.cast("long").alias("d"))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -392,15 +411,16 @@ def _similar(docs: DataFrame, id_col: str, text: str, words: int, least: float)
         rest = found.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
         return links.unionByName(verified(rest.select("a", "b")))
 
-    met = durable(_met(_keys(prints), least).groupBy("a", "b").agg(F.min("d").alias("d")))
+    met = durable(_met(_keys(prints, ["size", "fp0", "node"]), least).groupBy("a", "b").agg(F.min("d").alias("d")))
     links = linked(durable(close(met.where("a <> b"))), None)
     # Members of crowded keys: what is still apart there meets once more.
     crowd = durable(prints.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"))
     if not crowd.isEmpty():
         crowd = crowd.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        keyed = durable(_keys(durable(crowd)))
-        links = linked(durable(close(_apart(keyed, least))), links)
+        keyed = durable(_keys(durable(crowd), ["node", "label", *fps]))
+        again = durable(_apart(keyed))
         release(keyed)
+        links = linked(again, links)
     release(met)
     whole = nodes.join(components(links), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
