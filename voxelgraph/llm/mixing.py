@@ -9,7 +9,7 @@
    distributed sum of K and K x K numbers for each of four step sizes; the rates stay one short column expression.
 
 total None: the largest for which no domain needs more than max_rate times what it has, less SLACK, and two in a hundred more
-as long as the targets can't be met (ten times at most): without slack every document with some of the scarcest domain
+as long as the targets can't be met (ten times at most; then the first again, as near as it came): without slack every document with some of the scarcest domain
 would have to stay whole, whatever else it holds.
 
 Edge cases: a null or empty text has no tokens, the prior as posterior, and the rate that follows; null ids are mixed like
@@ -187,7 +187,7 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
             r = r - F.lit(float(x)) * y
         return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r))
 
-    done, all_tokens = 0, have.sum()
+    done, all_tokens, tried_all = 0, have.sum(), []
     for total in totals:
         target, start = w * total, float(min(max_rate, total / all_tokens)) if all_tokens else 0.0
         unit = np.maximum(np.where(target > 0, target, total), 1e-9)  # misses count relative to each domain's target
@@ -206,8 +206,11 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
             found = measured(*[moved(start, g) for g in tried])
             n = int(np.argmin([np.linalg.norm((now - target) / unit) for now, _ in found]))
             gone, (best, free) = tried[n], found[n]
+        tried_all.append((target, best, start, gone))
         if (np.abs(best - target) <= close * unit).all():
             break
+    else:  # none can be met: the largest total, as near as it came
+        target, best, start, gone = tried_all[0]
     rate = moved(start, gone)
     return Mix(domains, target.tolist(), best.tolist(), done, members.withColumn("rate", rate))
 
