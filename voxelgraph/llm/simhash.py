@@ -18,7 +18,8 @@ shingles have a Jaccard similarity of at least `least`, computed from the texts.
 make one string of bits, cut into SEGMENTS; each is indexed under every segment with one bit left out, and documents that share
 one are candidates if the whole strings are close. A pair whose every segment differs by two bits or more is missed: recall is
 measured in the tests and the README. Keys of 22 bits and more hold few strangers, so the work grows with the documents; members of
-crowded keys are joined by few pairs first, and only those still apart meet again.
+crowded keys are joined by few pairs first, and only those still apart meet again. Sketches of minimum hashes rule out pairs that
+can't be alike before their texts are compared; they lose a pair just at `least` with probability 0.00001.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelgraph.llm.components import components
-from voxelgraph.llm.text import Texts, U, grams, inside, item_hashes, mix, owners, scan, signed, space_table
+from voxelgraph.llm.text import Texts, U, grams, inside, item_hashes, mix, multipliers, owners, scan, signed, space_table
 from voxelgraph.storage import durable, release
 
 #: A variant with more fingerprints than this goes to the exact two-bit index: beyond it, pairs cost more than that index.
@@ -200,6 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 #: fingerprint and in all, and members of a key that are compared in place.
 PRINTS, SEGMENTS, NEAR, NEAR_ALL, CROWD = 4, 11, 16, 44, 16
 
+#: Words of 64 bits in the sketch of a set of shingles: a bit of each of as many minimum hashes.
+MINIMA = 8
+
 
 def _sets(t: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of the word shingles of each text in turn, and where each text's begin; a text of fewer words has one."""
@@ -331,16 +335,38 @@ def _first_shared(x: list[Column]) -> Column:
     return F.coalesce(*places)
 
 
-def _apart(keys: DataFrame) -> DataFrame:
+def _minima(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """MINIMA words for each text: one bit of each minimum of its shingles under a different multiplier. Two texts differ in a bit
+    with probability (1 - their Jaccard similarity) / 2. A text without shingles has zeros."""
+    some = np.flatnonzero(np.diff(begin))
+    out = np.zeros((len(begin) - 1, MINIMA), U)
+    low = mix(x).astype(np.uint32)
+    for k, m in enumerate(multipliers(64 * MINIMA, 23)):
+        least = np.minimum.reduceat((low ^ np.uint32(m >> U(32))) * np.uint32(m & U(0xFFFFFFFF)), begin[some]) if len(some) else np.zeros(0, np.uint32)
+        out[some, k >> 6] |= (mix(least.astype(U) + m) & U(1)) << U(k & 63)
+    return out
+
+
+def _reach(least: float) -> int:
+    """Bits of the sketch in which two sets as alike as `least` differ at most, but for one pair in 100,000 of those exactly so."""
+    bits, p = 64 * MINIMA, (1 - least) / 2
+    return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
+
+
+def _apart(keys: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
     """a, b, d: close nodes with different labels that share a key, each pair once. In a key, members of the most frequent label meet all
-    others, but not each other: what remains of a group of copies that has been joined costs nothing more."""
+    others, but not each other: what remains of a group of copies that has been joined costs nothing more. Sizes and sketches rule
+    out the pairs that aren't alike before they are made. keys: key, node, label; crowd: node, size, fingerprints, sketch."""
     most = keys.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.expr("max_by(label, struct(n, label))").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    fps = [f"fp{k}" for k in range(PRINTS)]
-    few = keys.join(most.select("key", "most"), "key").where("label <> most").select("key", F.col("node").alias("m"), F.col("label").alias("l"), F.col("most"), *[F.col(f).alias(f"x{f}") for f in fps])
+    fps, marks = [f"fp{k}" for k in range(PRINTS)], [f"s{k}" for k in range(MINIMA)]
+    alive = keys.join(most.select("key", "most"), "key").join(crowd.select("node", "size", *fps, *marks), "node")
+    few = alive.where("label <> most").select("key", F.col("node").alias("m"), F.col("label").alias("l"), "most", F.col("size").alias("z"), *[F.col(c).alias(f"x{c}") for c in (*fps, *marks)])
     x = [F.col(f"x{f}").bitwiseXOR(F.col(f)) for f in fps]
     d = sum((F.bit_count(w) for w in x[1:]), F.bit_count(x[0]))
+    far = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(c))) for c in marks), F.lit(0))
+    sizes = F.least("z", "size") >= least * F.greatest("z", "size") - 1e-9
     once = (F.col("label") == F.col("most")) | (F.col("m") < F.col("node"))
-    pairs = few.join(keys, "key").where((F.col("l") != F.col("label")) & once & (d <= NEAR_ALL) & (_first_shared(x) == F.shiftrightunsigned("key", 32)))
+    pairs = few.join(alive.drop("most"), "key").where((F.col("l") != F.col("label")) & once & sizes & (d <= NEAR_ALL) & (far <= _reach(least)) & (_first_shared(x) == F.shiftrightunsigned("key", 32)))
     return pairs.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"), d.cast("long").alias("d"))
 
 
@@ -373,32 +399,50 @@ def _noded(texts: DataFrame, words: int) -> DataFrame:
     return scan(texts, make, "node long", carry=("text",))
 
 
+def _marked(texts: DataFrame, words: int) -> DataFrame:
+    """node, s0, s1, ... for every row of texts (text): the sketch of its shingles."""
+
+    def make():
+        def work(part, t):
+            x, begin = _sets(t.lower(), words)
+            return signed(mix(_sums(mix(x), begin) + np.diff(begin).astype(U))), *signed(np.ascontiguousarray(_minima(x, begin).T))
+
+        return work
+
+    return scan(texts, make, "node long, " + ", ".join(f"s{k} long" for k in range(MINIMA)))
+
+
 def _similar(docs: DataFrame, id_col: str, text: str, words: int, least: float) -> tuple[DataFrame, DataFrame]:
     """doc_id, node of every row; node, component_id of every node."""
     rows = durable(_sketches(docs, id_col, text, words))
     nodes = durable(rows.groupBy("node").agg(F.min("doc_id").alias("low")))
-    fps = [f"fp{k}" for k in range(PRINTS)]
+    fps, marks = [f"fp{k}" for k in range(PRINTS)], [f"s{k}" for k in range(MINIMA)]
     prints = durable(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), *[F.first(f).alias(f) for f in fps]))  # one set, one size; of its texts' words one
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.col(text).cast("string").alias("text"))
 
+    def of(some: DataFrame, work: Callable) -> DataFrame:
+        """What work makes of the texts of some nodes (node), one row each."""
+        need = some.join(nodes, "node")
+        ids = need.select(F.coalesce("low", F.lit(LAST)).alias("_low")).distinct()
+        there = source.join(ids, F.col("_id") == F.col("_low"), "left_semi").select("text")
+        return durable(work(there, words).join(need, "node", "left_semi").dropDuplicates(["node"]))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are alike by their texts."""
         pairs = durable(pairs)
         if pairs.isEmpty():
             return pairs
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-        ids = need.select(F.coalesce("low", F.lit(LAST)).alias("_low")).distinct()
-        there = source.join(ids, F.col("_id") == F.col("_low"), "left_semi").select("text")
-        there = durable(_noded(there, words).join(need, "node", "left_semi").dropDuplicates(["node"]))
+        there = of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _noded)
         out = durable(_alike(pairs, there, words, least))
         release(pairs, there)
         return out
 
     def close(found: DataFrame) -> DataFrame:
-        """Of pairs found by the first fingerprint, those close in all."""
-        one, two = prints.select(F.col("node").alias("a"), *[F.col(f).alias(f"x{f}") for f in fps]), prints.select(F.col("node").alias("b"), *fps)
-        d = sum((F.bit_count(F.col(f"x{f}").bitwiseXOR(F.col(f))) for f in fps), F.lit(0))
-        return found.join(one, "a").join(two, "b").where(d <= NEAR_ALL).select("a", "b", "d")
+        """Of pairs found by the first fingerprint, those close in all and in their sketches."""
+        one, two = (met_nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}{c}") for c in (*fps, *marks)]) for n in ("a", "b"))
+        apart = lambda names: sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in names), F.lit(0))
+        both = found.join(one, "a").join(two, "b")
+        return both.where((apart(fps) <= NEAR_ALL) & (apart(marks) <= _reach(least))).select("a", "b", "d")
 
     def linked(found: DataFrame, links: DataFrame | None) -> DataFrame:
         """links and those that found adds. Most join by two pairs for each node, its smallest and its nearest neighbour; of the
@@ -412,16 +456,18 @@ def _similar(docs: DataFrame, id_col: str, text: str, words: int, least: float)
         return links.unionByName(verified(rest.select("a", "b")))
 
     met = durable(_met(_keys(prints, ["size", "fp0", "node"]), least).groupBy("a", "b").agg(F.min("d").alias("d")))
+    met_nodes = of(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _marked)
+    met_nodes = durable(prints.join(met_nodes.select("node", *marks), "node"))
     links = linked(durable(close(met.where("a <> b"))), None)
     # Members of crowded keys: what is still apart there meets once more.
-    crowd = durable(prints.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"))
+    crowd = met_nodes.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi")
+    crowd = durable(crowd.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
     if not crowd.isEmpty():
-        crowd = crowd.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        keyed = durable(_keys(durable(crowd), ["node", "label", *fps]))
-        again = durable(_apart(keyed))
-        release(keyed)
+        keyed = durable(_keys(crowd, ["node", "label"]))
+        again = durable(_apart(keyed, crowd, least))
+        release(keyed, crowd)
         links = linked(again, links)
-    release(met)
+    release(met, met_nodes)
     whole = nodes.join(components(links), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.select("doc_id", "node"), durable(whole.join(ids, "root").select("node", "component_id"))
