@@ -224,8 +224,10 @@ def settled(seeds: DataFrame, length: int, opens: bool = True) -> DataFrame:
     out = _joined(marked.repartition("_k"), length if opens else LAST)  # no extent has LAST items
     if hot.isEmpty():
         return out
-    # A very frequent extent: its first seed, combined before it moves, comes back by broadcast.
-    first = durable(seeds.join(F.broadcast(hot), ["g", "x"]).groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
+    # A very frequent extent: its first seed, combined before it moves, comes back by broadcast. Of a x with several g all are
+    # taken: an extent that is told twice proposes its matches twice, and no more.
+    frequent = F.col("x").isin([r.x for r in hot.select("x").distinct().collect()])  # fewer than HOT
+    first = durable(seeds.where(frequent).groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
     again = seeds.join(F.broadcast(first), ["g", "x"], "left").where(F.col("rid") > F.coalesce("_f.rid", F.lit(LAST))).select("rid", "pos", "span", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
     out = out.unionByName(again)
     if opens:
