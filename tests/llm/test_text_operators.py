@@ -454,6 +454,63 @@ def test_quality_on_held_out_labels(spark):
     assert out.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def brute_features(text):
+    words = [w.encode() for w in WORD.findall(text or "")]
+    out = [("word", w) for w in words]
+    for w in words:
+        p = b" " + w + b" "
+        out += [(n, p[i : i + n]) for n in quality.GRAMS for i in range(len(p) - n + 1)]
+    return out + [("again", n) for n in (1, 2, 3) for a, b in zip(words, words[n:]) if a == b]
+
+
+def test_quality_features_and_scores_match_brute_force():
+    texts = random_docs(30, 5, vocabulary=6) + ["a a  a\tb a", None, "", " \n ", "é 😀 éé", "ab" * 400]
+    t = Texts(pa.array(texts, pa.large_string()), Powers())
+    key, own = quality.features(t, 1 << 62)
+    # Hashes have no meaning of their own: which texts hold a feature how often must be the same.
+    where = defaultdict(Counter)
+    for k, i in zip(key.tolist(), own.tolist()):
+        where[k][i] += 1
+    want = defaultdict(Counter)
+    for i, text in enumerate(texts):
+        for f in brute_features(text):
+            want[f][i] += 1
+    as_rows = lambda d: Counter(tuple(sorted(c.items())) for c in d.values())
+    assert as_rows(where) == as_rows(want)
+    share = np.random.default_rng(1).normal(size=1 << 16)
+    key, own = quality.features(t, len(share))
+    got = quality.score(share, 0.3, key, own, len(texts))
+    for i in range(len(texts)):
+        mine = share[key[own == i]]
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(0.3 + (mine.mean() if len(mine) else 0)))))
+
+
+def test_quality_training_matches_plain_descent():
+    texts, y, width, epochs, rate = ["good fine words", "bad bad bad", "", "fine text here"], [1, 0, 1, 1], 3, 3, 0.5
+    share, bias = quality.train(texts, np.array(y), 512, width, epochs, rate)
+    rng = np.random.default_rng(3)
+    v, out, b = rng.uniform(-1 / width, 1 / width, (512, width)).astype(np.float32).tolist(), [[0.0, 0.0] for _ in range(width)], [0.0, 0.0]
+    bags = [Counter(quality.features(Texts(pa.array([t], pa.large_string()), Powers()), 512)[0].tolist()) for t in texts]
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            lr, n = rate * (1 - done / (epochs * len(texts))), max(1, sum(bags[i].values()))
+            done += 1
+            x = {k: c / n for k, c in bags[i].items()}
+            h = [sum(x[k] * v[k][d] for k in x) for d in range(width)]
+            e = [np.exp(sum(h[d] * out[d][c] for d in range(width)) + b[c]) for c in (0, 1)]
+            p = [(e[c] / sum(e) - (c == y[i])) * (0.5 / 0.75 if y[i] else 0.5 / 0.25) for c in (0, 1)]
+            for k in x:
+                for d in range(width):
+                    v[k][d] -= lr * x[k] / max(x.values()) * sum(out[d][c] * p[c] for c in (0, 1)) * 0.1
+            for c in (0, 1):
+                for d in range(width):
+                    out[d][c] -= lr * h[d] * p[c] * 4
+                b[c] -= lr * p[c] * 0.1
+    assert np.isclose(bias, b[1] - b[0], atol=1e-5)
+    assert np.allclose(share, [sum(w[d] * (out[d][1] - out[d][0]) for d in range(width)) for w in v], atol=1e-4)
+
+
 def brute_counts(text):
     t = text or ""
     words, lines = WORD.findall(t), t.split("\n")
@@ -486,6 +543,36 @@ def test_rules_keep_clean_documents(spark):
     assert kept[1] > 0.98 and kept[0] < 0.8
 
 
+def test_rules_verdicts_match_brute_force(spark):
+    docs, lab = big(spark)
+    lab = lab.where("doc_id % 3 = 0")
+    out = {r.doc_id: r for r in rules.judge(docs, lab).collect()}
+    known = sorted((r.doc_id, float(r.quality)) for r in lab.where("quality in (0, 1)").collect() if r.doc_id in out)
+    assert max(Counter(q for _, q in known).values()) <= rules.PER_CLASS  # all are in the sample
+    counts, good = np.array([[out[i][c] for c in rules.COUNTS] for i, _ in known]), np.array([q for _, q in known])
+    forest, least = rules.calibrated(counts, good)
+
+    def path(r):
+        w, c = max(1, r.n_words), max(1, r.word_chars)
+        row = [np.log1p(r.n_words), r.word_chars / w, r.n_symbols / w, r.n_dup_lines / max(1, r.n_lines), r.n_repeat_words / w, r.n_upper / c, r.n_digits / c, r.n_punct / w]
+        total = 0
+        for feature, cut, length in zip(forest.feature, forest.cut, forest.length):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + (2 if row[feature[node]] >= cut[node] else 1)
+            total += length[node]
+        return total / rules.TREES
+
+    paths = {i: path(r) for i, r in out.items()}
+    ranked = sorted(paths[i] for i, q in known if q == 1 and not out[i].base_failed)
+    at = (len(ranked) - 1) * (1 - rules.KEEP)
+    low, high = ranked[int(at)], ranked[min(int(at) + 1, len(ranked) - 1)]
+    assert np.isclose(least, low + (at - int(at)) * (high - low))
+    for i, r in out.items():
+        assert np.isclose(r.path, paths[i])
+        assert r.kept == (not r.base_failed and r.path >= least)
+
+
 def test_isolation_forest_cuts_off_far_points():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))
@@ -621,6 +708,34 @@ def test_mixing_memberships_follow_labels(spark):
     assert mix.rates.count() == docs.count()
 
 
+def test_mixing_posteriors_match_brute_force(spark):
+    rng = random.Random(4)
+    domains, texts = ["a", "b", "c"], [None, ""]
+    while len(texts) < 60:
+        d = domains[len(texts) % 3]
+        texts.append(" ".join(rng.choice([f"{d}{rng.randrange(9)}", f"all{rng.randrange(9)}", f"rare{rng.randrange(200)}"]) for _ in range(rng.randint(1, 30))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = {i: domains[i % 3] for i in range(0, 60) if i % 5}
+    got_domains, model = mixing.likelihoods(docs, spark.createDataFrame(list(label.items()), "doc_id long, label string"))
+    vocabulary = {w for t in texts for w in (t or "").split()}
+    buckets = spark.createDataFrame([(w,) for w in vocabulary], "w string").select(F.countDistinct(mixing._bucket(F.col("w"), mixing.BUCKETS))).first()[0]
+    assert got_domains == domains and buckets == len(vocabulary)
+    weights = np.array([[0.9, 0.1, -0.2, 0.3], [0.0, 1.1, 0.2, -0.1], [0.3, -0.4, 0.8, 0.0]])
+    got = {r.doc_id: r for r in mixing.posteriors(mixing.evidence(docs, domains, model, temper=6.0), weights).collect()}
+    holds = {w: np.array([sum(w in (texts[i] or "").split() for i in label if label[i] == d) for d in domains]) for w in vocabulary}
+    holds = {w: n for w, n in holds.items() if n.sum() >= mixing.LEAST}
+    known, ll = sum(holds.values()), {}
+    for w, n in holds.items():
+        raw = np.log((n + 0.5) / (known + 0.5 * len(holds)))
+        ll[w] = np.minimum(0, raw - raw.max() + mixing.MARGIN)
+    for i, t in enumerate(texts):
+        found = [ll[w] for w in set((t or "").split()) if w in ll]
+        s = np.sum(found, axis=0) * 6.0 / max(6.0, len(found)) if found else np.zeros(3)
+        p = np.exp(weights[:, :3] @ s + weights[:, 3])
+        assert got[i].tokens == len((t or "").split())
+        assert np.allclose(got[i].p, p / p.sum())
+
+
 def test_taken_follows_the_rate(spark):
     t = spark.range(20000).select(mixing.taken(F.lit(1.3), F.col("id")).alias("n")).agg(F.min("n"), F.max("n"), F.avg("n")).first()
     assert t[0] == 1 and t[1] == 2 and abs(t[2] - 1.3) < 0.02
