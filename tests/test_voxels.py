@@ -293,6 +293,21 @@ def test_group_parcellation_repeats_itself(spark):
         assert consensus.loocv_dice(out, 3).agg(F.min("dice")).first()[0] == pytest.approx(1.0)
 
 
+def test_group_parcellation_with_distances_and_a_kernel_of_the_users(spark):
+    # Blocks so thick that most edges, and with them the median distance, lie inside one.
+    rng = np.random.default_rng(5)
+    base = np.repeat(rng.normal(size=(2, 30)), 27, axis=0)
+    x = np.stack([base + 0.15 * rng.normal(size=base.shape) for _ in range(2)])
+    v = make(spark, x, [(n % 3, n // 3 % 3, n // 9) for n in range(54)])
+    near = lambda voxels, edges: kernels.edge_l2(voxels, edges).withColumn("w", F.exp(-4 * F.col("w")))
+    for weight in ("l2", "srvf", near):
+        out = consensus.group_parcellation(v, 2, weight=weight)
+        got = [r.label for r in out.group_labels.orderBy("voxel_id").collect()]
+        assert got == [1] * 27 + [2] * 27
+    with pytest.raises(ValueError):
+        consensus.group_parcellation(v, 2, weight="nearest")
+
+
 def test_alignment_and_checks(spark):
     v = make(spark, small(s=2))
     other = v.withColumn("voxel_id", F.when(F.col("subject_id") == 1, 100 - F.col("voxel_id")).otherwise(F.col("voxel_id")))

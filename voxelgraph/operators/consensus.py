@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,6 +59,23 @@ def leave_one_out_all_pairs(labels: DataFrame) -> DataFrame:
     return out.withColumn("w", F.col("agree") / F.col("cnt"))
 
 
+def edge_weights(voxels: DataFrame, edges: DataFrame, weight: str | Callable = "correlation") -> DataFrame:
+    """subject_id, i_idx, j_idx, w by name: correlation, cosine, partial, or l2, srvf, srvf_dtw (distances scaled by each subject's
+    median); or by a function of voxels and edges."""
+    if callable(weight):
+        return weight(voxels, edges)
+    similar = {"correlation": kernels.edge_correlation, "cosine": kernels.edge_cosine, "partial": kernels.edge_partial_correlation}
+    if weight in similar:
+        return similar[weight](voxels, edges)
+    if weight == "l2":
+        far = kernels.edge_l2(voxels, edges)
+    elif weight in ("srvf", "srvf_dtw"):
+        far = kernels.edge_srvf(voxels, edges, warp="dtw" if weight == "srvf_dtw" else "none")
+    else:
+        raise ValueError(f"unknown kernel {weight}")
+    return kernels.distance_to_weight(durable(far), "rbf")  # read for the median and for the weights
+
+
 @dataclass
 class Parcellation:
     mode: str  # "26" or "all pairs"
@@ -67,13 +85,13 @@ class Parcellation:
     edges: DataFrame | None
 
 
-def group_parcellation(voxels: DataFrame, n_clusters: int, mode: str = "26", weight: str = "correlation", r_min: float | None = None, reference: int = 0, kmeans_nstart: int = 5, kmeans_itermax: int = 300, random_state: int = 2025) -> Parcellation:
-    """Cluster each subject's graph, count agreement, cluster the agreement graph. All subjects run at once: subject_id is a key."""
+def group_parcellation(voxels: DataFrame, n_clusters: int, mode: str = "26", weight: str | Callable = "correlation", r_min: float | None = None, reference: int = 0, kmeans_nstart: int = 5, kmeans_itermax: int = 300, random_state: int = 2025) -> Parcellation:
+    """Cluster each subject's graph, count agreement, cluster the agreement graph. All subjects run at once: subject_id is a key.
+    weight: as edge_weights() takes it with the 26-neighbour graph, as kernels.all_pairs() does otherwise."""
     v = durable(align(voxels, reference))
     edges = durable(edges26(v.where(F.col("subject_id") == reference))) if mode == "26" else None
     if mode == "26":
-        w = {"correlation": kernels.edge_correlation, "cosine": kernels.edge_cosine, "partial": kernels.edge_partial_correlation}[weight](v, edges)
-        w = kernels.finish(w, r_min, "auto")
+        w = kernels.finish(edge_weights(v, edges, weight), r_min, "auto")
     else:
         w = kernels.all_pairs(v, weight, r_min)
     opts = {"kmeans_nstart": kmeans_nstart, "kmeans_itermax": kmeans_itermax, "random_state": random_state}

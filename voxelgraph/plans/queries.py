@@ -67,8 +67,8 @@ def _two_labellings(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return first_labels(v), second_labels(v)
 
 
-def _group(s: SparkSession, sf: str, mode: str = "26") -> consensus.Parcellation:
-    return consensus.group_parcellation(three(s, sf), 8, mode, r_min=R_MIN if mode != "26" else None)
+def _group(s: SparkSession, sf: str, mode: str = "26", weight: str = "correlation") -> consensus.Parcellation:
+    return consensus.group_parcellation(three(s, sf), 8, mode, weight, r_min=R_MIN if mode != "26" else None)
 
 
 def _label_values(s: SparkSession, sf: str) -> DataFrame:
@@ -168,6 +168,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spectral_randomized": lambda s, d: spectral_clustering(corr(s, d), one(s, d), 8, eig_solver="randomized"),
         "randomized_eigenvectors": _randomized,
         "group_parcellation": lambda s, d: _group(s, d).group_labels,
+        "group_parcellation_l2": lambda s, d: _group(s, d, weight="l2").group_labels,
+        "group_parcellation_srvf": lambda s, d: _group(s, d, weight="srvf").group_labels,
         "group_parcellation_all_pairs": lambda s, d: _group(s, d, "all pairs").group_labels,
         "loocv_dice": lambda s, d: rounded(consensus.loocv_dice(_group(s, d), 8), "dice"),
         "loocv_dice_all_pairs": lambda s, d: rounded(consensus.loocv_dice(_group(s, d, "all pairs"), 8), "dice"),
