@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelgraph.llm import exact_dedup, language, mixing, packing, quality, repeats, rules, simhash, toxicity
+from voxelgraph.llm import exact_dedup, language, mixing, packing, prefix_trie, quality, repeats, rules, simhash, toxicity
 
 #: Target shares of the mixture.
 WEIGHTS = {"clean": 0.94, "low": 0.03, "toxic": 0.03}
@@ -62,6 +62,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.rates.select("doc_id", "tokens", "p", "rate", "n_taken")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_factorization_toxicity": op1,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kernel_language": op8,
         "op9_seed_and_extend": op9,
         "op10_soft_mixing": op10,
+        "op13_family_first_trie": op13,
     }
 
 
@@ -105,4 +110,24 @@ def oracle_sql() -> dict[str, str]:
                   FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY x.doc_id)
             SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
             FROM d LEFT JOIN k USING (doc_id)""",
+        "op13_family_first_trie": r"""
+            WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn,
+                              len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+            o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i FROM t),
+            c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, conv_id::VARCHAR AS s FROM (SELECT DISTINCT conv_id FROM o)),
+            h AS (SELECT conv_id, base, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ord(substr(s, i, 1))::BIGINT),
+                      lambda a, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295::BIGINT), 4294967295) % 4 AS h FROM c),
+            b AS (SELECT h.*, (SELECT count(*) FROM o WHERE o.conv_id = h.base AND o.i <= h.h) AS taken FROM h),
+            r AS (SELECT b.conv_id, o.i AS d, o.digest, o.words FROM b JOIN o ON o.conv_id = b.base AND o.i <= b.h
+                  UNION ALL SELECT b.conv_id, b.taken + o.i - b.h, o.digest, o.words FROM b JOIN o ON o.conv_id = b.conv_id AND o.i > b.h),
+            p AS (SELECT conv_id, d, words, list(digest) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+                  UNION ALL SELECT conv_id, 0, 0, CAST([] AS VARCHAR[]) FROM b),
+            e AS (SELECT conv_id, max_by(path, d) AS path FROM p GROUP BY conv_id),
+            n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY path, d),
+            k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+            m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+            s AS (SELECT v.path, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved FROM m v JOIN m u ON u.d >= v.d AND u.path[1:v.d] = v.path GROUP BY v.path),
+            z AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM e GROUP BY path)
+            SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(z.ends, '')) AS ends_sha256
+            FROM m JOIN s USING (path) LEFT JOIN z USING (path) LEFT JOIN m q ON m.d > 0 AND q.d = m.d - 1 AND q.path = m.path[1:m.d - 1]""",
     }
