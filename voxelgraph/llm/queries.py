@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelgraph.llm import exact_dedup, language, mixing, packing, prefix_trie, quality, repeats, rules, simhash, toxicity
+from voxelgraph.llm import cover_tree, exact_dedup, language, mixing, packing, prefix_trie, quality, repeats, rules, simhash, toxicity, wand
 
 #: Target shares of the mixture.
 WEIGHTS = {"clean": 0.94, "low": 0.03, "toxic": 0.03}
@@ -62,6 +62,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.rates.select("doc_id", "tokens", "p", "rate", "n_taken")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
@@ -78,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kernel_language": op8,
         "op9_seed_and_extend": op9,
         "op10_soft_mixing": op10,
+        "op11_wand_shards": op11,
+        "op12_cover_tree": op12,
         "op13_family_first_trie": op13,
     }
 
@@ -110,6 +120,24 @@ def oracle_sql() -> dict[str, str]:
                   FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY x.doc_id)
             SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
             FROM d LEFT JOIN k USING (doc_id)""",
+        "op11_wand_shards": r"""
+            WITH q AS (SELECT row_number() OVER () AS item, item_id, coalesce(text, '') AS text FROM benchmark), d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+            a AS (SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM q),
+            t AS (SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+            n AS (SELECT rid, count(*) AS n FROM t GROUP BY rid), s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM n),
+            f AS (SELECT rid, doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+            w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+            i AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))) AS impact FROM f JOIN n USING (rid) JOIN w USING (term), s),
+            r AS (SELECT item, item_id, rid, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM a JOIN i USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r
+            QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) <= 10""",
+        "op12_cover_tree": """
+            WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+            u AS (SELECT vec_id, x FROM v WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_inner_product(x, x) > 0),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+            r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+            c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+            SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c USING (vec_id)""",
         "op13_family_first_trie": r"""
             WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn,
                               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
