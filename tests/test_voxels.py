@@ -1,6 +1,7 @@
 """Kernels, graphs, clustering and metrics on small hand-made fixtures, against numpy; every semantic decision has a case."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,8 +224,139 @@ def test_greedy_modularity(spark):
     best = table.agg(F.max("modularity")).first()[0]
     labels = greedy.cut_labels(table, v, w)
     assert metrics.modularity(w, labels).first().modularity == pytest.approx(best)
-    with pytest.raises(ValueError):
-        greedy.dendrogram(w, most_edges=3)
+    assert greedy.dendrogram(w.limit(0)).count() == 0
+
+
+def sequential_best(i, j, w):
+    """Modularity of merging the single best pair each time."""
+    m, near = w.sum(), {}
+    deg = np.bincount(np.concatenate([i, j]), np.concatenate([w, w]))
+    for a, b, x in zip(i.tolist(), j.tolist(), w.tolist()):
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = x
+    q = best = -((deg / (2 * m)) ** 2).sum()
+    while True:
+        pairs = [(near[a][b] / m - deg[a] * deg[b] / (2 * m * m), -a, -b) for a in near for b in near[a] if a < b]
+        if not pairs:
+            return best
+        gain, a, b = max(pairs)
+        a, b, q = -a, -b, q + gain
+        best = max(best, q)
+        deg[a] += deg[b]
+        for c, x in near.pop(b).items():
+            del near[c][b]
+            if c != a:
+                near[a][c] = near[c][a] = near[a].get(c, 0.0) + x
+
+
+def test_greedy_rounds_come_near_sequential_merges(spark):
+    rng = np.random.default_rng(4)
+    rows, plain = [], {}
+    for s in range(2):
+        group = rng.integers(0, 6, 90)
+        i, j = np.triu_indices(90, 1)
+        on = rng.random(len(i)) < np.where(group[i] == group[j], 0.4, 0.05)
+        w = rng.uniform(0.2, 1, on.sum())
+        plain[s] = sequential_best(i[on], j[on], w)
+        rows += [(s, int(a), int(b), float(x)) for a, b, x in zip(i[on], j[on], w)]
+    weights = spark.createDataFrame(rows, "subject_id int, i_idx long, j_idx long, w double")
+    voxels = spark.range(90).selectExpr("explode(array(0, 1)) subject_id", "id voxel_id")
+    table = greedy.dendrogram(weights)
+    labels = greedy.cut_labels(table, voxels, weights)
+    for r in metrics.modularity(weights, labels).collect():
+        top = table.where(F.col("subject_id") == r.subject_id).agg(F.max("modularity")).first()[0]
+        assert r.modularity == pytest.approx(top) and r.modularity > 0.95 * plain[r.subject_id]
+    assert table.count() == 2 * 89 and table.agg(F.max("step")).first()[0] == 89
+    for r in greedy.cut_labels(table, voxels, weights, 4).groupBy("subject_id").agg(F.countDistinct("label").alias("k")).collect():
+        assert r.k == 4
+
+
+def lattice(spark, n, subjects=1, seed=0):
+    """Normalised 26-neighbour graphs of smooth series."""
+    rng, frames = np.random.default_rng(seed), []
+    for s in range(subjects):
+        x = rng.normal(size=(n, n, n, 40))
+        for axis in (0, 1, 2, 0, 1, 2):
+            x = (np.roll(x, 1, axis) + x + np.roll(x, -1, axis)) / 3
+        x = x.reshape(n**3, -1)
+        x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True) / np.sqrt(x.shape[1])
+        at = np.stack(np.unravel_index(np.arange(n**3), (n, n, n)), 1)
+        i, j = [], []
+        for o in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]:
+            to = at + o
+            ok = ((to >= 0) & (to < n)).all(1)
+            i.append(np.flatnonzero(ok))
+            j.append(np.ravel_multi_index(to[ok].T, (n, n, n)))
+        i, j = np.concatenate(i), np.concatenate(j)
+        w = (x[i] * x[j]).sum(1)
+        i, j, w = i[w > 0], j[w > 0], w[w > 0]
+        d = np.bincount(i, w, n**3) + np.bincount(j, w, n**3)
+        frames.append(pd.DataFrame({"subject_id": s, "i_idx": i, "j_idx": j, "w": w / np.sqrt(d[i] * d[j])}))
+    frame = pd.concat(frames)
+    return spark.createDataFrame(frame, "subject_id int, i_idx long, j_idx long, w double"), frame
+
+
+@pytest.mark.parametrize(("n", "k", "subjects", "size"), [(20, 20, 1, 200_000), (20, 121, 1, 200_000), (6, 5, 2, 700)])
+def test_large_lattices_settle(spark, n, k, subjects, size):
+    from voxelgraph.operators.eigen import settled_eigenvectors
+
+    norm, frame = lattice(spark, n, subjects)
+    value, y, products = settled_eigenvectors(norm, k, size=size)
+    assert max(products.values()) <= 60
+    rows = y.toPandas()
+    for s, edges in frame.groupby("subject_id"):
+        v = rows[rows["subject_id"] == s].sort_values("voxel_id")[[f"y{c}" for c in range(k)]].to_numpy()
+        i, j, w = (edges[c].to_numpy() for c in ("i_idx", "j_idx", "w"))
+        product = np.zeros_like(v)
+        np.add.at(product, i, w[:, None] * v[j])
+        np.add.at(product, j, w[:, None] * v[i])
+        assert np.linalg.norm(product - v * value[s], axis=0).max() <= 1.1e-4
+        assert np.abs(v.T @ v - np.eye(k)).max() < 1e-8
+        if n == 6:
+            dense = np.zeros((n**3, n**3))
+            dense[i, j] = dense[j, i] = w
+            assert np.allclose(value[s], np.linalg.eigvalsh(dense)[::-1][:k], atol=1e-6)
+
+
+@pytest.mark.parametrize("listed", [50_000, 3])
+def test_medians_by_counting(spark, monkeypatch, listed):
+    from voxelgraph.operators import medians
+
+    monkeypatch.setattr(medians, "LISTED", listed)
+    rng = np.random.default_rng(2)
+    groups = {0: rng.normal(size=501), 1: rng.exponential(size=200), 2: np.full(40, 0.3), 3: np.array([-1.0, 0.0]), 4: np.concatenate([np.full(50, 2.0), [1.0, np.nan, np.inf]])}
+    rows = spark.createDataFrame([(s, float(x)) for s, g in groups.items() for x in g], "subject_id int, w double")
+    want = {s: np.median(g[(g > 0) & np.isfinite(g)]) for s, g in groups.items() if ((g > 0) & np.isfinite(g)).any()}
+    assert medians.table_medians(rows) == pytest.approx(want)
+    assert {r.subject_id: r.scale for r in kernels.pilot_scale(rows).collect()} == pytest.approx(want | {3: 1.0})
+
+
+def test_all_pairs_of_distances_find_their_own_scale(spark, monkeypatch):
+    from voxelgraph.operators import medians
+
+    monkeypatch.setattr(medians, "LISTED", 20)
+    x = small(s=2, v=14, t=20)
+    v = make(spark, x)
+    i, j = np.triu_indices(14, 1)
+    for s in range(2):
+        z = (x[s] - x[s].mean(1, keepdims=True)) / x[s].std(1, ddof=1, keepdims=True)
+        d = np.sqrt(((z[i] - z[j]) ** 2).mean(1))
+        for shape, want in (("rbf", np.exp(-(d**2) / (2 * np.median(d) ** 2))), ("inv", 1 / (1 + d / np.median(d)))):
+            got = edge_map(kernels.all_pairs(v.where(f"subject_id = {s}"), "l2", block_size=5, shape=shape))
+            assert [got[a, b] for a, b in zip(i, j)] == pytest.approx(want.tolist())
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(i, j)], "i_idx long, j_idx long")
+    whole = {(r.subject_id, r.i_idx, r.j_idx): r.w for r in kernels.edge_partial_correlation(v, edges, prestandardized=False).collect()}
+    tiled = {(r.subject_id, r.i_idx, r.j_idx): r.w for r in kernels.all_pairs(v, "partial", block_size=5).collect()}
+    assert tiled == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("symmetry", ["upper", "union"])
+def test_top_k_inside_tiles(spark, symmetry):
+    x = np.round(small(s=2, v=25, t=6), 0)  # many equal weights
+    v = make(spark, x)
+    rows = lambda df: sorted((r.subject_id, r.i_idx, r.j_idx, round(r.w, 9)) for r in df.collect())
+    dots = lambda a, b: a @ b.T  # noqa: E731  exact, so ties are ties
+    for k in (1, 3, 40):
+        assert rows(kernels.all_pairs_top(v, k, dots, symmetry=symmetry, block_size=7)) == rows(graph.top_k(kernels.all_pairs(v, dots, block_size=7), k, symmetry=symmetry))
 
 
 def test_graph_rules(spark):
@@ -274,10 +406,16 @@ def test_consensus_and_leave_one_out(spark):
         use = (lab[:, r.i_idx] > 0) & (lab[:, r.j_idx] > 0)
         agree = use & (lab[:, r.i_idx] == lab[:, r.j_idx])
         assert (r.agree, r.cnt) == (agree.sum(), use.sum())
-    for r in consensus.leave_one_out_all_pairs(labels).collect():
-        o = np.delete(lab, r.held_out, 0)
-        use = (o[:, r.i_idx] > 0) & (o[:, r.j_idx] > 0)
-        assert (r.agree, r.cnt) == ((use & (o[:, r.i_idx] == o[:, r.j_idx])).sum(), use.sum())
+    for size in (1024, 4):
+        seen = 0
+        for r in consensus.leave_one_out_all_pairs(labels, size).collect():
+            o = np.delete(lab, r.held_out, 0)
+            use = (o[:, r.i_idx] > 0) & (o[:, r.j_idx] > 0)
+            assert (r.agree, r.cnt) == ((use & (o[:, r.i_idx] == o[:, r.j_idx])).sum(), use.sum())
+            seen += 1
+        i, j = np.triu_indices(9, 1)
+        both = (lab[:, i] > 0) & (lab[:, i] == lab[:, j])
+        assert seen == sum((np.delete(both, s, 0).sum(0) > 0).sum() for s in range(4))
 
 
 def test_group_parcellation_repeats_itself(spark):

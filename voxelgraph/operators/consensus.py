@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.operators import kernels, metrics
-from voxelgraph.operators.pairs import edges26
+from voxelgraph.operators.pairs import edges26, met, tiles
 from voxelgraph.operators.spectral import spectral_clustering
 from voxelgraph.operators.tables import align
 from voxelgraph.storage import durable
@@ -27,15 +28,43 @@ def consensus_on_edges(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return a.withColumn("w", F.when(F.col("cnt") > 0, F.col("agree") / F.col("cnt")))
 
 
-def consensus_all_pairs(labels: DataFrame) -> DataFrame:
-    """The same over all pairs that agree in some subject. Pairs come from a join on subject and cluster, so only pairs inside clusters
-    are made; cnt is the product of how often each voxel is assigned only if all are, so it is counted for these pairs."""
-    l = labels.where("label > 0").select("subject_id", "voxel_id", "label")
-    pairs = l.toDF("subject_id", "i_idx", "label").join(l.toDF("subject_id", "j_idx", "label"), ["subject_id", "label"]).where("i_idx < j_idx")
-    agree = pairs.groupBy("i_idx", "j_idx").agg(F.count(F.lit(1)).alias("agree"))
-    who = l.groupBy("voxel_id").agg(F.collect_set("subject_id").alias("s"))  # bounded by the number of subjects
-    out = agree.join(who.toDF("i_idx", "si"), "i_idx").join(who.toDF("j_idx", "sj"), "j_idx")
-    out = out.select("i_idx", "j_idx", "agree", F.size(F.array_intersect("si", "sj")).cast("long").alias("cnt"))
+def label_rows(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """subject_id (0), voxel_id, labels of each assigned voxel, one place a subject (0: unassigned); and subject_id, place."""
+    places = labels.select("subject_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("subject_id")) - 1)  # one row a subject
+    places = durable(places)
+    n = places.count()
+    own = labels.where("label > 0").join(F.broadcast(places), "subject_id").groupBy("voxel_id", "place").agg(F.max("label").alias("label"))
+    by = own.groupBy("voxel_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "label"))).alias("m"))  # one entry a subject, at most
+    every = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0)).cast("double"))
+    return by.select(F.lit(0).alias("subject_id"), "voxel_id", every.alias("labels")), places
+
+
+def _together(x: np.ndarray, y: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one subject: which pairs share a cluster, which are both assigned."""
+    use = (x[:, s, None] > 0) & (y[None, :, s] > 0)
+    return use & (x[:, s, None] == y[None, :, s]), use
+
+
+def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over all subjects: how often pairs share a cluster, how often both are assigned (a product of indicators)."""
+    agree = np.zeros((len(x), len(y)), np.int32)
+    for s in range(x.shape[1]):
+        agree += _together(x, y, s)[0]
+    return agree, ((x > 0).astype(np.float32) @ (y > 0).astype(np.float32).T).astype(np.int32)
+
+
+def consensus_all_pairs(labels: DataFrame, block_size: int = 2048) -> DataFrame:
+    """The same over all pairs that agree in some subject. Two blocks of voxels meet with the labels of all subjects and are counted
+    there, so neither clusters nor subjects are keys: a cluster with a third of all voxels is dealt over tiles like any other."""
+    rows, _ = label_rows(labels)
+
+    def make(subject, i, x, j, y):
+        agree, cnt = _counted(x, x if y is None else y)
+        r, c = np.nonzero((agree > 0) & met(i, j))
+        u, v = i[r], (i if j is None else j)[c]
+        return np.minimum(u, v), np.maximum(u, v), agree[r, c], cnt[r, c]
+
+    out = tiles(rows, make, "i_idx long, j_idx long, agree long, cnt long", block_size)
     return out.withColumn("w", F.col("agree") / F.col("cnt"))
 
 
@@ -47,15 +76,23 @@ def leave_one_out(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return t.withColumn("w", F.when(F.col("cnt") > 0, F.col("agree") / F.col("cnt")))
 
 
-def leave_one_out_all_pairs(labels: DataFrame) -> DataFrame:
-    """held_out, i_idx, j_idx, agree, cnt, w over pairs that still agree somewhere, by subtraction too."""
-    total = durable(consensus_all_pairs(labels))
-    l = labels.select(F.col("subject_id").alias("held_out"), "voxel_id", "label")
-    every = for_each_subject(total, labels, "held_out")  # one copy of the pairs for each subject: that is the result's own size
-    t = every.join(l.toDF("held_out", "i_idx", "li"), ["held_out", "i_idx"], "left").join(l.toDF("held_out", "j_idx", "lj"), ["held_out", "j_idx"], "left")
-    use = F.coalesce((F.col("li") > 0) & (F.col("lj") > 0), F.lit(False))
-    agree = F.col("agree") - (use & (F.col("li") == F.col("lj"))).cast("long")
-    out = t.select("held_out", "i_idx", "j_idx", agree.alias("agree"), (F.col("cnt") - use.cast("long")).alias("cnt")).where("agree > 0")
+def leave_one_out_all_pairs(labels: DataFrame, block_size: int = 1024) -> DataFrame:
+    """held_out, i_idx, j_idx, agree, cnt, w over pairs that still agree somewhere: each tile subtracts a subject at a time from its counts."""
+    rows, places = label_rows(labels)
+
+    def make(subject, i, x, j, y):
+        y, once = x if y is None else y, met(i, j)
+        agree, cnt = _counted(x, y)
+        parts = []
+        for s in range(x.shape[1]):
+            both, use = _together(x, y, s)
+            r, c = np.nonzero((agree > both) & once)
+            u, v = i[r], (i if j is None else j)[c]
+            parts.append((np.full(len(r), s), np.minimum(u, v), np.maximum(u, v), (agree - both)[r, c], (cnt - use)[r, c]))
+        return [np.concatenate(p) for p in zip(*parts)]
+
+    out = tiles(rows, make, "place int, i_idx long, j_idx long, agree long, cnt long", block_size)
+    out = out.join(F.broadcast(places), "place").select(F.col("subject_id").alias("held_out"), "i_idx", "j_idx", "agree", "cnt")
     return out.withColumn("w", F.col("agree") / F.col("cnt"))
 
 

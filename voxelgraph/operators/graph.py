@@ -48,6 +48,11 @@ def top_k(weights: DataFrame, k: int = 200, clamp_negative: bool = True, symmetr
     w = weights.where("w > 0") if clamp_negative else weights
     m = mirrored(w)
     ranked = m.withColumn("_n", F.row_number().over(W.partitionBy("subject_id", "node").orderBy(F.desc("w"), "other"))).where(F.col("_n") <= k)
+    return chosen(ranked, symmetry)
+
+
+def chosen(ranked: DataFrame, symmetry: str = "upper") -> DataFrame:
+    """Edges from each node's chosen others, as top_k() has them."""
     if symmetry == "union":
         return ranked.select("subject_id", F.least("node", "other").alias("i_idx"), F.greatest("node", "other").alias("j_idx"), "w").distinct()
     return ranked.where("other < node").select("subject_id", F.col("other").alias("i_idx"), F.col("node").alias("j_idx"), "w")

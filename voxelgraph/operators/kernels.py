@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelgraph.functions.basis import grams
-from voxelgraph.functions.series import dot, map_series, matrix, moving_average3, srvf, total, with_standardized
-from voxelgraph.operators.pairs import on_edges, tiled_weights
+from voxelgraph.functions.series import dot, map_series, matrix, moving_average3, over, srvf, total, with_standardized
+from voxelgraph.operators import medians
+from voxelgraph.operators.graph import chosen
+from voxelgraph.operators.pairs import met, on_edges, tiled_top, tiled_weights, tiles
+from voxelgraph.storage import durable
 
 
 def kept(r_min: float | None = None, clamp_negative: bool = False) -> Column:
@@ -60,22 +63,83 @@ def _predicate(r_min: float | None, clamp_negative: bool) -> Callable[[np.ndarra
     return keep
 
 
-def all_pairs(voxels: DataFrame, method: str | Callable = "correlation", r_min: float | None = None, clamp_negative: bool = False, prestandardized: bool = False, block_size: int = 2048, sigma: float | None = None) -> DataFrame:
-    """subject_id, i_idx, j_idx, w over all pairs. method: correlation, cosine, l2 (rbf of standardised series; sigma needed), or a
-    function of two matrices. Series are standardised once, before they are dealt to tiles."""
+def _far_medians(base: DataFrame, block_size: int) -> dict[int, float]:
+    """The exact median of each subject's positive RMS distances over all pairs, counted inside the tiles."""
+    longest = base.groupBy("subject_id").agg(F.max(dot(F.col("series"), F.col("series")) / F.size("series")).alias("q"))
+    brackets = {int(r.subject_id): (np.nextafter(0, 1), 2 * np.sqrt(r.q) * (1 + 1e-9) + 1e-300) for r in longest.toLocalIterator() if r.q and np.isfinite(r.q)}
+    rows = base.select("subject_id", "voxel_id", "series")
+
+    def positive(i, x, j, y):
+        d = rms(x, x if y is None else y)
+        return d[met(i, j) & (d > 0) & np.isfinite(d)]
+
+    def count(now: medians.Brackets) -> dict[int, np.ndarray]:
+        def make(subject, i, x, j, y):
+            if subject not in now:
+                return [], pa.array([], pa.list_(pa.int64()))
+            return [subject], pa.array([medians.histogram(positive(i, x, j, y), now[subject])])
+
+        return medians.summed(tiles(rows, make, "subject_id int, hist array<long>", block_size))
+
+    def values(now: medians.Brackets) -> dict[int, np.ndarray]:
+        def make(subject, i, x, j, y):
+            d = positive(i, x, j, y) if subject in now else np.zeros(0)
+            d = d[(d >= now[subject][0]) & (d < now[subject][1])] if subject in now else d
+            return np.full(len(d), subject), d
+
+        got = tiles(rows, make, "subject_id int, x double", block_size).toPandas()  # medians.LISTED a subject
+        return {int(s): g["x"].to_numpy() for s, g in got.groupby("subject_id")}
+
+    return medians.exact_medians(brackets, count, values) if brackets else {}
+
+
+def _prepared(voxels: DataFrame, method: str | Callable, prestandardized: bool, block_size: int, sigma: float | None, shape: str, ridge: float) -> tuple[DataFrame, Callable, Callable | None]:
+    """What tiles work on, their kernel, and what becomes of its values."""
+    if callable(method):
+        return voxels, method, None
+    if method not in ("correlation", "cosine", "l2", "srvf", "partial"):
+        raise ValueError(f"unknown kernel {method}")
+    if shape not in ("rbf", "inv", "none"):
+        raise ValueError("shape is rbf, inv or none")
     base = voxels
     if method in ("correlation", "l2") and not prestandardized:
         base = map_series(voxels, standardize)
-    if method == "l2":
-        if sigma is None:
-            raise ValueError("l2 over all pairs needs sigma: see pilot_scale")
-        s = float(sigma)
-        fn = lambda a, b: np.exp(-(rms(a, b) ** 2) / (2 * s * s))
-    else:
-        fn = {"correlation": correlation, "cosine": cosine}.get(method, method)
-    if not callable(fn):
-        raise ValueError(f"unknown kernel {method}")
-    return tiled_weights(base, fn, _predicate(r_min, clamp_negative), block_size)
+    if method == "correlation":
+        return base, correlation, None
+    if method == "cosine":
+        return base, cosine, None
+    if method == "partial":
+        z = base if prestandardized else map_series(voxels, standardize)
+        solved = partial_solved(z, ridge)
+        root = F.sqrt(F.greatest(1 - F.col("a") / ridge, F.lit(1e-12)))
+        both = F.concat(over(F.col("u"), root), over(F.col("st"), root * ridge))
+        half = lambda a, b: np.clip(a[:, : a.shape[1] // 2] @ b[:, a.shape[1] // 2 :].T, -1, 1)
+        return solved.select("subject_id", "voxel_id", both.alias("series")), half, None
+    if method == "srvf":
+        base = voxels.withColumn("series", srvf(F.col("series")))
+    if shape == "none":
+        return base, rms, None
+    base = durable(base.select("subject_id", "voxel_id", "series"))  # read for the median and for the weights
+    scale = {} if sigma is not None else _far_medians(base, block_size)
+    size = lambda s: float(sigma) if sigma is not None else scale.get(s, 1.0)
+    if shape == "inv":
+        return base, rms, lambda s, d: 1 / (1 + d / size(s))
+    return base, rms, lambda s, d: np.exp(-(d * d) / (2 * size(s) ** 2))
+
+
+def all_pairs(voxels: DataFrame, method: str | Callable = "correlation", r_min: float | None = None, clamp_negative: bool = False, prestandardized: bool = False, block_size: int = 2048, sigma: float | None = None, shape: str = "rbf", ridge: float = 1.0) -> DataFrame:
+    """subject_id, i_idx, j_idx, w over all pairs. method: correlation, cosine, partial (with ridge), l2 (of standardised series), srvf
+    (of square-root velocities), or a function of two matrices. Distances become weights by shape (rbf, inv or none), scaled by sigma or
+    the subject's exact median. Series are prepared once, before they are dealt to tiles."""
+    base, kernel, finish = _prepared(voxels, method, prestandardized, block_size, sigma, shape, ridge)
+    return tiled_weights(base, kernel, _predicate(r_min, clamp_negative), block_size, finish=finish)
+
+
+def all_pairs_top(voxels: DataFrame, k: int, method: str | Callable = "correlation", r_min: float | None = None, symmetry: str = "upper", block_size: int = 2048, **more) -> DataFrame:
+    """graph.top_k() of all_pairs() with positive weights, chosen inside the tiles: no more rows than k times blocks a voxel are made."""
+    given = {"prestandardized": False, "sigma": None, "shape": "rbf", "ridge": 1.0} | more
+    base, kernel, finish = _prepared(voxels, method, block_size=block_size, **given)
+    return chosen(tiled_top(base, kernel, _predicate(r_min, True), k, block_size, finish=finish), symmetry)
 
 
 def correlation_adjacency(voxels: DataFrame, *, prestandardized: bool = False, block_size: int | None = None, chunk_size: int | None = None, n_jobs: int | None = None, r_min: float | None = None, clamp_negative: bool = False) -> DataFrame:
@@ -173,9 +237,12 @@ def dtw_rms(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pilot_scale(distances: DataFrame) -> DataFrame:
-    """subject_id, scale: exact median of positive distances, 1 where there is none. The same for any blocking, unlike a sample."""
-    d = distances.groupBy("subject_id").agg(F.expr("median(case when w > 0 and not isnan(w) then w end)").alias("scale"))
-    return d.select("subject_id", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"))
+    """subject_id, scale: exact median of positive distances, 1 where there is none. The same for any blocking, unlike a sample; found by
+    counting, so no subject's distances are gathered."""
+    found = medians.table_medians(distances)
+    scales = distances.sparkSession.createDataFrame([(s, m) for s, m in found.items()], "subject_id int, _m double")
+    subjects = distances.select("subject_id").distinct()
+    return subjects.join(F.broadcast(scales), "subject_id", "left").select("subject_id", F.coalesce("_m", F.lit(1.0)).alias("scale"))
 
 
 def distance_to_weight(distances: DataFrame, method: str = "rbf", scale: float | None = None) -> DataFrame:
@@ -187,20 +254,14 @@ def distance_to_weight(distances: DataFrame, method: str = "rbf", scale: float |
     return d.withColumn("w", w).drop("scale")
 
 
-def edge_partial_correlation(voxels: DataFrame, edges: DataFrame, prestandardized: bool = True, ridge: float = 1.0, eps: float = 1e-12) -> DataFrame:
-    """Ridge partial correlation of the pairs in edges. By the Woodbury identity only B = I + U'U / ridge (T x T, U = Z / sqrt(T - 1))
-    is inverted, on the driver; solving is then a row-wise linear map."""
-
-    def guard(x: np.ndarray) -> np.ndarray:
-        c = x - x.mean(1, keepdims=True)
-        return c / np.sqrt(np.maximum((c * c).sum(1, keepdims=True) / max(1, x.shape[1] - 1), 1e-12))
-
-    z = voxels if prestandardized else map_series(voxels, guard)
+def partial_solved(z: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """subject_id, voxel_id, u, st, a of standardised series: what partial correlations of any pair are made of. By the Woodbury identity
+    only B = I + U'U / ridge (T x T, U = Z / sqrt(T - 1)) is inverted, on the driver; solving is then a row-wise linear map."""
     inverse = {}
     for row in grams(z).toLocalIterator():
         t = len(row.sums)
         inverse[row.subject_id] = np.linalg.inv(np.eye(t) + np.array(row.gram).reshape(t, t) / (t - 1) / ridge)
-    shared = voxels.sparkSession.sparkContext.broadcast(inverse)
+    shared = z.sparkSession.sparkContext.broadcast(inverse)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from voxelgraph.functions.series import lists
@@ -214,7 +275,18 @@ def edge_partial_correlation(voxels: DataFrame, edges: DataFrame, prestandardize
                 st = u @ shared.value[int(k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(u), lists(st), pa.array((u * st).sum(1))], names=["subject_id", "voxel_id", "u", "st", "a"])
 
-    solved = z.selectExpr("cast(subject_id as int) subject_id", "voxel_id", "series").mapInArrow(solve, "subject_id int, voxel_id long, u array<double>, st array<double>, a double")
+    return z.selectExpr("cast(subject_id as int) subject_id", "voxel_id", "series").mapInArrow(solve, "subject_id int, voxel_id long, u array<double>, st array<double>, a double")
+
+
+def edge_partial_correlation(voxels: DataFrame, edges: DataFrame, prestandardized: bool = True, ridge: float = 1.0, eps: float = 1e-12) -> DataFrame:
+    """Ridge partial correlation of the pairs in edges."""
+
+    def guard(x: np.ndarray) -> np.ndarray:
+        c = x - x.mean(1, keepdims=True)
+        return c / np.sqrt(np.maximum((c * c).sum(1, keepdims=True) / max(1, x.shape[1] - 1), 1e-12))
+
+    z = voxels if prestandardized else map_series(voxels, guard)
+    solved = partial_solved(z, ridge)
     e = on_edges(solved, edges, ["u", "st", "a"])
     free = lambda a: F.greatest(1 - F.col(a) / ridge, F.lit(eps))
     w = dot(F.col("u_i"), F.col("st_j")) / ridge / F.sqrt(free("a_i") * free("a_j"))

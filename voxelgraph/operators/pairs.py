@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions.series import matrix
@@ -32,29 +32,83 @@ def on_edges(voxels: DataFrame, edges: DataFrame, columns: list[str]) -> DataFra
     return edges.join(a, "i_idx").join(b, ["subject_id", "j_idx"])
 
 
-def tiled_weights(voxels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], block_size: int = 2048, series: str = "series") -> DataFrame:
-    """subject_id, i_idx < j_idx, w for all pairs of a subject's voxels whose weight is kept.
+def tiles(rows: DataFrame, make: Callable, schema: str, block_size: int = 2048) -> DataFrame:
+    """All pairs of a subject's rows, block by block. rows: subject_id, voxel_id and one column more, an array. make(subject, i, x, j, y) gives
+    columns in the schema's order for the voxels i and j of two blocks with their (rows, length) matrices; j is None where a block
+    meets itself.
 
-    Voxels are dealt into blocks of about block_size by hash; each pair of blocks is one task's two matrices, multiplied at once
-    and filtered before any row is made. A block travels to as many tiles as there are blocks, so a larger block_size moves
-    less; a tile holds block_size squared doubles."""
-    most = voxels.groupBy("subject_id").count().agg(F.max("count")).first()[0] or 0
+    Voxels are dealt into blocks of about block_size by hash; each pair of blocks is one task's two matrices. A block travels to as
+    many tiles as there are blocks, so a larger block_size moves less; a tile holds block_size squared numbers a matrix."""
+    (series,) = set(rows.columns) - {"subject_id", "voxel_id"}
+    most = rows.groupBy("subject_id").count().agg(F.max("count")).first()[0] or 0
     nb = max(1, -(-most // block_size))
-    rows = voxels.select(F.col("subject_id").cast("int").alias("subject_id"), F.col("voxel_id").cast("long").alias("voxel_id"), series, F.pmod(F.xxhash64("voxel_id"), F.lit(nb)).cast("int").alias("_b"))
+    rows = rows.select(F.col("subject_id").cast("int").alias("subject_id"), F.col("voxel_id").cast("long").alias("voxel_id"), series, F.pmod(F.xxhash64("voxel_id"), F.lit(nb)).cast("int").alias("_b"))
     every = F.sequence(F.lit(0), F.lit(nb - 1))
     left = rows.select("subject_id", F.col("_b").alias("ba"), F.explode(F.filter(every, lambda x: x >= F.col("_b"))).alias("bb"), "voxel_id", series)
-    right = rows.select(F.col("subject_id").alias("s2"), F.explode(F.filter(every, lambda x: x <= F.col("_b"))).alias("ba2"), F.col("_b").alias("bb2"), F.col("voxel_id").alias("v2"), F.col(series).alias("x2"))
+    right = rows.select(F.col("subject_id").alias("s2"), F.explode(F.filter(every, lambda x: x < F.col("_b"))).alias("ba2"), F.col("_b").alias("bb2"), F.col("voxel_id").alias("v2"), F.col(series).alias("x2"))
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
 
     def tile(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        alone = key[1].as_py() == key[2].as_py()
         i, j = a.column("voxel_id").to_numpy(), b.column("v2").to_numpy()
-        if not len(i) or not len(j):
-            return pa.table({"subject_id": pa.array([], pa.int32()), "i_idx": pa.array([], pa.int64()), "j_idx": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        w = kernel(matrix(a.column(series)), matrix(b.column("x2")))
-        ok = keep(w)
-        if key[1].as_py() == key[2].as_py():
-            ok &= i[:, None] < j[None, :]
-        r, c = np.nonzero(ok)
-        u, v = i[r], j[c]
-        return pa.table({"subject_id": pa.array(np.full(len(r), key[0].as_py()), pa.int32()), "i_idx": pa.array(np.minimum(u, v)), "j_idx": pa.array(np.maximum(u, v)), "w": pa.array(w[r, c])})
-
-    return left.groupBy("subject_id", "ba", "bb").cogroup(right.groupBy("s2", "ba2", "bb2")).applyInArrow(tile, "subject_id int, i_idx long, j_idx long, w double")
+        columns = [[]] * len(names)
+        if len(i) and (alone or len(j)):
+            columns = make(key[0].as_py(), i, matrix(a.column(series)), None if alone else j, None if alone else matrix(b.column("x2")))
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return left.groupBy("subject_id", "ba", "bb").cogroup(right.groupBy("s2", "ba2", "bb2")).applyInArrow(tile, schema)
+
+
+def met(i: np.ndarray, j: np.ndarray | None) -> np.ndarray:
+    """Which cells of a tile are pairs to take: each once."""
+    return i[:, None] < i[None, :] if j is None else np.ones((len(i), len(j)), bool)
+
+
+def tiled_weights(voxels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], block_size: int = 2048, series: str = "series", finish: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """subject_id, i_idx < j_idx, w for all pairs of a subject's voxels whose weight is kept: multiplied at once and filtered before any
+    row is made. finish: what a subject's kernel values become."""
+
+    def make(subject, i, x, j, y):
+        w = kernel(x, x if y is None else y)
+        w = finish(subject, w) if finish else w
+        r, c = np.nonzero(keep(w) & met(i, j))
+        u, v = i[r], (i if j is None else j)[c]
+        return np.full(len(r), subject), np.minimum(u, v), np.maximum(u, v), w[r, c]
+
+    return tiles(voxels.select("subject_id", "voxel_id", series), make, "subject_id int, i_idx long, j_idx long, w double", block_size)
+
+
+def largest(w: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (row, column) of the k largest finite entries of each row of w; ties go to the smaller id in other."""
+    rows, columns = [], []
+    n = w.shape[1]
+    limit = np.full(len(w), -np.inf) if k >= n else -np.partition(-w, k - 1, axis=1)[:, k - 1]
+    for r in range(len(w)):
+        c = np.flatnonzero((w[r] >= limit[r]) & (w[r] > -np.inf))
+        if len(c) > k:
+            c = c[np.lexsort((other[c], -w[r, c]))[:k]]
+        rows.append(np.full(len(c), r))
+        columns.append(c)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def tiled_top(voxels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], k: int, block_size: int = 2048, series: str = "series", finish: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """subject_id, node, other, w: of each voxel the k largest weights that are kept, ties by the smaller other. Every tile makes k rows a
+    voxel at most, from both of its sides, so pairs are never rows; the rest is a ranking of those."""
+
+    def make(subject, i, x, j, y):
+        w = kernel(x, x if y is None else y)
+        w = finish(subject, w) if finish else w
+        w = np.where(keep(w) & (True if j is not None else i[:, None] != i[None, :]), w, -np.inf)
+        r, c = largest(w, i if j is None else j, k)
+        node, other, value = [i[r]], [(i if j is None else j)[c]], [w[r, c]]
+        if j is not None:
+            c, r = largest(w.T, i, k)
+            node, other, value = node + [j[c]], other + [i[r]], value + [w[r, c]]
+        node = np.concatenate(node)
+        return np.full(len(node), subject), node, np.concatenate(other), np.concatenate(value)
+
+    some = tiles(voxels.select("subject_id", "voxel_id", series), make, "subject_id int, node long, other long, w double", block_size)
+    best = Window.partitionBy("subject_id", "node").orderBy(F.desc("w"), "other")
+    return some.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")

@@ -128,12 +128,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cosine_weight": lambda s, d: rounded(kernels.edge_cosine(one(s, d), edges(s, d)), "w"),
         "l2_rbf": lambda s, d: rounded(kernels.distance_to_weight(durable(kernels.edge_l2(three(s, d), edges(s, d))), "rbf"), "w"),
         "l2_inv": lambda s, d: rounded(kernels.distance_to_weight(durable(kernels.edge_l2(three(s, d), edges(s, d))), "inv"), "w"),
+        "l2_all_pairs": lambda s, d: rounded(kernels.all_pairs(three(s, d), "l2", r_min=0.75), "w"),
+        "srvf_all_pairs": lambda s, d: rounded(kernels.all_pairs(one(s, d), "srvf", r_min=0.55, shape="inv"), "w"),
         "srvf_rms": lambda s, d: rounded(kernels.edge_srvf(one(s, d), edges(s, d)), "w"),
         "topk_prune": lambda s, d: rounded(lit0(graph.top_k(corr(s, d), 3)), "w"),
+        "topk_fused": lambda s, d: rounded(lit0(kernels.all_pairs_top(one(s, d), 3, r_min=R_MIN)), "w"),
+        "topk_fused_union": lambda s, d: rounded(lit0(kernels.all_pairs_top(one(s, d), 3, r_min=R_MIN, symmetry="union")), "w"),
         "topk_union": lambda s, d: rounded(lit0(graph.top_k(corr(s, d), 3, symmetry="union")), "w"),
         "edge_agreement": lambda s, d: metrics.edge_agreement(second_labels(three(s, d)), edges(s, d)),
         "consensus_weights": lambda s, d: rounded(consensus.consensus_on_edges(second_labels(three(s, d)), edges(s, d)), "w"),
         "consensus_all_pairs": lambda s, d: rounded(consensus.consensus_all_pairs(second_labels(three(s, d))), "w"),
+        "loo_all_pairs": lambda s, d: rounded(consensus.leave_one_out_all_pairs(second_labels(three(s, d))), "w"),
         "loo_weights": lambda s, d: rounded(consensus.leave_one_out(second_labels(three(s, d)), edges(s, d)), "w"),
         "silhouette_strict": lambda s, d: rounded(lit0(metrics.silhouette_strict(corr(s, d), first_labels(one(s, d)))), "a", "b", "s"),
         "silhouette_overall": lambda s, d: rounded(metrics.mean_sd(metrics.overall(metrics.silhouette_strict(kernels.correlation_adjacency(three(s, d), r_min=R_MIN), first_labels(three(s, d))))), "mean", "sd"),
@@ -159,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_summary": lambda s, d: tables.validation(three(s, d)),
         # No SQL: linear algebra, iteration.
         "pcorr_ridge": lambda s, d: rounded(kernels.edge_partial_correlation(with_standardized(three(s, d)).withColumn("series", F.col("z")).drop("z"), edges(s, d)), "w"),
+        "pcorr_all_pairs": lambda s, d: rounded(kernels.all_pairs(three(s, d), "partial", r_min=0.3), "w"),
         "bspline_coef": lambda s, d: _long(basis.bspline_coefficients(one(s, d), 12)),
         "bspline_curves": lambda s, d: _long(_two_bases(s, d)),
         "fpca_loadings": lambda s, d: _long(basis.fpca_loadings(three(s, d), 6)),
@@ -255,6 +261,7 @@ def _overlap(factor: int) -> str:
 def oracle_sql() -> dict[str, str]:
     edge = lambda base, table, column: f"WITH {base}, {E26}, " + ON_EDGES.format(column, table)
     l2 = f"WITH {THREE}, {Z}, {E26}, {ON_EDGES.format('z', 'z')}, t AS (SELECT subject_id, i_idx, j_idx, list_distance(a, b) / sqrt(len(a)) AS d FROM o), h AS (SELECT subject_id, coalesce(median(d) FILTER (WHERE d > 0), 1.0) AS h FROM t GROUP BY ALL)"
+    far = "WITH {base}, t AS (SELECT a.subject_id, a.voxel_id AS i_idx, b.voxel_id AS j_idx, list_distance(a.{column}, b.{column}) / sqrt(len(a.{column})) AS d FROM {table} a JOIN {table} b ON a.subject_id = b.subject_id AND a.voxel_id < b.voxel_id), h AS (SELECT subject_id, median(d) FILTER (WHERE d > 0) AS h FROM t GROUP BY ALL)"
     ent = GRAPH + ", x AS (SELECT i_idx, j_idx, w FROM w UNION ALL SELECT j_idx, i_idx, w / 2 FROM w WHERE i_idx % 2 = 0)"
     flat = "SELECT CAST(0 AS INT) AS subject_id, vec_id AS voxel_id, CAST(vec_id % 7 AS INT) AS label FROM embeddings"
     many = GRAPH.replace(ONE, THREE)
@@ -282,8 +289,12 @@ def oracle_sql() -> dict[str, str]:
         "cosine_weight": edge(ONE, "v", "x") + f" SELECT subject_id, i_idx, j_idx, {r('least(1, greatest(0, 0.5 * (list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)) + 1e-12) + 1)))')} AS w FROM o",
         "l2_rbf": f"{l2} SELECT subject_id, i_idx, j_idx, {r('exp(-d * d / (2 * h * h))')} AS w FROM t JOIN h USING (subject_id)",
         "l2_inv": f"{l2} SELECT subject_id, i_idx, j_idx, {r('1 / (1 + d / h)')} AS w FROM t JOIN h USING (subject_id)",
+        "l2_all_pairs": far.format(base=f"{THREE}, {Z}", table="z", column="z") + f" SELECT subject_id, i_idx, j_idx, {r('exp(-d * d / (2 * h * h))')} AS w FROM t JOIN h USING (subject_id) WHERE exp(-d * d / (2 * h * h)) >= 0.75",
+        "srvf_all_pairs": far.format(base=f"{ONE}, {SRVF}", table="q", column="q") + f" SELECT subject_id, i_idx, j_idx, {r('1 / (1 + d / h)')} AS w FROM t JOIN h USING (subject_id) WHERE 1 / (1 + d / h) >= 0.55",
         "srvf_rms": edge(f"{ONE}, {SRVF}", "q", "q") + f" SELECT subject_id, i_idx, j_idx, {r('list_distance(a, b) / sqrt(len(a))')} AS w FROM o",
         "topk_prune": f"{topk} SELECT other AS i_idx, node AS j_idx, {r('w')} AS w FROM k WHERE n <= 3 AND other < node",
+        "topk_fused": f"{topk} SELECT other AS i_idx, node AS j_idx, {r('w')} AS w FROM k WHERE n <= 3 AND other < node",
+        "topk_fused_union": f"{topk} SELECT DISTINCT least(node, other) AS i_idx, greatest(node, other) AS j_idx, {r('w')} AS w FROM k WHERE n <= 3",
         "topk_union": f"{topk} SELECT DISTINCT least(node, other) AS i_idx, greatest(node, other) AS j_idx, {r('w')} AS w FROM k WHERE n <= 3",
         "edge_agreement": f"{AGREE} SELECT subject_id, i_idx, j_idx, agree, used AS use FROM g",
         "consensus_weights": f"{AGREE} SELECT i_idx, j_idx, CAST(sum(agree) AS BIGINT) AS agree, CAST(sum(used) AS BIGINT) AS cnt, {r('sum(agree) / nullif(sum(used), 0)')} AS w FROM g GROUP BY i_idx, j_idx",
@@ -291,6 +302,10 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT x.voxel_id AS i_idx, y.voxel_id AS j_idx, count(*) AS agree FROM l x JOIN l y ON x.subject_id = y.subject_id AND x.label = y.label AND x.voxel_id < y.voxel_id GROUP BY ALL),
             c AS (SELECT a.i_idx, a.j_idx, a.agree, count(*) AS cnt FROM a JOIN l x ON x.voxel_id = a.i_idx JOIN l y ON y.voxel_id = a.j_idx AND x.subject_id = y.subject_id GROUP BY ALL)
             SELECT i_idx, j_idx, agree, cnt, {r('agree / cnt')} AS w FROM c""",
+        "loo_all_pairs": f"""WITH {SUBJECTS}, p AS (SELECT a.subject_id, a.voxel_id AS i_idx, b.voxel_id AS j_idx, CAST(a.l2 > 0 AND b.l2 > 0 AS BIGINT) AS used, CAST(a.l2 > 0 AND a.l2 = b.l2 AS BIGINT) AS agree FROM s a JOIN s b ON a.subject_id = b.subject_id AND a.voxel_id < b.voxel_id),
+            c AS (SELECT i_idx, j_idx, sum(agree) AS agree, sum(used) AS used FROM p GROUP BY ALL),
+            t AS (SELECT p.subject_id AS held_out, i_idx, j_idx, CAST(c.agree - p.agree AS BIGINT) AS agree, CAST(c.used - p.used AS BIGINT) AS cnt FROM p JOIN c USING (i_idx, j_idx))
+            SELECT held_out, i_idx, j_idx, agree, cnt, {r('agree / cnt')} AS w FROM t WHERE agree > 0""",
         "loo_weights": f"""{AGREE}, t AS (SELECT h.subject_id AS held_out, g.i_idx, g.j_idx, CAST(sum(g.agree) AS BIGINT) AS agree, CAST(sum(g.used) AS BIGINT) AS cnt FROM g JOIN g h ON h.i_idx = g.i_idx AND h.j_idx = g.j_idx WHERE g.subject_id <> h.subject_id GROUP BY ALL)
             SELECT held_out, i_idx, j_idx, agree, cnt, {r('agree / nullif(cnt, 0)')} AS w FROM t""",
         "silhouette_strict": _silhouette(GRAPH, "", flat) + f" SELECT label, n_k, {r('a')} AS a, {r('b')} AS b, {r('s')} AS s FROM sil",
