@@ -762,3 +762,15 @@ def test_kept_texts_join_what_stays(glue):
     items = [WORD.findall(x or "") if glue == " " else (x or "").split("\n") for x in texts]
     want = [glue.join(w for w, k in zip(seq, keep[first[i] :]) if k) for i, seq in enumerate(items)]
     assert kept_texts(t, start, end, first, keep, glue).to_pylist() == want
+
+
+def test_packing_takes_very_long_runs_of_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(packing.tokens_file(), packing.added_tokens())
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b<|endoftext|>", "\t" * 5_000_000, " \n\t" * 400_000 + "x"):
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    out = packing.pack_documents(table(spark, ["word", " " * 1_000_000]), added=packing.added_tokens()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in out} == {0: len(tok.encode("word").ids) + 1, 1: 1_000_001}

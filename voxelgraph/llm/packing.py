@@ -8,7 +8,10 @@ Pieces are dealt over shards of about SHARD pieces by hash; each shard is packed
 the pieces of all documents are packed in parallel and at most a few sequences of each shard stay open.
 
 Edge cases: a null text counts as empty (one piece that holds only the end token); a document with a null id is packed like any
-other; rows that repeat a doc_id are packed each; an empty table gives an empty result; other columns are not read.
+other; rows that repeat a doc_id are packed each; pieces of one length come in the order of their other columns, so ties are placed
+the same way on every run, and equal rows one after the other; an empty table gives an empty result; other columns are not read.
+Very long texts are encoded alone, some 100 bytes a token; a run of white space of a million characters, which the fast encoder
+refuses, goes through the tokenizers library instead.
 """
 
 from __future__ import annotations
@@ -59,7 +62,20 @@ def encoder(path: str, added: dict[str, int] | None = None):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    slow = []
+
+    def plain(text: str) -> np.ndarray:
+        try:
+            return quick(text)
+        except ValueError:  # its regular expression gives up on very long runs of white space
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json"))
+                slow[0].encode_special_tokens = True
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
+
     if not added:
         return plain
     cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
