@@ -511,3 +511,133 @@ def test_matrix_refuses_ragged_series():
 
     with pytest.raises(ValueError):
         matrix(pa.array([[1.0], [1.0, 2.0]]))
+
+
+def test_numpy_files_are_read_by_ranges(spark, tmp_path):
+    x, coord = small(s=3, v=11, t=6).astype("float32"), np.arange(44).reshape(11, 4)
+    np.save(tmp_path / "d.npy", x)
+    np.savez(tmp_path / "s.npz", other=np.zeros(3), arr_0=x)
+    np.savez_compressed(tmp_path / "z.npz", data=x)
+    np.save(tmp_path / "c.npy", coord)
+    np.savez_compressed(tmp_path / "c.npz", coords=coord)
+    want = {(s, v): (*coord[v, :3].tolist(), x[s, v].astype(float).tolist()) for s in range(3) for v in range(11)}
+    rows = lambda df: {(r.subject_id, r.voxel_id): (r.i, r.j, r.k, r.series) for r in df.collect()}
+    for data in ("d.npy", "s.npz", "z.npz"):
+        for c in ("c.npy", "c.npz"):
+            v = sources.read_numpy(spark, f"{tmp_path}/{data}", f"{tmp_path}/{c}", partition=100)
+            assert rows(v) == want
+            assert rows(v.where("subject_id = 1 and voxel_id > 3")) == {k: w for k, w in want.items() if k[0] == 1 and k[1] > 3}
+            assert rows(v.where("subject_id in (0, 2)")) == {k: w for k, w in want.items() if k[0] != 1}
+    v = sources.read_numpy(spark, f"file://{tmp_path}/d.npy", f"{tmp_path}/c.npy", partition=100)
+    assert v.rdd.getNumPartitions() == 9  # four voxels of 24 bytes in each, none across subjects
+    assert v.where("subject_id = 1").rdd.getNumPartitions() == 3
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    for bad in ("f.npy", "c.npy"):
+        with pytest.raises(Exception, match="Fortran|data is"):
+            sources.read_numpy(spark, f"{tmp_path}/{bad}", f"{tmp_path}/c.npy").collect()
+
+
+def plain_adf(x, k):
+    d = np.diff(x)
+    n = len(d) - k
+    design = np.column_stack([x[k : k + n], np.ones(n), np.arange(n), *[d[k - lag : k - lag + n] for lag in range(1, k + 1)]])
+    beta, *_ = np.linalg.lstsq(design, d[k:], rcond=None)
+    rest = d[k:] - design @ beta
+    cov = np.linalg.inv(design.T @ design) * (rest @ rest) / (n - design.shape[1])
+    return beta[0] / np.sqrt(cov[0, 0])
+
+
+def test_stationarity(spark):
+    from voxelgraph.functions import stationarity
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1, 8, 120))
+    x[0, 4:7] = np.cumsum(x[0, 4:7], axis=1)
+    x[0, 7] = 3.0
+    rows = stationarity.adf_test(make(spark, x)).orderBy("voxel_id").collect()
+    assert stationarity.lags(120) == 4 and stationarity.lags(65) == 4
+    for n, r in enumerate(rows[:7]):
+        assert r.statistic == pytest.approx(plain_adf(x[0, n], 4), rel=1e-6)
+    assert all(r.p_value == 0.01 for r in rows[:4]) and all(r.p_value > 0.05 for r in rows[4:7]) and np.isnan(rows[7].p_value)
+    assert stationarity.p_values(np.array([-3.45, 0.0]), 100) == pytest.approx([0.05, 0.99])
+    got = stationarity.stationary_counts(stationarity.adf_test(make(spark, x))).first()
+    assert (got.n, got.n_stationary) == (8, 4)
+    assert np.isnan(stationarity.statistics(np.ones((2, 5)))).all()
+
+
+@pytest.mark.parametrize("dense", [4000, 2])
+def test_spectral_model(spark, monkeypatch, dense):
+    from voxelgraph.operators import model, spectral
+
+    monkeypatch.setattr(spectral, "DENSE", dense)
+    w, v = blocks(spark, 2)
+    out = model.spectral_model(w, v, 3, batch=12)
+    assert planted(out.labels)
+    norm = graph.normalized(w).toPandas()
+    values = out.eigenvalues.toPandas()
+    vectors = out.vectors.toPandas()
+    for s, part in norm.groupby("subject_id"):
+        m = np.zeros((18, 18))
+        m[part["i_idx"], part["j_idx"]] = m[part["j_idx"], part["i_idx"]] = part["w"]
+        value = values[values["subject_id"] == s].sort_values("component")["eigenvalue"].to_numpy()
+        assert np.allclose(value, np.linalg.eigvalsh(m)[::-1][:3], atol=1e-6)
+        y = np.stack(vectors[vectors["subject_id"] == s].sort_values("voxel_id")["vector"].to_list())
+        assert np.abs(m @ y - y * value).max() < 1e-3
+    assert out.centres.count() == 6 and {r.label for r in out.centres.collect()} == {1, 2, 3}
+    assert out.active.count() == 36
+    shares = metrics.scree(out.eigenvalues.select("subject_id", "eigenvalue"), keys=["subject_id"]).groupBy("subject_id").agg(F.max("cumulative").alias("c")).collect()
+    assert all(r.c == pytest.approx(100) for r in shares)
+    with pytest.raises(ValueError):
+        model.spectral_model(w, v, 18)
+
+
+def test_mini_batches_find_groups_of_many_rows():
+    from voxelgraph.operators.model import MiniBatch
+
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(5, 4)) * 5
+    made = MiniBatch(5, 10, 10, 1)
+    for _ in range(30):
+        made.take(centre[rng.integers(0, 5, 400)] + 0.1 * rng.normal(size=(400, 4)))
+    assert np.linalg.norm(made.centres[:, None] - centre[None], axis=2).min(0).max() < 0.05
+
+
+@pytest.mark.parametrize("kind", ["correlation", "cosine"])
+def test_silhouettes_without_pairs(spark, kind):
+    v = make(spark, small(s=2, v=15, t=12))
+    labels = v.select("subject_id", "voxel_id", F.when(F.col("voxel_id") == 14, 3).otherwise(F.col("voxel_id") % 3).cast("int").alias("label"))
+    got = {(r.subject_id, r.label): r for r in metrics.silhouette_all_pairs(v, labels, kind).collect()}
+    want = {(r.subject_id, r.label): r for r in metrics.silhouette_strict(kernels.all_pairs(v, kind), labels).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        for c in ("n_k", "a", "b", "s"):
+            assert got[k][c] == (None if r[c] is None else pytest.approx(r[c]))
+
+
+def test_joins_that_change_counts_are_refused(spark):
+    v = make(spark, small(s=1, v=6, t=5))
+    labels = v.where("voxel_id < 4").select("subject_id", "voxel_id", F.lit(2).alias("label"))
+    assert sorted(r.label for r in tables.labelled(v, labels).collect()) == [0, 0, 2, 2, 2, 2]
+    with pytest.raises(ValueError, match="6 voxels became 10"):
+        tables.labelled(v, labels.unionByName(labels))
+    w = spark.createDataFrame([(0, 0, 1, 0.5), (0, 2, 5, 0.1)], "subject_id int, i_idx long, j_idx long, w double")
+    assert tables.edges_checked(w, v).count() == 2
+    for bad in ((0, 1, 9, 0.5), (1, 1, 2, 0.5), (0, 3, 3, 0.5)):
+        with pytest.raises(ValueError):
+            tables.edges_checked(w.unionByName(spark.createDataFrame([bad], w.schema)), v)
+
+
+def test_kernels_by_name(spark, monkeypatch):
+    for name in ("METHODS", "KERNELS"):
+        held = getattr(registry, name)
+        monkeypatch.setitem(held, "similarity", dict(held["similarity"])) if name == "METHODS" else None
+    monkeypatch.setattr("voxelgraph.plans.registry.KERNELS", registry.KERNELS)
+    registry.register_kernel("near", lambda v, power: kernels.all_pairs(v, lambda a, b: np.abs(a @ b.T) ** power), "powers of products", (registry.Param("power", "float", 2.0),))
+    with pytest.raises(ValueError):
+        registry.register_kernel("cosine", lambda v: v)
+    x = small(s=1, v=6, t=5)
+    p = Pipeline().validate(make(spark, x)).preprocess("none").similarity("near", {"power": "1"})
+    assert edge_map(p.weights)[0, 3] == pytest.approx(abs(x[0, 0] @ x[0, 3]))
+    for method in ("l2", "srvf", "partial"):
+        assert p.similarity(method, {"r_min": "0.01"}).weights.count() > 0
+    registry.KERNELS.pop("near")

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelgraph.functions.series import lists, matrix
 from voxelgraph.operators.graph import mirrored
 
 
@@ -38,6 +41,46 @@ def silhouette_strict(weights: DataFrame, labels: DataFrame) -> DataFrame:
     return t.select("subject_id", "label", "n_k", "a", "b", F.when((top != 0) & ~F.isnan(top) & (F.abs(top) != float("inf")), (F.col("a") - F.col("b")) / top).alias("s"))
 
 
+def silhouette_all_pairs(voxels: DataFrame, labels: DataFrame, kind: str = "correlation") -> DataFrame:
+    """silhouette_strict() of the graph of all pairs without a threshold, correlation or cosine, without making a pair: sums of products over
+    two groups are products of the groups' sums, so one pass over the voxels suffices. Columns as there."""
+    if kind not in ("correlation", "cosine"):
+        raise ValueError("kind is correlation or cosine")
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x - x.mean(1, keepdims=True) if kind == "correlation" else x
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where((length == 0) | ~np.isfinite(length), np.inf, length)
+
+    def part(batches):
+        held: dict = {}
+        for b in batches:
+            s, g = np.asarray(b.column("subject_id")), np.asarray(b.column("label"))
+            x = unit(matrix(b.column("series")))
+            for key in set(zip(s.tolist(), g.tolist())):
+                on = (s == key[0]) & (g == key[1])
+                n, total, own = held.get(key, (0, 0, 0))
+                held[key] = n + int(on.sum()), total + x[on].sum(0), own + float((x[on] ** 2).sum())
+        for (s, g), (n, total, own) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([g], pa.int32()), pa.array([n], pa.int64()), pa.array([own]), lists(total[None, :])], names=["subject_id", "label", "n", "own", "total"])
+
+    rows = voxels.select(F.col("subject_id").cast("int").alias("subject_id"), "voxel_id", "series").join(labels.select("subject_id", "voxel_id", F.col("label").cast("int").alias("label")), ["subject_id", "voxel_id"])
+    sums = rows.mapInArrow(part, "subject_id int, label int, n long, own double, total array<double>")
+    flat = sums.select("subject_id", "label", "n", "own", F.posexplode("total").alias("t", "x"))
+    flat = flat.groupBy("subject_id", "label", "t").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("x").alias("x"))
+    whole = W.partitionBy("subject_id", "t")  # a row a cluster
+    flat = flat.withColumn("all", F.sum("x").over(whole)).withColumn("n_all", F.sum("n").over(whole))
+    g = flat.groupBy("subject_id", "label").agg(F.max("n").alias("n_k"), F.max("n_all").alias("_n"), F.max("own").alias("_own"), F.sum(F.col("x") * F.col("x")).alias("_in"), F.sum(F.col("x") * F.col("all")).alias("_all"))
+    a = F.try_divide(F.col("_in") - F.col("_own"), F.col("n_k") * (F.col("n_k") - 1))
+    b = F.try_divide(F.col("_all") - F.col("_in"), F.col("n_k") * (F.col("_n") - F.col("n_k")))
+    if kind == "cosine":
+        a, b = 0.5 * (a + 1), 0.5 * (b + 1)
+    defined = (F.col("n_k") > 1) & (F.col("n_k") < F.col("_n"))
+    out = g.where("label > 0").select("subject_id", "label", "n_k", F.when(defined, a).alias("a"), F.when(defined, b).alias("b"))
+    top = F.greatest("a", "b")
+    return out.withColumn("s", F.when(top != 0, (F.col("a") - F.col("b")) / top))
+
+
 def overall(per_cluster: DataFrame, value: str = "s") -> DataFrame:
     """subject_id, overall: mean over clusters."""
     return per_cluster.groupBy("subject_id").agg(F.avg(value).alias("overall"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelgraph.storage import durable, release
+
 
 def validation(voxels: DataFrame) -> DataFrame:
     """subject_id, n_voxels, n_distinct, shortest, longest, n_no_coord, valid: one row for each subject."""
@@ -78,6 +80,33 @@ def with_labels(voxels: DataFrame, labels: DataFrame) -> DataFrame:
     return voxels.join(labels.select("subject_id", "voxel_id", "label"), ["subject_id", "voxel_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def labelled(voxels: DataFrame, labels: DataFrame) -> DataFrame:
+    """with_labels() as a written table, or ValueError if the join changed the number of voxels (a voxel with two labels). Both counts are
+    observed by the write itself; no other job runs."""
+    before, after = Observation(), Observation()
+    out = with_labels(voxels.observe(before, F.count(F.lit(1)).alias("n")), labels).observe(after, F.count(F.lit(1)).alias("n"))
+    table = durable(out)
+    if before.get["n"] != after.get["n"]:
+        release(table)
+        raise ValueError(f"labels don't fit: {before.get['n']} voxels became {after.get['n']} rows")
+    return table
+
+
+def edges_checked(weights: DataFrame, voxels: DataFrame) -> DataFrame:
+    """weights as a written table, or ValueError for an edge with an end that isn't a voxel of its subject, or with itself. Observed by the
+    write, as in labelled()."""
+    seen, known = Observation(), voxels.select("subject_id", "voxel_id").distinct()
+    e = weights
+    for c in ("i_idx", "j_idx"):
+        e = e.join(known.toDF("subject_id", c).withColumn(f"_{c}", F.lit(1)), ["subject_id", c], "left")
+    bad = F.count_if(F.col("_i_idx").isNull() | F.col("_j_idx").isNull()).alias("strange")
+    table = durable(e.observe(seen, bad, F.count_if(F.col("i_idx") == F.col("j_idx")).alias("loops")).select(weights.columns))
+    if seen.get["strange"] or seen.get["loops"]:
+        release(table)
+        raise ValueError(f"{seen.get['strange']} edges without a voxel, {seen.get['loops']} loops")
+    return table
+
+
 def small_clusters(labels: DataFrame, min_cluster_size: int = 50) -> DataFrame:
     """group: "isolated(0)" for label 0 and for clusters with fewer voxels than min_cluster_size, else the label."""
     n = labels.groupBy("subject_id", "label").agg(F.count(F.lit(1)).alias("_n"))

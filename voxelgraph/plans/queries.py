@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from voxelgraph.functions import basis
 from voxelgraph.functions.series import gaussian_kernel, gaussian_smooth, fwhm_to_sigma, moving_average3, srvf, with_standardized
-from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, tables
+from voxelgraph.functions.stationarity import adf_test, stationary_counts
+from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, model, tables
 from voxelgraph.operators.pairs import edges26
 from voxelgraph.operators.spectral import randomized_eigenvectors, spectral_clustering
 from voxelgraph.plans.pipeline import Pipeline, strong_connections
@@ -71,6 +72,18 @@ def _group(s: SparkSession, sf: str, mode: str = "26", weight: str = "correlatio
     return consensus.group_parcellation(three(s, sf), 8, mode, weight, r_min=R_MIN if mode != "26" else None)
 
 
+def _model(s: SparkSession, sf: str) -> model.SpectralModel:
+    return model.spectral_model(kernels.correlation_adjacency(three(s, sf), r_min=R_MIN), three(s, sf), 8)
+
+
+def _summary(s: SparkSession, sf: str) -> DataFrame:
+    a, b = _two_labellings(s, sf)
+    dice = durable(metrics.overlap(a, b).withColumnRenamed("overlap", "dice"))
+    w = durable(kernels.correlation_adjacency(three(s, sf), r_min=R_MIN))
+    out = metrics.summary_table({name: (dice, metrics.overall(metrics.silhouette_strict(w, l))) for name, l in (("first", a), ("second", b))})
+    return rounded(out, "dice_mean", "dice_sd", "si_mean", "si_sd")
+
+
 def _label_values(s: SparkSession, sf: str) -> DataFrame:
     e = s.read.parquet(f"{sf}/embeddings.parquet")
     return e.groupBy("label").agg(F.sum(F.col("embedding")[0].cast("double")).alias("eigenvalue")).select("eigenvalue")
@@ -141,6 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "loo_all_pairs": lambda s, d: rounded(consensus.leave_one_out_all_pairs(second_labels(three(s, d))), "w"),
         "loo_weights": lambda s, d: rounded(consensus.leave_one_out(second_labels(three(s, d)), edges(s, d)), "w"),
         "silhouette_strict": lambda s, d: rounded(lit0(metrics.silhouette_strict(corr(s, d), first_labels(one(s, d)))), "a", "b", "s"),
+        "silhouette_all_pairs": lambda s, d: rounded(metrics.silhouette_all_pairs(three(s, d), first_labels(three(s, d))), "a", "b", "s", digits=8),
+        "silhouette_all_pairs_cosine": lambda s, d: rounded(metrics.silhouette_all_pairs(three(s, d), first_labels(three(s, d)), "cosine"), "a", "b", "s", digits=8),
+        "summary_table": _summary,
         "silhouette_overall": lambda s, d: rounded(metrics.mean_sd(metrics.overall(metrics.silhouette_strict(kernels.correlation_adjacency(three(s, d), r_min=R_MIN), first_labels(three(s, d))))), "mean", "sd"),
         "silhouette_graph": lambda s, d: rounded(lit0(metrics.silhouette_graph(corr(s, d), first_labels(one(s, d)))), "s"),
         "silhouette_graph_all": lambda s, d: rounded(lit0(metrics.silhouette_graph(corr(s, d), first_labels(one(s, d)), "all")), "s"),
@@ -170,6 +186,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fpca_loadings": lambda s, d: _long(basis.fpca_loadings(three(s, d), 6)),
         "fpca_curves": lambda s, d: _long(_pcs(s, d)),
         "srvf_dtw": lambda s, d: rounded(kernels.edge_srvf(three(s, d), edges(s, d), warp="dtw"), "w"),
+        "stationary_counts": lambda s, d: stationary_counts(adf_test(three(s, d))),
+        "stationarity": lambda s, d: rounded(adf_test(one(s, d)), "statistic", "p_value"),
+        "spectral_model_labels": lambda s, d: _model(s, d).labels,
+        "spectral_model_scree": lambda s, d: rounded(metrics.scree(_model(s, d).eigenvalues.select("subject_id", "eigenvalue"), keys=["subject_id"]), "eigenvalue", "share", "cumulative"),
+        "group_parcellation_all_pairs_l2": lambda s, d: _group(s, d, "all pairs", "l2").group_labels,
         "spectral_labels": lambda s, d: spectral_clustering(kernels.correlation_adjacency(three(s, d), r_min=R_MIN), three(s, d), 8),
         "spectral_randomized": lambda s, d: spectral_clustering(corr(s, d), one(s, d), 8, eig_solver="randomized"),
         "randomized_eigenvectors": _randomized,
@@ -250,6 +271,12 @@ def _unnested(with_: str, table: str, column: str) -> str:
     return f"WITH {with_} SELECT subject_id, voxel_id, CAST(generate_subscripts({column}, 1) - 1 AS INT) AS t, {r(f'unnest({column})')} AS value FROM {table}"
 
 
+def _projected(m) -> str:
+    """Rows of a literal matrix times each series of ONE."""
+    rows = ", ".join(f"({t}, [{', '.join(repr(float(x)) for x in row)}])" for t, row in enumerate(m))
+    return f"WITH {ONE} SELECT subject_id, voxel_id, CAST(t AS INT) AS t, {r('list_inner_product(x, m)')} AS value FROM v, (VALUES {rows}) AS p(t, m)"
+
+
 def _overlap(factor: int) -> str:
     return f"""WITH {SUBJECTS}, c AS (SELECT subject_id, l1, l2, count(*) AS n FROM s GROUP BY ALL),
         x AS (SELECT subject_id, sum(n * (n - 1)) / 2 AS x FROM c WHERE l1 > 0 AND l2 > 0 GROUP BY ALL),
@@ -267,7 +294,10 @@ def oracle_sql() -> dict[str, str]:
     many = GRAPH.replace(ONE, THREE)
     topk = f"{GRAPH}, k AS (SELECT node, other, w, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS n FROM m)"
     ragged_ = f"{THREE}, g AS (SELECT * FROM v WHERE voxel_id % (subject_id + 5) <> 0)"
+    spline, phi = basis.bspline_projection(64, 12)
     return {
+        "bspline_coef": _projected(spline),
+        "bspline_curves": _projected(phi @ spline),
         "strong_connections": f"{GRAPH} SELECT voxel_id, degree, {r('strength')} AS strength FROM d",
         "row_standardize": _unnested(f"{THREE}, {Z}", "z", "z"),
         "gaussian_smooth": _smoothing(),
@@ -309,6 +339,13 @@ def oracle_sql() -> dict[str, str]:
         "loo_weights": f"""{AGREE}, t AS (SELECT h.subject_id AS held_out, g.i_idx, g.j_idx, CAST(sum(g.agree) AS BIGINT) AS agree, CAST(sum(g.used) AS BIGINT) AS cnt FROM g JOIN g h ON h.i_idx = g.i_idx AND h.j_idx = g.j_idx WHERE g.subject_id <> h.subject_id GROUP BY ALL)
             SELECT held_out, i_idx, j_idx, agree, cnt, {r('agree / nullif(cnt, 0)')} AS w FROM t""",
         "silhouette_strict": _silhouette(GRAPH, "", flat) + f" SELECT label, n_k, {r('a')} AS a, {r('b')} AS b, {r('s')} AS s FROM sil",
+        "silhouette_all_pairs": _silhouette(f"WITH {THREE}, {Z}, {PAIRS}, w AS (SELECT * FROM p)", "subject_id,", "SELECT subject_id, voxel_id, CAST(voxel_id % 7 AS INT) AS label FROM v") + f" SELECT subject_id, label, n_k, {r('a', 8)} AS a, {r('b', 8)} AS b, {r('s', 8)} AS s FROM sil",
+        "silhouette_all_pairs_cosine": _silhouette(f"WITH {THREE}, w AS (SELECT a.subject_id, a.voxel_id AS i_idx, b.voxel_id AS j_idx, 0.5 * (1 + list_cosine_similarity(a.x, b.x)) AS w FROM v a JOIN v b ON a.subject_id = b.subject_id AND a.voxel_id < b.voxel_id)", "subject_id,", "SELECT subject_id, voxel_id, CAST(voxel_id % 7 AS INT) AS label FROM v") + f" SELECT subject_id, label, n_k, {r('a', 8)} AS a, {r('b', 8)} AS b, {r('s', 8)} AS s FROM sil",
+        "summary_table": f"""WITH dice AS ({_overlap(2).replace("round(", "(").replace(", 6) + 0.0", ")")}),
+            one AS ({_silhouette(many, "subject_id,", "SELECT subject_id, voxel_id, CAST(voxel_id % 7 AS INT) AS label FROM v")} SELECT subject_id, avg(s) AS o FROM sil GROUP BY ALL),
+            two AS ({_silhouette(many, "subject_id,", "SELECT subject_id, voxel_id, CAST((voxel_id * 3 + subject_id) % 5 AS INT) AS label FROM v")} SELECT subject_id, avg(s) AS o FROM sil GROUP BY ALL),
+            b AS (SELECT 'first' AS method, avg(o) AS m, stddev_samp(o) AS sd FROM one UNION ALL SELECT 'second', avg(o), stddev_samp(o) FROM two)
+            SELECT method, (SELECT {r("avg(overlap)")} FROM dice) AS dice_mean, (SELECT {r("stddev_samp(overlap)")} FROM dice) AS dice_sd, {r("m")} AS si_mean, {r("sd")} AS si_sd FROM b""",
         "silhouette_overall": _silhouette(many, "subject_id,", "SELECT subject_id, voxel_id, CAST(voxel_id % 7 AS INT) AS label FROM v") + f", o AS (SELECT subject_id, avg(s) AS o FROM sil GROUP BY ALL) SELECT count(o) AS n, {r('avg(o)')} AS mean, {r('stddev_samp(o)')} AS sd FROM o",
         "silhouette_graph": _node_silhouette("nearest"),
         "silhouette_graph_all": _node_silhouette("all"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -42,6 +43,9 @@ METHODS = _methods(
     Method("none", "similarity", "no graph"),
     Method("correlation", "similarity", "Pearson over all pairs", (*_PAIRS, Param("chunk_size", "int"), Param("n_jobs", "int"), Param("prestandardized", "bool", False, advanced=True))),
     Method("cosine", "similarity", "cosine over all pairs", _PAIRS),
+    Method("l2", "similarity", "L2 distance over all pairs as a weight", (*_PAIRS, Param("sigma", "float"), Param("shape", "str", "rbf"))),
+    Method("srvf", "similarity", "square-root velocity distance over all pairs as a weight", (*_PAIRS, Param("sigma", "float"), Param("shape", "str", "rbf"))),
+    Method("partial", "similarity", "ridge partial correlation over all pairs", (*_PAIRS, Param("ridge", "float", 1.0))),
     Method("correlation26", "similarity", "Pearson between 26-neighbours", (Param("r_min", "float"), Param("clamp_negative", "str", "auto"))),
     Method("cosine26", "similarity", "cosine between 26-neighbours", (Param("r_min", "float"), Param("standardized", "bool", False))),
     Method("l2_26", "similarity", "L2 distance between 26-neighbours as a weight", (Param("kernel", "str", "rbf"), Param("scale", "float"), Param("r_min", "float"), Param("standardized", "bool", True))),
@@ -54,6 +58,18 @@ METHODS = _methods(
 )
 
 
+#: Users' similarities by name: a function of the voxel table and the hyperparameters.
+KERNELS: dict[str, Callable[..., Any]] = {}
+
+
+def register_kernel(key: str, kernel: Callable[..., Any], about: str = "", params: tuple[Param, ...] = ()) -> None:
+    """Make kernel(voxels, **hyperparameters), which gives subject_id, i_idx, j_idx, w, a similarity method of this name."""
+    if key in METHODS["similarity"] and key not in KERNELS:
+        raise ValueError(f"{key} is a built-in similarity")
+    METHODS["similarity"][key] = Method(key, "similarity", about, params)
+    KERNELS[key] = kernel
+
+
 def get_method(stage: str, key: str) -> Method:
     try:
         return METHODS[stage][key]

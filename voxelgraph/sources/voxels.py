@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelgraph.functions.series import lists
+from voxelgraph.sources.numpy_files import PARTITION, VOXELS, NumpyVoxels
 
-VOXELS = "subject_id int, voxel_id long, i int, j int, k int, series array<double>"
 ATLAS = "i int, j int, k int, roi int"
-DATA_KEYS, COORD_KEYS = ("data", "arr_0"), ("voxel_coord", "coords", "arr_0")
-
-
-def pick(archive, keys: tuple[str, ...]) -> np.ndarray:
-    """The array under the first of keys, else the only one."""
-    if isinstance(archive, np.ndarray):
-        return archive
-    for key in keys:
-        if key in archive.files:
-            return archive[key]
-    if len(archive.files) == 1:
-        return archive[archive.files[0]]
-    raise ValueError(f"no array named {', '.join(keys)} among {archive.files}")
 
 
 def from_arrays(spark: SparkSession, data: np.ndarray, coord: np.ndarray) -> DataFrame:
@@ -42,28 +26,15 @@ def from_arrays(spark: SparkSession, data: np.ndarray, coord: np.ndarray) -> Dat
     return spark.createDataFrame(pa.table(columns | {"series": lists(data.reshape(s * v, -1))}), VOXELS)
 
 
-def read_numpy(spark: SparkSession, data_path: str, coord_path: str) -> DataFrame:
-    """.npy or .npz files, read by Spark from any store it knows. Each subject's slab is cut in a task of its own; the file itself
-    must fit one task, so large studies come as Parquet or as one file for each subject."""
+def read_numpy(spark: SparkSession, data_path: str, coord_path: str, partition: int = PARTITION) -> DataFrame:
+    """.npy or .npz files of data (subjects, voxels, times) and coordinates (voxels, 3 or more), read by byte ranges of about `partition`
+    bytes; see numpy_files."""
     for path in (data_path, coord_path):
         if not path.endswith((".npy", ".npz")):
             raise ValueError(f"{path} is neither .npy nor .npz")
-    coord = spark.read.format("binaryFile").load(coord_path).select("content").first()
-    xyz = pick(np.load(io.BytesIO(coord.content), allow_pickle=False), COORD_KEYS)
-    if xyz.ndim != 2 or xyz.shape[1] < 3:
-        raise ValueError("coordinates are (voxels, 3 or more)")
-    shared = spark.sparkContext.broadcast(xyz[:, :3].astype("int32"))
-
-    def cut(frames):
-        for f in frames:
-            for raw in f["content"]:
-                x = np.asarray(pick(np.load(io.BytesIO(raw), allow_pickle=False), DATA_KEYS), float)
-                if x.ndim != 3 or x.shape[1] != len(shared.value):
-                    raise ValueError("data is (subjects, voxels, times), with as many voxels as coordinates")
-                for s in range(len(x)):
-                    yield pd.DataFrame({"subject_id": np.full(x.shape[1], s, "int32"), "voxel_id": np.arange(x.shape[1])} | {n: shared.value[:, c] for c, n in enumerate("ijk")}).assign(series=list(x[s]))
-
-    return spark.read.format("binaryFile").load(data_path).select("content").mapInPandas(cut, VOXELS)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(NumpyVoxels)
+    return spark.read.format(NumpyVoxels.name()).option("data", data_path).option("coord", coord_path).option("partition", str(partition)).load()
 
 
 def read_subject_csv(spark: SparkSession, paths: str | list[str], samples: int, header: bool = True) -> DataFrame:
