@@ -641,3 +641,45 @@ def test_kernels_by_name(spark, monkeypatch):
     for method in ("l2", "srvf", "partial"):
         assert p.similarity(method, {"r_min": "0.01"}).weights.count() > 0
     registry.KERNELS.pop("near")
+
+
+def plain_elastic(p, q, reach, penalty):
+    from math import gcd
+
+    t = len(p)
+    best = np.full((t, t), np.inf)
+    best[0, 0] = 0
+    for i in range(1, t):
+        for j in range(1, t):
+            for a in range(1, reach + 1):
+                for b in range(1, reach + 1):
+                    if gcd(a, b) == 1 and a <= i and b <= j:
+                        cost = a * penalty * (1 - np.sqrt(b / a)) ** 2
+                        for m in range(a):
+                            cost += (p[i - a + m] - np.sqrt(b / a) * np.interp(j - b + m * b / a, np.arange(t), q)) ** 2
+                        best[i, j] = min(best[i, j], best[i - a, j - b] + cost)
+    return np.sqrt(best[-1, -1] / (t - 1))
+
+
+@pytest.mark.parametrize(("reach", "penalty"), [(4, 0.0), (3, 0.5)])
+def test_elastic_distance(spark, monkeypatch, reach, penalty):
+    from voxelgraph.functions.series import srvf
+    from voxelgraph.operators import elastic
+
+    monkeypatch.setattr(elastic, "HELD", 500)
+    rng = np.random.default_rng(6)
+    p, q = rng.normal(size=(7, 13)), rng.normal(size=(7, 13))
+    q[0] = p[0]
+    got = elastic.elastic_distance(p, q, reach, penalty)
+    assert got == pytest.approx([plain_elastic(a, b, reach, penalty) for a, b in zip(p, q)]) and got[0] == 0
+    # A warped copy of a curve is nearer than its unaligned distance says.
+    t = np.linspace(0, 1, 60)
+    slope = lambda x: np.gradient(x, t)
+    one, two = (slope(np.sin(6 * g)) for g in (t, t**1.5))
+    one, two = (np.sign(x) * np.sqrt(np.abs(x)) for x in (one, two))
+    assert elastic.elastic_distance(one[None], two[None])[0] < 0.4 * np.sqrt(((one - two) ** 2).mean())
+    v = make(spark, small(s=1, v=8, t=9))
+    e = spark.createDataFrame([(0, 1), (2, 5)], "i_idx long, j_idx long")
+    for r in kernels.edge_srvf(v, e, warp="elastic").collect():
+        x = {w.voxel_id: np.array(w.q) for w in v.withColumn("q", srvf(F.col("series"))).collect()}
+        assert r.w == pytest.approx(plain_elastic(x[r.i_idx], x[r.j_idx], 4, 0.0))

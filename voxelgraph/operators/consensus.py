@@ -97,7 +97,7 @@ def leave_one_out_all_pairs(labels: DataFrame, block_size: int = 1024) -> DataFr
 
 
 def edge_weights(voxels: DataFrame, edges: DataFrame, weight: str | Callable = "correlation") -> DataFrame:
-    """subject_id, i_idx, j_idx, w by name: correlation, cosine, partial, or l2, srvf, srvf_dtw (distances scaled by each subject's
+    """subject_id, i_idx, j_idx, w by name: correlation, cosine, partial, or l2, srvf, srvf_dtw, srvf_elastic (distances scaled by each subject's
     median); or by a function of voxels and edges."""
     if callable(weight):
         return weight(voxels, edges)
@@ -106,8 +106,8 @@ def edge_weights(voxels: DataFrame, edges: DataFrame, weight: str | Callable = "
         return similar[weight](voxels, edges)
     if weight == "l2":
         far = kernels.edge_l2(voxels, edges)
-    elif weight in ("srvf", "srvf_dtw"):
-        far = kernels.edge_srvf(voxels, edges, warp="dtw" if weight == "srvf_dtw" else "none")
+    elif weight in ("srvf", "srvf_dtw", "srvf_elastic"):
+        far = kernels.edge_srvf(voxels, edges, warp=weight.removeprefix("srvf").strip("_") or "none")
     else:
         raise ValueError(f"unknown kernel {weight}")
     return kernels.distance_to_weight(durable(far), "rbf")  # read for the median and for the weights

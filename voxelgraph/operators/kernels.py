@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxelgraph.functions.basis import grams
 from voxelgraph.functions.series import dot, map_series, matrix, moving_average3, over, srvf, total, with_standardized
 from voxelgraph.operators import medians
+from voxelgraph.operators.elastic import elastic_distance
 from voxelgraph.operators.graph import chosen
 from voxelgraph.operators.pairs import met, on_edges, tiled_top, tiled_weights, tiles
 from voxelgraph.storage import durable
@@ -190,20 +191,22 @@ def edge_l2(voxels: DataFrame, edges: DataFrame, standardized: bool = True) -> D
     return e.select("subject_id", "i_idx", "j_idx", F.sqrt(_squares(F.col("z_i"), F.col("z_j")) / F.size("z_i")).alias("w"))
 
 
-def edge_srvf(voxels: DataFrame, edges: DataFrame, smooth: bool = False, eps: float = 1e-8, warp: str = "none") -> DataFrame:
-    """RMS distance of square-root velocities, unaligned or (warp "dtw") along the best time warp."""
+def edge_srvf(voxels: DataFrame, edges: DataFrame, smooth: bool = False, eps: float = 1e-8, warp: str = "none", penalty: float = 0.0) -> DataFrame:
+    """RMS distance of square-root velocities, unaligned, along the best time warp (warp "dtw"), or least over warps that stretch the
+    velocities with them ("elastic", with a penalty on warping; see elastic)."""
     x = moving_average3(F.col("series")) if smooth else F.col("series")
     q = voxels.withColumn("_x", x).withColumn("q", srvf(F.col("_x"), eps=eps))
     e = on_edges(q, edges, ["q"])
     if warp == "none":
         return e.select("subject_id", "i_idx", "j_idx", F.sqrt(_squares(F.col("q_i"), F.col("q_j")) / F.size("q_i")).alias("w"))
-    if warp != "dtw":
-        raise ValueError("warp is none or dtw")
+    if warp not in ("dtw", "elastic"):
+        raise ValueError("warp is none, dtw or elastic")
+    far = dtw_rms if warp == "dtw" else lambda a, b: elastic_distance(a, b, penalty=penalty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                w = dtw_rms(matrix(b.column("q_i")), matrix(b.column("q_j")))
+                w = far(matrix(b.column("q_i")), matrix(b.column("q_j")))
                 yield pa.RecordBatch.from_arrays([b.column("subject_id"), b.column("i_idx"), b.column("j_idx"), pa.array(w)], names=["subject_id", "i_idx", "j_idx", "w"])
 
     kinds = dict(e.dtypes)

@@ -191,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spectral_model_labels": lambda s, d: _model(s, d).labels,
         "spectral_model_scree": lambda s, d: rounded(metrics.scree(_model(s, d).eigenvalues.select("subject_id", "eigenvalue"), keys=["subject_id"]), "eigenvalue", "share", "cumulative"),
         "group_parcellation_all_pairs_l2": lambda s, d: _group(s, d, "all pairs", "l2").group_labels,
+        "srvf_elastic": lambda s, d: rounded(kernels.edge_srvf(three(s, d), edges(s, d), warp="elastic"), "w"),
         "spectral_labels": lambda s, d: spectral_clustering(kernels.correlation_adjacency(three(s, d), r_min=R_MIN), three(s, d), 8),
         "spectral_randomized": lambda s, d: spectral_clustering(corr(s, d), one(s, d), 8, eig_solver="randomized"),
         "randomized_eigenvectors": _randomized,
