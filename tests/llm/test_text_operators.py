@@ -774,3 +774,52 @@ def test_packing_takes_very_long_runs_of_white_space(spark):
         assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
     out = packing.pack_documents(table(spark, ["word", " " * 1_000_000]), added=packing.added_tokens()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in out} == {0: len(tok.encode("word").ids) + 1, 1: 1_000_001}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stretches_stand_for_their_places(seed):
+    rng = np.random.default_rng(seed)
+    own, x = np.sort(rng.integers(0, 3, 400)), rng.integers(0, 4, 400).astype(np.uint64)
+    pos = np.concatenate([np.cumsum(rng.choice([1, 1, 1, 1, 2], (own == o).sum())) for o in range(3)])
+    keep, step, n = repeats.stretched(own, x, x, pos, np.full(400, 13))
+    want = sorted(zip(own.tolist(), x.tolist(), pos.tolist()))
+    got = sorted((int(own[i]), int(x[i]), int(pos[i] + k * step[i])) for i in np.flatnonzero(keep) for k in range(n[i]))
+    assert got == want
+    one = repeats.stretched(np.zeros(5000, int), np.ones(5000, np.uint64), np.ones(5000, np.uint64), np.arange(5000), np.full(5000, 13))
+    assert one[0].sum() == 1 and (one[1][0], one[2][0]) == (1, 5000)
+
+
+def plain_substrings(texts, words=13):
+    first, out = {}, []
+    split = [WORD.findall(t or "") for t in texts]
+    for i, w in enumerate(split):
+        for k in range(len(w) - words + 1):
+            first.setdefault(tuple(w[k : k + words]), i)
+    for i, w in enumerate(split):
+        drop = set()
+        for k in range(len(w) - words + 1):
+            if first[tuple(w[k : k + words])] < i:
+                drop |= set(range(k, k + words))
+        out.append((len(w), len(drop), " ".join(x for k, x in enumerate(w) if k not in drop)))
+    return out
+
+
+def test_text_that_repeats_itself(spark):
+    rng = random.Random(4)
+    period = ["one two three", "a b", "x", " ".join(f"w{i}" for i in range(20))]
+    texts = ["x " * 300 + "end", "x " * 500, "start " + "a b " * 200, "b a " * 300 + "x " * 40, "one two three " * 100, " ".join(rng.choice(period) for _ in range(400))]
+    texts += [period[3] + " " + period[3] + " c " + period[3] + " " + "x " * 13, "a b " * 60 + "z " + "a b " * 60, "x " * 12, "x " * 13]
+    want = plain_substrings(texts)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.substring_dedup(table(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_long_texts_of_one_word_or_line(spark):
+    word = table(spark, ["word " * 300_000, "word " * 1_000_000 + "last"])
+    found = repeats.matches(word.select(F.col("doc_id").alias("_rid"), "text"), repeats.Grain(repeats.word_items, " ", 13, 4))
+    assert found.count() < 50  # not one a diagonal
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.substring_dedup(word).collect()}
+    assert got[0][:2] == (300_000, 0) and got[1] == (1_000_001, 1_000_000, "last")
+    line = table(spark, ["a line\n" * 300_000, "a line\n" * 700_000 + "last"])
+    out = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in repeats.line_dedup(line).collect()}
+    assert out[0] == (300_001, 299_999, "a line\n") and out[1] == (700_001, 700_000, "last")

@@ -12,6 +12,9 @@ smallest hash as its anchor, so a passage that repeats always shares one. The wi
    document, where both are compared item by item and the match is extended both ways. Only runs of equal items that hold a whole
    window are maximal repeats and removed: hashes propose, texts decide.
 
+Text that repeats itself has the same seed at even distances. Such places make one seed with a step (a stretch), so that a
+text of one word over and over has as many matches as its period has items, not one a diagonal.
+
 A key with more than 1 / HOT of the rows (found on a sample of the documents, which steers how rows are dealt and nothing else) is
 settled by broadcast or salted: fewer than HOT keys can be so frequent. No group of copies is gathered or expanded into pairs.
 
@@ -43,6 +46,9 @@ HOT = 1000
 #: One document in SAMPLE shows which keys are hot; a key must be there LEAST times.
 SAMPLE, LEAST = 64, 50
 
+#: Places of one extent at even distances in a text that make a stretch.
+STRETCH = 8
+
 #: Items whose windows are made at a time; items that travel together in a block.
 CHUNK, BLOCK = 1 << 20, 64
 
@@ -116,8 +122,42 @@ def chunks(t: Texts, grain: Grain) -> Iterator[tuple]:
         yield own, at + a - first[own], whole, low, new
 
 
+def stretched(own: np.ndarray, g: np.ndarray, x: np.ndarray, pos: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which seeds to keep, and the step and number of places of each: text that repeats itself has the same seed at even distances, of
+    which the first stands for all."""
+    keep, step, n = np.ones(len(x), bool), np.zeros(len(x), np.int64), np.ones(len(x), np.int64)
+    if len(x) < STRETCH:
+        return keep, step, n
+    _, which, many = np.unique(x, return_inverse=True, return_counts=True)
+    idx = np.flatnonzero(many[which] >= STRETCH)
+    order = idx[np.lexsort((pos[idx], span[idx], g[idx], x[idx], own[idx]))]
+    if not len(order):
+        return keep, step, n
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (own, g, x, span)])
+    d = np.diff(pos[order], prepend=0)
+    new = ~same
+    new[1:] |= same[1:] & same[:-1] & (d[1:] != d[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(order)))
+    first, size = begin[size >= STRETCH], size[size >= STRETCH]
+    step[order[first]], n[order[first]] = d[first + 1], size
+    which = np.repeat(first, size - 1)
+    keep[order[which + 1 + np.arange(len(which)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)]] = False
+    return keep, step, n
+
+
+def _rows(rid: np.ndarray, own: np.ndarray, g: np.ndarray, x: np.ndarray, pos: np.ndarray, span: np.ndarray) -> tuple:
+    """Columns of SEEDS."""
+    keep, step, n = stretched(own, g, x, pos, span)
+    return tuple(c[keep] for c in (signed(g), signed(x), rid[own], pos, span, step, n))
+
+
+SEEDS = "g long, x long, rid long, pos int, span int, step int, n int"
+
+
 def _seeds(rows: DataFrame, grain: Grain) -> DataFrame:
-    """g, x, rid, pos, span: anchor and extent of each seed, its document, the extent's first item and how many items it has."""
+    """SEEDS: anchor and extent of each seed, its document, the extent's first item, how many items it has, and its stretch."""
 
     def make():
         def work(part, t):
@@ -127,21 +167,21 @@ def _seeds(rows: DataFrame, grain: Grain) -> DataFrame:
                 size = np.diff(np.append(begin, len(new)))
                 # The first and the last window cover the extent: it has no more windows than a window has items.
                 x = mix(whole[begin] * U(0xBF58476D1CE4E5B9) + whole[begin + size - 1] * U(0xD6E8FEB86659FD93) + size.astype(U))
-                out.append((signed(low[begin]), signed(x), rid[own[begin]], pos[begin], size + grain.length - 1))
+                out.append(_rows(rid, own[begin], low[begin], x, pos[begin], size + grain.length - 1))
             if grain.alone:
                 start, end, first = grain.items(t)
                 at = np.flatnonzero(grain.long(t, start, end, grain.worded(t, start, end)))
                 h, own = item_hashes(t, start[at], end[at]), owners(first)[at]
-                out.append((signed(mix(h + U(3))), signed(mix(h + U(5))), rid[own], at - first[own], np.ones(len(at), np.int64)))
+                out.append(_rows(rid, own, mix(h + U(3)), mix(h + U(5)), at - first[own], np.ones(len(at), np.int64)))
             return [np.concatenate(c) for c in zip(*out)]
 
         return work
 
-    return scan(rows, make, "g long, x long, rid long, pos int, span int")
+    return scan(rows, make, SEEDS)
 
 
 def _singles(rows: DataFrame, grain: Grain) -> DataFrame:
-    """g, x, rid, pos, span: anchor and hash of each single window of the extents that column _open lists."""
+    """SEEDS of each single window of the extents that column _open lists."""
 
     def make():
         def work(part, t):
@@ -156,19 +196,19 @@ def _singles(rows: DataFrame, grain: Grain) -> DataFrame:
             wanted = np.cumsum(edge) > 0
             for own, pos, whole, low, _ in chunks(t, grain):
                 hit = wanted[first[own] + pos]
-                out.append((signed(low[hit]), signed(whole[hit]), rid[own[hit]], pos[hit], np.full(hit.sum(), grain.length)))
+                out.append(_rows(rid, own[hit], low[hit], whole[hit], pos[hit], np.full(hit.sum(), grain.length)))
             return [np.concatenate(c) for c in zip(*out)]
 
         return work
 
-    return scan(rows, make, "g long, x long, rid long, pos int, span int")
+    return scan(rows, make, SEEDS)
 
 
-FOUND = "rid long, pos int, span int, low long, at int"
+FOUND = "rid long, pos int, span int, step int, n int, low long, at int"
 
 
 def _joined(seeds: DataFrame, length: int) -> DataFrame:
-    """rid, pos, span, low, at: each seed beside the first document with the same g and x and its place there, where that has a smaller
+    """FOUND: each seed beside the first document with the same g and x and its place there, where that has a smaller
     id; and with low null the first seed of each x whose g has others. Rows come in runs of equal keys: only what a run's first
     row says is held."""
 
@@ -177,7 +217,7 @@ def _joined(seeds: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, g, x, rid, pos, span = (np.asarray(batch.column(c), np.int64) for c in ("_k", "g", "x", "rid", "pos", "span"))
+            k, g, x, rid, pos, span, step, n = (np.asarray(batch.column(c), np.int64) for c in ("_k", "g", "x", "rid", "pos", "span", "step", "n"))
             many = np.asarray(batch.column("_many"))
             new = np.ones(len(k), bool)
             new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
@@ -187,7 +227,7 @@ def _joined(seeds: DataFrame, length: int) -> DataFrame:
             if lead is not None:
                 low[whose < 0], at[whose < 0] = lead[2], lead[3]
             lead = (g[-1], x[-1], low[-1], at[-1])
-            out = [[c[rid > low] for c in (rid, pos, span, low, at)]]
+            out = [[c[rid > low] for c in (rid, pos, span, step, n, low, at)]]
             head = np.flatnonzero(new & (span >= length))
             if len(head):
                 rows = [c[head] for c in (k, rid, pos, span)] + [many[head], np.zeros(len(head), bool)]
@@ -196,13 +236,13 @@ def _joined(seeds: DataFrame, length: int) -> DataFrame:
                 hk, hrid, hpos, hspan, hmany, done = rows
                 same = np.concatenate([[False], hk[1:] == hk[:-1]])
                 opens = (same | np.append(same[1:], False) | hmany) & ~done
-                out.append([hrid[opens], hpos[opens], hspan[opens], None, None])
+                out.append([hrid[opens], hpos[opens], hspan[opens], 0 * hpos[opens], 0 * hpos[opens] + 1, None, None])
                 last = (hk[-1], hrid[-1], hpos[-1], hspan[-1], hmany[-1], bool(opens[-1] or done[-1]))
-            for r, p, s, a, b in out:
+            for r, p, s, t, m, a, b in out:
                 if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(p, pa.int32()), pa.array(s, pa.int32()), pa.nulls(len(r), pa.int64()) if a is None else pa.array(a), pa.nulls(len(r), pa.int32()) if b is None else pa.array(b, pa.int32())], names=["rid", "pos", "span", "low", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(c, pa.int32()) for c in (p, s, t, m)), pa.nulls(len(r), pa.int64()) if a is None else pa.array(a), pa.nulls(len(r), pa.int32()) if b is None else pa.array(b, pa.int32())], names=["rid", "pos", "span", "step", "n", "low", "at"])
 
-    return seeds.select("_k", "g", "x", "rid", "pos", "span", "_many").sortWithinPartitions("_k", "g", "x", "rid", "pos").mapInArrow(run, FOUND)
+    return seeds.select("_k", "g", "x", "rid", "pos", "span", "step", "n", "_many").sortWithinPartitions("_k", "g", "x", "rid", "pos").mapInArrow(run, FOUND)
 
 
 def _hot(sample: DataFrame, total: int, *keys: str) -> DataFrame:
@@ -228,26 +268,27 @@ def settled(seeds: DataFrame, length: int, opens: bool = True) -> DataFrame:
     # taken: an extent that is told twice proposes its matches twice, and no more.
     frequent = F.col("x").isin([r.x for r in hot.select("x").distinct().collect()])  # fewer than HOT
     first = durable(seeds.where(frequent).groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
-    again = seeds.join(F.broadcast(first), ["g", "x"], "left").where(F.col("rid") > F.coalesce("_f.rid", F.lit(LAST))).select("rid", "pos", "span", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
+    again = seeds.join(F.broadcast(first), ["g", "x"], "left").where(F.col("rid") > F.coalesce("_f.rid", F.lit(LAST))).select("rid", "pos", "span", "step", "n", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
     out = out.unionByName(again)
     if opens:
-        out = out.unionByName(first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "cast(null as long) low", "cast(null as int) at"))
+        out = out.unionByName(first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "0 step", "1 n", "cast(null as long) low", "cast(null as int) at"))
     return out
 
 
 def matches(rows: DataFrame, grain: Grain) -> DataFrame:
-    """rid, low, diag, start, end: items start to end of a document, proposed to repeat those `diag` places before in document low."""
+    """rid, low, diag, start, end, step, n: items start to end of a document, proposed to repeat those `diag` places before in document low;
+    in a stretch (n > 1) so do those that begin step, 2 step, ... later."""
     seeds = durable(_seeds(rows, grain))
     found = durable(settled(seeds, grain.length))
     release(seeds)
     opens = found.where("low is null").groupBy("rid").agg(F.collect_list(F.struct("pos", "span")).alias("_open"))
     singles = durable(_singles(rows.join(opens, rows._rid == opens.rid).select("_rid", "text", "_open"), grain))
     pairs = found.where("low is not null").unionByName(settled(singles, grain.length, opens=False))
-    d = pairs.select("rid", "low", (F.col("pos") - F.col("at")).alias("diag"), F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end"))
-    w = Window.partitionBy("rid", "low", "diag").orderBy("start", "end")
+    d = pairs.select("rid", "low", "step", "n", (F.col("pos") - F.col("at")).alias("diag"), F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end"))
+    w = Window.partitionBy("rid", "low", "diag", "step", "n").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = durable(d.groupBy("rid", "low", "diag", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run"))
+    out = durable(d.groupBy("rid", "low", "diag", "step", "n", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run"))
     release(found, singles)
     return out
 
@@ -276,13 +317,13 @@ def _pieces(rows: DataFrame, grain: Grain) -> DataFrame:
 
 def sources(rows: DataFrame, found: DataFrame, grain: Grain) -> DataFrame:
     """rid, _from: for each document the items of first documents that its matches propose, with PAD items on either side: a list
-    of low, tag, diag, at (the document's place that the first item stands against) and items."""
-    pad = max(1, grain.length - 1)
+    of low, tag, diag, at (the document's place that the first item stands against), items, and the step and n of a stretch."""
+    pad = F.when(F.col("n") == 1, max(1, grain.length - 1)).otherwise(0)  # a stretch needs no more: each of its windows is proposed
     lo, hi = F.greatest(F.lit(0), F.col("start") - F.col("diag") - pad), F.col("end") - F.col("diag") + pad
-    needs = found.select("rid", "low", "diag", lo.alias("lo"), hi.alias("hi")).select("*", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor((F.col("hi") - 1) / BLOCK).cast("int"))).alias("block"))
-    asked = durable(needs.groupBy("low", "block").agg(F.count(F.lit(1)).alias("n")))
-    total = asked.agg(F.sum("n")).first()[0] or 0
-    hot = asked.where((F.col("n") >= LEAST) & (F.col("n") * HOT > total)).select("low", "block", F.ceil(F.col("n") * HOT / F.lit(max(1, total))).cast("int").alias("salts"))
+    needs = found.select("rid", "low", "diag", "step", "n", lo.alias("lo"), hi.alias("hi")).select("*", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor((F.col("hi") - 1) / BLOCK).cast("int"))).alias("block"))
+    asked = durable(needs.groupBy("low", "block").agg(F.count(F.lit(1)).alias("many")))
+    total = asked.agg(F.sum("many")).first()[0] or 0
+    hot = asked.where((F.col("many") >= LEAST) & (F.col("many") * HOT > total)).select("low", "block", F.ceil(F.col("many") * HOT / F.lit(max(1, total))).cast("int").alias("salts"))
     lists = asked.groupBy("low").agg(F.collect_list("block").alias("_blocks"))  # as many as the document has blocks, at most
     pieces = _pieces(rows.join(lists, rows._rid == lists.low).select("_rid", "text", "_blocks"), grain)
     salted = lambda df, salt: df.join(F.broadcast(hot), ["low", "block"], "left").withColumn("_salt", salt).drop("salts")
@@ -290,10 +331,10 @@ def sources(rows: DataFrame, found: DataFrame, grain: Grain) -> DataFrame:
     needs = salted(needs, F.pmod(F.xxhash64("rid", "diag"), F.coalesce("salts", F.lit(1))).cast("int"))
     both = needs.join(pieces, ["low", "block", "_salt"])
     a = F.greatest("lo", F.col("block") * BLOCK)
-    n = F.least("hi", (F.col("block") + 1) * BLOCK) - a
-    cut = F.array_join(F.slice(F.split("items", grain.glue), (a - F.col("block") * BLOCK + 1).cast("int"), n.cast("int")), grain.glue)
-    out = both.select("rid", "low", "tag", "diag", (a + F.col("diag")).cast("int").alias("at"), cut.alias("items"))
-    out = durable(out.groupBy("rid").agg(F.collect_list(F.struct("low", "tag", "diag", "at", "items")).alias("_from")))
+    width = F.least("hi", (F.col("block") + 1) * BLOCK) - a
+    cut = F.array_join(F.slice(F.split("items", grain.glue), (a - F.col("block") * BLOCK + 1).cast("int"), width.cast("int")), grain.glue)
+    out = both.select("rid", "low", "tag", "diag", "step", "n", (a + F.col("diag")).cast("int").alias("at"), cut.alias("items"))
+    out = durable(out.groupBy("rid").agg(F.collect_list(F.struct("low", "tag", "diag", "at", "items", "step", "n")).alias("_from")))
     release(asked)
     return out
 
@@ -314,7 +355,16 @@ def kept_runs(eq: np.ndarray, worded: np.ndarray, long: np.ndarray, length: int)
 def _extended(own: list[bytes], found: list[dict], worded: np.ndarray, long: np.ndarray, grain: Grain) -> np.ndarray:
     """Which items of a document are in maximal repeats. found: what sources() lists for it."""
     out, equal, places, key, reach = np.zeros(len(own), bool), [], [], None, 0
-    for m in sorted(found, key=lambda m: (m["low"], m["tag"], m["diag"], m["at"])):
+    stretches = []  # step, n, place and items of each
+    for m in sorted(found, key=lambda m: (m["low"], m["tag"], m["diag"], m.get("step", 0), m.get("n", 1), m["at"])):
+        if m.get("n", 1) > 1:
+            theirs, here = m["items"].split(grain.glue), (m["low"], m["tag"], m["diag"], m["step"], m["n"])
+            if here == key and m["at"] == reach:
+                stretches[-1][3].extend(theirs)
+            else:
+                stretches.append((m["step"], m["n"], m["at"], theirs))
+            key, reach = here, m["at"] + len(theirs)
+            continue
         at, theirs = m["at"], m["items"].split(grain.glue)
         if at < 0:
             at, theirs = 0, theirs[-at:]
@@ -332,6 +382,15 @@ def _extended(own: list[bytes], found: list[dict], worded: np.ndarray, long: np.
         places += range(at, reach)
     place = np.array(places, np.int64)
     out[place[kept_runs(np.array(equal, bool), worded[place], long[place], grain.length)]] = True
+    for step, n, first, theirs in stretches:
+        span, whole = len(theirs), None
+        for p in range(first, first + n * step, step):
+            here = slice(p, p + span)
+            if own[here] == theirs:  # the items are those of the place before, and so are their flags
+                whole = kept_runs(np.ones(span, bool), worded[here], long[here], grain.length) if whole is None else whole
+                out[here] |= whole
+            else:
+                out[here] |= kept_runs(np.array([a == b for a, b in zip(own[here], theirs)], bool), worded[here], long[here], grain.length)
     return out
 
 
