@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelgraph.functions import basis
+from voxelgraph.functions import basis, stationarity
 from voxelgraph.functions.series import gaussian_kernel, gaussian_smooth, fwhm_to_sigma, moving_average3, srvf, with_standardized
-from voxelgraph.functions.stationarity import adf_test, stationary_counts
 from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, model, tables
 from voxelgraph.operators.pairs import edges26
 from voxelgraph.operators.spectral import randomized_eigenvectors, spectral_clustering
 from voxelgraph.plans.pipeline import Pipeline, strong_connections
-from voxelgraph.storage import durable
+from voxelgraph.storage import durable, shared_dir
+from voxelgraph.sources import sinks
 from voxelgraph.sources.voxels import from_embeddings, series_from_events, subjects_from_embeddings
 
 R_MIN = 0.3
@@ -178,16 +180,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_sizes": lambda s, d: metrics.cluster_sizes(second_labels(three(s, d))),
         "distinct_counts": lambda s, d: metrics.distinct_counts(three(s, d), ["i", "j", "k", "voxel_id"]),
         "validate_summary": lambda s, d: tables.validation(three(s, d)),
+        "stationary_counts": lambda s, d: stationarity.stationary_counts(stationarity.adf_test(three(s, d))),
+        "stationarity": lambda s, d: rounded(stationarity.adf_test(one(s, d)), "statistic", "p_value"),
+        "sink_parquet": _by_parquet,
+        "sink_csv": _by_csv,
         # No SQL: linear algebra, iteration.
         "pcorr_ridge": lambda s, d: rounded(kernels.edge_partial_correlation(with_standardized(three(s, d)).withColumn("series", F.col("z")).drop("z"), edges(s, d)), "w"),
-        "pcorr_all_pairs": lambda s, d: rounded(kernels.all_pairs(three(s, d), "partial", r_min=0.3), "w"),
+        "pcorr_all_pairs": lambda s, d: rounded(kernels.all_pairs(three(s, d), "partial", r_min=0.025), "w"),
         "bspline_coef": lambda s, d: _long(basis.bspline_coefficients(one(s, d), 12)),
         "bspline_curves": lambda s, d: _long(_two_bases(s, d)),
         "fpca_loadings": lambda s, d: _long(basis.fpca_loadings(three(s, d), 6)),
         "fpca_curves": lambda s, d: _long(_pcs(s, d)),
         "srvf_dtw": lambda s, d: rounded(kernels.edge_srvf(three(s, d), edges(s, d), warp="dtw"), "w"),
-        "stationary_counts": lambda s, d: stationary_counts(adf_test(three(s, d))),
-        "stationarity": lambda s, d: rounded(adf_test(one(s, d)), "statistic", "p_value"),
         "spectral_model_labels": lambda s, d: _model(s, d).labels,
         "spectral_model_scree": lambda s, d: rounded(metrics.scree(_model(s, d).eigenvalues.select("subject_id", "eigenvalue"), keys=["subject_id"]), "eigenvalue", "share", "cumulative"),
         "group_parcellation_all_pairs_l2": lambda s, d: _group(s, d, "all pairs", "l2").group_labels,
@@ -208,6 +212,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _by_parquet(s: SparkSession, d: str) -> DataFrame:
+    """Voxels written by subject, of which one is read again."""
+    path = f"{shared_dir(s)}/voxels-{uuid.uuid4().hex}"
+    sinks.write_voxels(three(s, d), path)
+    v = s.read.parquet(path).where("subject_id = 1")
+    return rounded(v.select("subject_id", "voxel_id", "i", "j", "k", F.size("series").cast("long").alias("samples"), F.col("series")[0].alias("first")), "first")
+
+
+def _by_csv(s: SparkSession, d: str) -> DataFrame:
+    """A report written as CSV and read again."""
+    path = f"{shared_dir(s)}/report-{uuid.uuid4().hex}"
+    sinks.write_csv(metrics.cluster_sizes(second_labels(three(s, d))), path)
+    return s.read.schema("subject_id int, label int, n long").csv(path, header=True)
+
+
 def _entries(s: SparkSession, d: str) -> DataFrame:
     """Matrix entries in both orientations with different weights: the correlation, and half of it mirrored, where i is even."""
     w = corr(s, d)
@@ -272,6 +291,36 @@ def _unnested(with_: str, table: str, column: str) -> str:
     return f"WITH {with_} SELECT subject_id, voxel_id, CAST(generate_subscripts({column}, 1) - 1 AS INT) AS t, {r(f'unnest({column})')} AS value FROM {table}"
 
 
+def _partial(t: int) -> str:
+    """Tables of THREE and s: subject_id, voxel_id, u, st, a, from which ridge partial correlations (ridge 1) are made; Gauss-Jordan by recursion."""
+    return f"""WITH RECURSIVE {THREE}, {Z}, u AS (SELECT subject_id, voxel_id, list_transform(z, lambda e: e / sqrt({t - 1})) AS u FROM z),
+        g AS (SELECT subject_id, i, j, sum(u[i] * u[j]) AS g FROM u, range(1, {t + 1}) AS a(i), range(1, {t + 1}) AS b(j) GROUP BY subject_id, i, j),
+        g1 AS (SELECT subject_id, i, list(g + CASE WHEN i = j THEN 1 ELSE 0 END ORDER BY j) AS row, list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j) AS unit FROM g GROUP BY subject_id, i),
+        m0 AS (SELECT subject_id, list(list_concat(row, unit) ORDER BY i) AS m FROM g1 GROUP BY subject_id),
+        r AS (SELECT subject_id, 1 AS k, m FROM m0 UNION ALL
+              SELECT subject_id, k + 1, list_transform(m, lambda x, i: CASE WHEN i = k THEN list_transform(x, lambda e: e / m[k][k]) ELSE list_transform(x, lambda e, j: e - x[k] * m[k][j] / m[k][k]) END) FROM r WHERE k <= {t}),
+        b AS (SELECT subject_id, list_transform(m, lambda x: x[{t + 1}:{2 * t}]) AS b FROM r WHERE k = {t + 1}),
+        y AS (SELECT subject_id, voxel_id, u, list_transform(b, lambda x: list_inner_product(u, x)) AS st FROM u JOIN b USING (subject_id)),
+        s AS (SELECT *, greatest(1 - list_inner_product(u, st), 1e-12) AS free FROM y)"""
+
+
+def _adf(base: str, n: int) -> str:
+    """Tables v (as base makes it) and q: subject_id, voxel_id, statistic, p of series of n samples. The regression goes column by column:
+    each is made orthogonal to those before; what is left of the level and of the differences gives the statistic."""
+    k = stationarity.lags(n)
+    rows, last = n - 1 - k, k + 3
+    columns = [f"list_transform(range({rows}), lambda t: 1.0)", f"list_transform(range({rows}), lambda t: t::DOUBLE)", *[f"d[{k - lag + 1}:{k - lag + rows}]" for lag in range(1, k + 1)], f"x[{k + 1}:{k + rows}]", f"d[{k + 1}:{k + rows}]"]
+    steps = [f"g0 AS (SELECT subject_id, voxel_id, {', '.join(f'{c} AS c{i}' for i, c in enumerate(columns))} FROM (SELECT *, list_transform(range(1, {n}), lambda t: x[t + 1] - x[t]) AS d FROM v))"]
+    for i in range(1, last + 1):
+        for j in range(i):
+            beta = f", list_inner_product(c{i}, c{j}) / list_inner_product(c{j}, c{j}) AS beta" if (i, j) == (last, last - 1) else ""
+            steps.append(f"g{len(steps)} AS (SELECT * EXCLUDE (f) REPLACE (list_transform(range(1, {rows} + 1), lambda t: c{i}[t] - f * c{j}[t]) AS c{i}) FROM (SELECT *, list_inner_product(c{i}, c{j}) / list_inner_product(c{j}, c{j}) AS f{beta} FROM g{len(steps) - 1}))")
+    table = [float(np.interp(n - 1, stationarity.SIZES, c)) for c in np.array(stationarity.CRITICAL).T]
+    between = [f"WHEN statistic <= {b!r} THEN {p!r} + (statistic - {a!r}) / ({b!r} - {a!r}) * ({q!r} - {p!r})" for a, b, p, q in zip(table, table[1:], stationarity.PROBABILITIES, stationarity.PROBABILITIES[1:])]
+    p = f"CASE WHEN statistic <= {table[0]!r} THEN 0.01 {' '.join(between)} ELSE 0.99 END"
+    return f"WITH {base}, {', '.join(steps)}, h AS (SELECT subject_id, voxel_id, beta / sqrt(list_inner_product(c{last}, c{last}) / {rows - k - 3} / list_inner_product(c{last - 1}, c{last - 1})) AS statistic FROM g{len(steps) - 1}), q AS (SELECT *, {p} AS p FROM h)"
+
+
 def _projected(m) -> str:
     """Rows of a literal matrix times each series of ONE."""
     rows = ", ".join(f"({t}, [{', '.join(repr(float(x)) for x in row)}])" for t, row in enumerate(m))
@@ -298,6 +347,14 @@ def oracle_sql() -> dict[str, str]:
     spline, phi = basis.bspline_projection(64, 12)
     return {
         "bspline_coef": _projected(spline),
+        "pcorr_ridge": f"""{_partial(32)}, {E26} SELECT a.subject_id, e.i_idx, e.j_idx, {r("greatest(-1, least(1, list_inner_product(a.u, b.st) / sqrt(a.free * b.free)))")} AS w
+            FROM e JOIN s a ON a.voxel_id = e.i_idx JOIN s b ON b.voxel_id = e.j_idx AND b.subject_id = a.subject_id""",
+        "pcorr_all_pairs": f"""{_partial(32)}, p AS (SELECT a.subject_id, a.voxel_id AS i_idx, b.voxel_id AS j_idx, greatest(-1, least(1, list_inner_product(a.u, b.st) / sqrt(a.free * b.free))) AS w FROM s a JOIN s b ON b.subject_id = a.subject_id AND a.voxel_id < b.voxel_id)
+            SELECT subject_id, i_idx, j_idx, {r("w")} AS w FROM p WHERE w >= 0.025""",
+        "stationarity": f"{_adf(ONE, 64)} SELECT subject_id, voxel_id, {r('statistic')} AS statistic, {r('p')} AS p_value FROM q",
+        "stationary_counts": f"{_adf(THREE, 32)} SELECT subject_id, count(*) AS n, count(*) FILTER (WHERE p < 0.05) AS n_stationary FROM q GROUP BY subject_id",
+        "sink_parquet": f"WITH {THREE} SELECT subject_id, voxel_id, i, j, k, len(x) AS samples, {r('x[1]')} AS first FROM v WHERE subject_id = 1",
+        "sink_csv": f"WITH {SUBJECTS} SELECT subject_id, CAST(l2 AS INT) AS label, count(*) AS n FROM s GROUP BY subject_id, l2",
         "bspline_curves": _projected(phi @ spline),
         "strong_connections": f"{GRAPH} SELECT voxel_id, degree, {r('strength')} AS strength FROM d",
         "row_standardize": _unnested(f"{THREE}, {Z}", "z", "z"),
