@@ -823,3 +823,30 @@ def test_long_texts_of_one_word_or_line(spark):
     line = table(spark, ["a line\n" * 300_000, "a line\n" * 700_000 + "last"])
     out = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in repeats.line_dedup(line).collect()}
     assert out[0] == (300_001, 299_999, "a line\n") and out[1] == (700_001, 700_000, "last")
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_telling_pairs_are_counted_exactly(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(8)
+    y = (rng.random(400) < 0.4).astype(float)
+    bags = []
+    for v in y:
+        b = set(np.flatnonzero(rng.random(60) < 0.2).tolist())
+        if v and rng.random() < 0.6:
+            b |= {3, 9}
+        elif rng.random() < 0.5:
+            b = (b | {3}) - {9}
+        bags.append(np.array(sorted(b), np.int64))
+    open_ = np.ones(60, bool)
+    open_[10:14] = False
+    want = np.zeros(60, bool)
+    for i in range(60):
+        for j in range(i + 1, 60):
+            if open_[i] and open_[j]:
+                both = np.array([i in b and j in b for b in bags])
+                if (both & (y > 0)).sum() >= 2 * toxicity.MIN_DOCS and toxicity.chi_square(np.array([both.sum()]), np.array([(both & (y > 0)).sum()]), 400, y.sum())[0] >= toxicity.PAIR_CHI:
+                    want[[i, j]] = True
+    assert want[3] and want[9]
+    assert (toxicity.telling_pairs(bags, y, open_) == want).all()
+    assert not toxicity.telling_pairs(bags, np.zeros(400), open_).any()
