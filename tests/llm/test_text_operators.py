@@ -850,3 +850,19 @@ def test_telling_pairs_are_counted_exactly(monkeypatch, block):
     assert want[3] and want[9]
     assert (toxicity.telling_pairs(bags, y, open_) == want).all()
     assert not toxicity.telling_pairs(bags, np.zeros(400), open_).any()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_first_documents_that_hold_a_passage_several_times(spark, monkeypatch, hot):
+    if hot:
+        for name, value in (("SAMPLE", 1), ("LEAST", 2), ("HOT", 200)):
+            monkeypatch.setattr(repeats, name, value)
+    p, u, v = ([f"{c}{i}" for i in range(20)] for c in "puv")
+    around = [*u, *p, *v]
+    texts = [p, [*around, "x", *around, "y", *around], [*v, *p], around * 12, [*around[3:-3], "z", *p, *p]]
+    texts = [" ".join(t) for t in texts] + random_docs(60, 3, vocabulary=4, longest=60)
+    ids = [*range(len(texts) - 1), 1]
+    items = [WORD.findall(t) for t in texts]
+    for words, gram in ((13, 4), (5, 2)):
+        want = sorted((i, len(seq), sum(gone), " ".join(w for w, g in zip(seq, gone) if not g)) for i, seq, gone in zip(ids, items, brute_repeats(items, words, False, ids)))
+        assert sorted(map(tuple, repeats.substring_dedup(table(spark, texts, ids), words=words, gram=gram).collect())) == want

@@ -6,8 +6,9 @@ smallest hash as its anchor, so a passage that repeats always shares one. The wi
 1. Seeds: every anchor's gram and extent hash with document and place. Seeds with equal extents are joined, the document with the
    smallest id first: each later one gives a pair of places, whose windows are alike. Most copied text is settled so, by one row
    for many windows.
-2. Where one anchor has several extents (the ends of passages), each extent's first document gives its single windows, joined
-   likewise. The first documents suffice: the smallest id that has a window is also the smallest that has the extent around it.
+2. Where one anchor has several extents (the ends of passages), each extent's first document gives its single windows, from every
+   place where it has the extent, joined likewise. The first documents suffice: the smallest id that has a window is also the
+   smallest that has the extent around it.
 3. Pairs on one diagonal are chained to matches. The first document's items there, and PAD items on either side, go to the later
    document, where both are compared item by item and the match is extended both ways. Only runs of equal items that hold a whole
    window are maximal repeats and removed: hashes propose, texts decide.
@@ -188,7 +189,9 @@ def _singles(rows: DataFrame, grain: Grain) -> DataFrame:
             rid, lists, out = np.asarray(part.column("_rid"), np.int64), part.column("_open"), []
             whose = np.repeat(np.arange(t.n), np.asarray(lists.value_lengths().fill_null(0), np.int64))
             flat = lists.flatten()
-            pos, span = (np.asarray(flat.field(c), np.int64) for c in ("pos", "span"))
+            pos, span, step, n = (np.asarray(flat.field(c), np.int64) for c in ("pos", "span", "step", "n"))
+            each = np.repeat(np.arange(len(n)), n)  # every place of a stretch
+            whose, span, pos = whose[each], span[each], pos[each] + step[each] * (np.arange(len(each)) - (np.cumsum(n) - n)[each])
             first = grain.items(t)[2]
             edge = np.zeros(first[-1] + 1, np.int64)
             np.add.at(edge, np.minimum(first[whose] + pos, first[-1]), 1)
@@ -209,11 +212,12 @@ FOUND = "rid long, pos int, span int, step int, n int, low long, at int"
 
 def _joined(seeds: DataFrame, length: int) -> DataFrame:
     """FOUND: each seed beside the first document with the same g and x and its place there, where that has a smaller
-    id; and with low null the first seed of each x whose g has others. Rows come in runs of equal keys: only what a run's first
-    row says is held."""
+    id; and with low null the first document's seeds of each x whose g has others, every place of them. Rows come in runs of equal keys:
+    only a run's first row is held, and the first document's seeds of a g's first x until another comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = last = None  # the first row of the run of equal g and x; the last such row within its deal, and whether it is out
+        lead = None  # the first row of the run of equal g and x
+        deal, runs, held = None, 0, []  # the last deal, its runs so far, its first document's seeds while there is one run
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -228,16 +232,22 @@ def _joined(seeds: DataFrame, length: int) -> DataFrame:
                 low[whose < 0], at[whose < 0] = lead[2], lead[3]
             lead = (g[-1], x[-1], low[-1], at[-1])
             out = [[c[rid > low] for c in (rid, pos, span, step, n, low, at)]]
-            head = np.flatnonzero(new & (span >= length))
-            if len(head):
-                rows = [c[head] for c in (k, rid, pos, span)] + [many[head], np.zeros(len(head), bool)]
-                if last is not None:
-                    rows = [np.concatenate([[a], b]) for a, b in zip(last, rows)]
-                hk, hrid, hpos, hspan, hmany, done = rows
-                same = np.concatenate([[False], hk[1:] == hk[:-1]])
-                opens = (same | np.append(same[1:], False) | hmany) & ~done
-                out.append([hrid[opens], hpos[opens], hspan[opens], 0 * hpos[opens], 0 * hpos[opens] + 1, None, None])
-                last = (hk[-1], hrid[-1], hpos[-1], hspan[-1], hmany[-1], bool(opens[-1] or done[-1]))
+            turn = np.concatenate([[deal != k[0]], k[1:] != k[:-1]])
+            group = np.cumsum(turn) - turn[0]
+            count = np.bincount(group, new).astype(np.int64)
+            if turn[0]:
+                held = []
+            else:
+                count[0] += runs
+            open_, mine = many | (count[group] > 1), (rid == low) & (span >= length)
+            if count[0] > 1:
+                out += [[*rows, None, None] for rows in held]
+            if count[0] > 1 or group[-1]:
+                held = []
+            out.append([*(c[mine & open_] for c in (rid, pos, span, step, n)), None, None])
+            waits = mine & ~open_ & (group == group[-1])
+            held += [[c[waits] for c in (rid, pos, span, step, n)]] if waits.any() else []
+            deal, runs = k[-1], count[-1]
             for r, p, s, t, m, a, b in out:
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(c, pa.int32()) for c in (p, s, t, m)), pa.nulls(len(r), pa.int64()) if a is None else pa.array(a), pa.nulls(len(r), pa.int32()) if b is None else pa.array(b, pa.int32())], names=["rid", "pos", "span", "step", "n", "low", "at"])
@@ -267,12 +277,10 @@ def settled(seeds: DataFrame, length: int, opens: bool = True) -> DataFrame:
     # A very frequent extent: its first seed, combined before it moves, comes back by broadcast. Of a x with several g all are
     # taken: an extent that is told twice proposes its matches twice, and no more.
     frequent = F.col("x").isin([r.x for r in hot.select("x").distinct().collect()])  # fewer than HOT
-    first = durable(seeds.where(frequent).groupBy("g", "x").agg(F.min(F.struct("rid", "pos", "span")).alias("_f")))
-    again = seeds.join(F.broadcast(first), ["g", "x"], "left").where(F.col("rid") > F.coalesce("_f.rid", F.lit(LAST))).select("rid", "pos", "span", "step", "n", F.col("_f.rid").alias("low"), F.col("_f.pos").alias("at"))
-    out = out.unionByName(again)
-    if opens:
-        out = out.unionByName(first.where(F.col("_f.span") >= length).selectExpr("_f.rid as rid", "_f.pos as pos", "_f.span as span", "0 step", "1 n", "cast(null as long) low", "cast(null as int) at"))
-    return out
+    first = durable(seeds.where(frequent).groupBy("g", "x").agg(F.min(F.struct("rid", "pos")).alias("_f")))
+    later, open_ = F.col("rid") > F.col("_f.rid"), F.lit(opens) & (F.col("rid") == F.col("_f.rid")) & (F.col("span") >= length)
+    again = seeds.join(F.broadcast(first), ["g", "x"]).where(later | open_)
+    return out.unionByName(again.select("rid", "pos", "span", "step", "n", F.when(later, F.col("_f.rid")).alias("low"), F.when(later, F.col("_f.pos")).alias("at")))
 
 
 def matches(rows: DataFrame, grain: Grain) -> DataFrame:
@@ -281,7 +289,7 @@ def matches(rows: DataFrame, grain: Grain) -> DataFrame:
     seeds = durable(_seeds(rows, grain))
     found = durable(settled(seeds, grain.length))
     release(seeds)
-    opens = found.where("low is null").groupBy("rid").agg(F.collect_list(F.struct("pos", "span")).alias("_open"))
+    opens = found.where("low is null").groupBy("rid").agg(F.collect_list(F.struct("pos", "span", "step", "n")).alias("_open"))
     singles = durable(_singles(rows.join(opens, rows._rid == opens.rid).select("_rid", "text", "_open"), grain))
     pairs = found.where("low is not null").unionByName(settled(singles, grain.length, opens=False))
     d = pairs.select("rid", "low", "step", "n", (F.col("pos") - F.col("at")).alias("diag"), F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end"))
