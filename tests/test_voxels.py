@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelgraph.functions import basis
 from voxelgraph.functions.series import gaussian_kernel, gaussian_smooth, matrix, smoothing_matrix, with_standardized
-from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, tables
+from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, pairs, tables
 from voxelgraph.operators.pairs import edges26
 from voxelgraph.operators.spectral import eigenvectors, randomized_eigenvectors, resolve_spectral_hyper, spectral_clustering
 from voxelgraph.plans import registry
@@ -683,3 +683,31 @@ def test_elastic_distance(spark, monkeypatch, reach, penalty):
     for r in kernels.edge_srvf(v, e, warp="elastic").collect():
         x = {w.voxel_id: np.array(w.q) for w in v.withColumn("q", srvf(F.col("series"))).collect()}
         assert r.w == pytest.approx(plain_elastic(x[r.i_idx], x[r.j_idx], 4, 0.0))
+
+
+def test_sums_made_in_tiles_equal_those_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST", 2)
+    monkeypatch.setattr(pairs, "WIDE", 3)
+    rng = np.random.default_rng(12)
+    v = sources.from_arrays(spark, rng.normal(size=(2, 40, 6)), np.array([[i, 0, 0] for i in range(40)]))
+    labels = v.select("subject_id", "voxel_id", (F.col("voxel_id") % 4).cast("int").alias("label")).where("voxel_id <> 7")
+    w = kernels.correlation_adjacency(v, r_min=0.2, block_size=64)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    ends = kernels.correlation_ends(v, labels, 0.2, block_size=5)
+    assert rows(metrics.silhouette_of_ends(ends, labels)) == rows(metrics.silhouette_strict(w, labels))
+    assert rows(metrics.modularity_of_ends(ends)) == rows(metrics.modularity(w, labels))
+    near = kernels.correlation_near(v, labels.where("label > 0"), 0.2, block_size=5)
+    for rest in ("nearest", "all"):
+        assert rows(metrics.silhouette_of_near(near, rest)) == rows(metrics.silhouette_graph(w, labels, rest))
+    assert rows(kernels.correlation_normalized(v, 0.2, block_size=5)) == rows(graph.normalized(w))
+    assert rows(kernels.correlation_adjacency(v, r_min=0.2, block_size=5)) == rows(w)
+
+
+def test_parts_of_all_pairs_travel_a_bounded_number_of_times(spark, monkeypatch):
+    held = []
+    real = pairs.F.sequence
+    monkeypatch.setattr(pairs.F, "sequence", lambda a, b: held.append(b) or real(a, b))
+    rows = spark.range(2000).select(F.lit(0).alias("subject_id"), F.col("id").alias("voxel_id"), F.array(F.lit(1.0)).alias("series"))
+    out = pairs.tiles(rows, lambda s, i, x, j, y: ([len(i) * (len(i) - 1) // 2 if j is None else len(i) * len(j)],), "n long", 16)
+    assert out.agg(F.sum("n")).first()[0] == 2000 * 1999 // 2  # every pair once
+    assert spark.range(1).select(held[0]).first()[0] < 20  # parts; blocks of 16 would be 125
