@@ -711,3 +711,16 @@ def test_parts_of_all_pairs_travel_a_bounded_number_of_times(spark, monkeypatch)
     out = pairs.tiles(rows, lambda s, i, x, j, y: ([len(i) * (len(i) - 1) // 2 if j is None else len(i) * len(j)],), "n long", 16)
     assert out.agg(F.sum("n")).first()[0] == 2000 * 1999 // 2  # every pair once
     assert spark.range(1).select(held[0]).first()[0] < 20  # parts; blocks of 16 would be 125
+
+
+def test_last_rounds_of_merging_in_one_task_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pick = [(s, i, j, float(rng.integers(1, 9))) for s, n in ((0, 14), (1, 25)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.3]
+    w = spark.createDataFrame(pick + [(2, 0, i, 1.0) for i in range(1, 9)], "subject_id int, i_idx long, j_idx long, w double")
+    rows = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in greedy.dendrogram(w).collect())
+    tables = []
+    monkeypatch.setattr(greedy, "durable", lambda df, real=greedy.durable: tables.append(df) or real(df))
+    whole = rows()
+    assert len(tables) < 6  # a star of nine took eight rounds of three tables
+    monkeypatch.setattr(greedy, "HELD", 12)
+    assert rows() == whole
