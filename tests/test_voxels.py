@@ -724,3 +724,48 @@ def test_last_rounds_of_merging_in_one_task_are_the_same(spark, monkeypatch):
     assert len(tables) < 6  # a star of nine took eight rounds of three tables
     monkeypatch.setattr(greedy, "HELD", 12)
     assert rows() == whole
+
+
+def _lattice(spark, s=2, v=60, t=24):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, t))
+    data = base[np.arange(v) % 3][None] + rng.normal(size=(s, v, t))
+    return sources.from_arrays(spark, data, np.stack([np.arange(v), np.zeros(v), np.zeros(v)], axis=1))
+
+
+def test_tiles_multiply_as_their_edges_do(spark, monkeypatch):
+    from voxelgraph.operators import spectral
+
+    v = _lattice(spark)
+    edges, tiles = kernels.all_pairs(v, "l2", 0.2), kernels.all_pairs_graph(v, "l2", 0.2, block_size=16)
+    norm = tiles.normal()[0]
+    want, got = (randomized_eigenvectors(n, 3, 6, 1) for n in (graph.normalized(edges.where("subject_id = 0")), norm.only([0])))
+    assert np.allclose(want[0], got[0], atol=1e-9)
+    few = lambda d: {(r.subject_id, r.voxel_id): r.label for r in d.collect()}
+    small = few(spectral_clustering(tiles, v, 3))
+    monkeypatch.setattr(spectral, "DENSE", 2)
+    assert few(spectral_clustering(tiles, v, 3)) == small
+
+
+def test_consensus_clusters_need_no_pairs(spark, monkeypatch):
+    from voxelgraph.operators import spectral
+
+    rng = np.random.default_rng(5)
+    labels = np.where(rng.random((3, 90)) < 0.8, np.arange(90)[None] % 3 + 1, rng.integers(0, 4, (3, 90)))
+    table = spark.createDataFrame([(s, n, int(labels[s, n])) for s in range(3) for n in range(90)], "subject_id int, voxel_id long, label int")
+    nodes = table.where("subject_id = 0").select("subject_id", "voxel_id")
+    w = consensus.consensus_all_pairs(table).where("w > 0").select(F.lit(0).alias("subject_id"), "i_idx", "j_idx", "w")
+    left = consensus.leave_one_out_all_pairs(table).where("w > 0").select(F.col("held_out").alias("subject_id"), "i_idx", "j_idx", "w")
+    few = lambda d: {(r.subject_id, r.voxel_id): r.label for r in d.collect()}
+    want = few(spectral_clustering(w, nodes, 3)), few(spectral_clustering(left, table, 3))
+    assert consensus.consensus_clusters(table, nodes, 3) is None  # few voxels: the graph itself
+    monkeypatch.setattr(spectral, "DENSE", 85)
+    assert few(consensus.consensus_clusters(table, nodes, 3)) == want[0]
+    assert few(consensus.consensus_clusters(table, table, 3, True)) == want[1]
+
+
+def test_grams_of_subjects_that_differ_in_length(spark):
+    rows = spark.createDataFrame([(s, [float(s + c + n) for c in range(s + 2)]) for n in range(4) for s in (0, 1)], "subject_id int, series array<double>").coalesce(1)
+    got = {r.subject_id: r for r in basis.grams(rows).collect()}
+    assert {s: (r.n, len(r.sums), len(r.gram)) for s, r in got.items()} == {0: (4, 2, 4), 1: (4, 3, 9)}
+    assert got[0].sums == [6.0, 10.0] and got[1].sums == [10.0, 14.0, 18.0]

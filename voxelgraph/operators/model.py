@@ -20,6 +20,7 @@ from voxelgraph.functions.series import lists, matrix
 from voxelgraph.operators import spectral
 from voxelgraph.operators.eigen import settled_eigenvectors
 from voxelgraph.operators.graph import degrees, normalized
+from voxelgraph.operators.tiled import TiledGraph
 from voxelgraph.storage import durable, release
 
 
@@ -32,10 +33,13 @@ class SpectralModel:
     active: DataFrame  # subject_id, voxel_id, strength
 
 
-def spectrum(norm: DataFrame, sizes: dict[int, int], k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def spectrum(norm: DataFrame | TiledGraph, sizes: dict[int, int], k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Written tables subject_id, component, eigenvalue and subject_id, voxel_id, vector: the k largest of each subject. norm: normalised
-    edges, a written table; sizes: nodes of each subject."""
-    large = norm.sparkSession.createDataFrame([(s,) for s, n in sizes.items() if n > spectral.DENSE], "subject_id int")
+    edges, a written table, or a normal graph of tiles; sizes: nodes of each subject."""
+    tiled, most = isinstance(norm, TiledGraph), {s for s, n in sizes.items() if n > spectral.DENSE}
+    spark = (norm.rows if tiled else norm).sparkSession
+    large = spark.createDataFrame([(s,) for s in sorted(most)], "subject_id int")
+    few = norm.only(set(sizes) - most).edges() if tiled else norm.join(F.broadcast(large), "subject_id", "left_anti")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([pdf["i_idx"], pdf["j_idx"]]))
@@ -46,13 +50,13 @@ def spectrum(norm: DataFrame, sizes: dict[int, int], k: int, seed: int = 42) ->
         value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
         return pd.DataFrame({"subject_id": pdf["subject_id"].iloc[0], "voxel_id": [-1, *nodes], "vector": [value, *vector]})
 
-    dense = norm.join(F.broadcast(large), "subject_id", "left_anti").groupBy("subject_id").applyInPandas(solve, "subject_id int, voxel_id long, vector array<double>")
+    dense = few.groupBy("subject_id").applyInPandas(solve, "subject_id int, voxel_id long, vector array<double>")
     dense = durable(dense)
     values = dense.where("voxel_id = -1").select("subject_id", F.posexplode("vector").alias("component", "eigenvalue"))
     vectors = dense.where("voxel_id >= 0")
-    if any(n > spectral.DENSE for n in sizes.values()):
-        value, y, _ = settled_eigenvectors(norm.join(F.broadcast(large), "subject_id"), k, seed=seed)
-        more = norm.sparkSession.createDataFrame([(s, c, float(x)) for s, v in value.items() for c, x in enumerate(v)], "subject_id int, component int, eigenvalue double")
+    if most:
+        value, y, _ = settled_eigenvectors(norm.only(most) if tiled else norm.join(F.broadcast(large), "subject_id"), k, seed=seed)
+        more = spark.createDataFrame([(s, c, float(x)) for s, v in value.items() for c, x in enumerate(v)], "subject_id int, component int, eigenvalue double")
         values = values.unionByName(more)
         vectors = vectors.unionByName(y.select("subject_id", "voxel_id", F.array(*[f"y{c}" for c in range(k)]).alias("vector")))
     return durable(values.withColumn("component", F.col("component") + 1)), durable(vectors)
@@ -153,16 +157,23 @@ def assigned(vectors: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFra
     return got.join(F.broadcast(number), ["subject_id", "cluster"]).drop("cluster"), centres.join(number, ["subject_id", "cluster"], "left").select("subject_id", "label", "centre")
 
 
-def spectral_model(weights: DataFrame, voxels: DataFrame, n_clusters: int, batch: int = 5000, kmeans_nstart: int = 10, kmeans_itermax: int = 100, random_state: int = 42) -> SpectralModel:
+def spectral_model(weights: DataFrame | TiledGraph, voxels: DataFrame, n_clusters: int, batch: int = 5000, kmeans_nstart: int = 10, kmeans_itermax: int = 100, random_state: int = 42) -> SpectralModel:
     """Normalised-cut clustering of each subject by mini-batch k-means, with its spectrum, centres and active nodes."""
-    w = durable(weights.where("w > 0").select(F.col("subject_id").cast("int").alias("subject_id"), "i_idx", "j_idx", "w"))
-    active = durable(degrees(w).select("subject_id", "voxel_id", "strength"))
+    if isinstance(weights, TiledGraph) and weights.largest() <= spectral.DENSE:
+        weights = weights.edges()
+    tiled = isinstance(weights, TiledGraph)
+    if tiled:
+        norm, active = weights.positive().normal()
+    else:
+        w = durable(weights.where("w > 0").select(F.col("subject_id").cast("int").alias("subject_id"), "i_idx", "j_idx", "w"))
+        active = durable(degrees(w).select("subject_id", "voxel_id", "strength"))
     sizes = {r.subject_id: r.n for r in active.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     if n_clusters <= 0 or any(n <= n_clusters for n in sizes.values()):
         raise ValueError("n_clusters must be positive and smaller than the number of active nodes")
-    norm = durable(normalized(w))
+    norm = norm if tiled else durable(normalized(w))
     values, vectors = spectrum(norm, sizes, n_clusters, random_state)
-    release(w, norm)
+    if not tiled:
+        release(w, norm)
     centres = durable(mini_batch_centres(vectors, n_clusters, batch, kmeans_nstart, kmeans_itermax, random_state))
     labels, named = assigned(vectors, centres)
     every = voxels.select(F.col("subject_id").cast("int").alias("subject_id"), "voxel_id").join(labels, ["subject_id", "voxel_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
