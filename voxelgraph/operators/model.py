@@ -39,7 +39,7 @@ def spectrum(norm: DataFrame | TiledGraph, sizes: dict[int, int], k: int, seed:
     tiled, most = isinstance(norm, TiledGraph), {s for s, n in sizes.items() if n > spectral.DENSE}
     spark = (norm.rows if tiled else norm).sparkSession
     large = spark.createDataFrame([(s,) for s in sorted(most)], "subject_id int")
-    few = norm.only(set(sizes) - most).edges() if tiled else norm.join(F.broadcast(large), "subject_id", "left_anti")
+    few = normalized(norm.only(set(sizes) - most).edges()) if tiled else norm.join(F.broadcast(large), "subject_id", "left_anti")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([pdf["i_idx"], pdf["j_idx"]]))
