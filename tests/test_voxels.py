@@ -10,7 +10,7 @@ from voxelgraph.functions.series import gaussian_kernel, gaussian_smooth, matrix
 from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, pairs, tables
 from voxelgraph.operators.pairs import edges26
 from voxelgraph.operators.spectral import eigenvectors, randomized_eigenvectors, resolve_spectral_hyper, spectral_clustering
-from voxelgraph.plans import registry
+from voxelgraph.plans import queries as registered, registry
 from voxelgraph.plans.pipeline import Pipeline
 from voxelgraph.sources import sinks, voxels as sources
 from voxelgraph.streaming import ingest
@@ -371,6 +371,23 @@ def test_graph_rules(spark):
     assert edge_map(graph.simplified(twice)) == {(0, 1): 0.8, (0, 2): 0.6}
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_entries_of_a_pair_are_folded_without_a_shuffle(spark, tmp_path, repeated):
+    x = np.random.default_rng(4).normal(size=(40, 6))
+    ids = [*range(39), 0 if repeated else 39]
+    spark.createDataFrame([(n, e.tolist()) for n, e in zip(ids, x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, fold in (("symmetrize", graph.symmetrized), ("simplify", graph.simplified)):
+        got = registered.queries()[name](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(subject_id" in plan and "i_idx" in plan.split("hashpartitioning(subject_id")[1].split(")")[0]) == repeated
+        want = fold(registered._entries(spark, str(tmp_path)))
+        rows = lambda df: sorted((r.i_idx, r.j_idx, round(r.w, 6)) for r in df.collect())
+        assert rows(got) == rows(want) and got.count() > 50
+    part = spark.createDataFrame([(0, 1, 2, 0.4, 0.8), (0, 1, 3, None, -0.6), (0, 2, 3, 0.2, None), (0, 3, 4, None, None)], "subject_id int, i_idx long, j_idx long, up double, down double")
+    assert edge_map(graph.symmetrized_pairs(part)) == {(1, 2): pytest.approx(0.6), (1, 3): -0.3, (2, 3): 0.1}
+    assert edge_map(graph.simplified_pairs(part)) == {(1, 2): 0.8, (1, 3): -0.6, (2, 3): 0.2}
+
+
 def test_silhouettes(spark):
     w, v = blocks(spark)
     labels = v.withColumn("label", F.when(F.col("voxel_id") < 18, (F.col("voxel_id") / 6).cast("int") + 1).otherwise(0))
