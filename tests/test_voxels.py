@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelgraph.functions import basis
 from voxelgraph.functions.series import gaussian_kernel, gaussian_smooth, matrix, smoothing_matrix, with_standardized
-from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, pairs, tables
+from voxelgraph.operators import consensus, graph, greedy, kernels, metrics, pairs, spectral, tables
 from voxelgraph.operators.pairs import edges26
 from voxelgraph.operators.spectral import eigenvectors, randomized_eigenvectors, resolve_spectral_hyper, spectral_clustering
 from voxelgraph.plans import queries as registered, registry
@@ -388,6 +388,25 @@ def test_entries_of_a_pair_are_folded_without_a_shuffle(spark, tmp_path, repeate
     assert edge_map(graph.simplified_pairs(part)) == {(1, 2): 0.8, (1, 3): -0.6, (2, 3): 0.2}
 
 
+def test_kmeans_runs_are_light_and_the_same_as_tasks(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60_000, 8)) + 4 * np.eye(8)[rng.integers(0, 8, 60_000)]
+    tracemalloc.start()
+    labels = spectral.kmeans(x, 8, 1, 3)
+    assert tracemalloc.get_traced_memory()[1] < 8 * x.nbytes  # no number for each row, centre and column
+    tracemalloc.stop()
+    assert len(np.unique(labels)) == 8
+    rows = [(s, n, *map(float, x[s * 300 + n])) for s in range(2) for n in range(300)]
+    y = spark.createDataFrame(rows, "subject_id int, voxel_id long, " + ", ".join(f"y{c} double" for c in range(8)))
+    got = {(r.subject_id, r.voxel_id): r.label for r in spectral.clustered(y, 8, 4, 50, 3).collect()}
+    for s in range(2):
+        own = x[s * 300 : s * 300 + 300]
+        want = spectral.numbered(spectral.kmeans(own / np.linalg.norm(own, axis=1, keepdims=True), 8, 4, 50, 3))
+        assert [got[s, n] for n in range(300)] == want.tolist()
+
+
 def test_silhouettes(spark):
     w, v = blocks(spark)
     labels = v.withColumn("label", F.when(F.col("voxel_id") < 18, (F.col("voxel_id") / 6).cast("int") + 1).otherwise(0))
