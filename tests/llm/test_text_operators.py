@@ -573,6 +573,23 @@ def test_rules_verdicts_match_brute_force(spark):
         assert r.kept == (not r.base_failed and r.path >= least)
 
 
+def test_rules_threshold_is_of_all_labelled_rows(spark):
+    docs, lab = big(spark)
+    out = rules.judge(docs, lab, per_class=5, keep=0.7).join(lab, "doc_id").collect()
+    good = [r.path for r in out if r.quality == 1 and not r.base_failed]
+    assert len(good) > 50
+    least = np.quantile(good, 1 - 0.7)
+    assert all(r.kept == (not r.base_failed and r.path >= least) for r in out)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.005, 0.3, 0.5, 1.0])
+def test_quantile_by_counting(spark, q):
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=500) ** 3, np.repeat([1.0, 2.0], 150), np.ones(40), np.concatenate([rng.uniform(size=200), [1e9]])):
+        df = spark.createDataFrame([(float(v),) for v in x], "v double")
+        assert training.quantile(df, q, 4, 3) == pytest.approx(np.quantile(x, q), rel=1e-12)
+
+
 def test_isolation_forest_cuts_off_far_points():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))

@@ -6,6 +6,7 @@ labels aren't sampled; of rows that repeat an id, one is; an empty table gives a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,3 +46,26 @@ def sample_texts(docs: DataFrame, ids: DataFrame, most_chars: int = 60_000_000)
     got = rows.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()
     at = {i: n for n, i in enumerate(chosen)}
     return got.assign(order=got["doc_id"].map(at)).sort_values("order")[["doc_id", "text", "label"]].reset_index(drop=True)
+
+
+def quantile(values: DataFrame, q: float, bins: int = 4096, listed: int = 50_000) -> float | None:
+    """np.quantile() of all values of the only column (no nulls), exactly; null without rows. Values are counted by bins, then those of the
+    bin that holds the rank, until at most `listed` are left to be listed: nothing is sorted or gathered whole."""
+    x = values.toDF("x")
+    inside, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not inside:
+        return None
+    at, below = (inside - 1) * q, 0
+    first, last = int(at), min(int(at) + 1, inside - 1)
+    while inside > listed and high > low:
+        place = F.least(F.floor((F.col("x") - low) / ((high - low) / bins)), F.lit(bins - 1))
+        each = x.where(F.col("x").between(low, high)).groupBy(place.alias("at")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("at").collect()  # bins rows
+        upto = below + np.cumsum([r.n for r in each])
+        a, b = (int(np.searchsorted(upto, rank, side="right")) for rank in (first, last))
+        if a != b:  # the last value of one bin, the first of the next
+            return float(np.quantile([each[a].high, each[b].low], at - first))
+        inside, low, high, below = each[a].n, each[a].low, each[a].high, int(upto[a]) - each[a].n
+    if low == high:
+        return float(low)
+    got = np.sort(x.where(F.col("x").between(low, high)).toPandas()["x"].to_numpy())
+    return float(np.quantile([got[first - below], got[last - below]], at - first))
