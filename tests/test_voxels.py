@@ -388,6 +388,17 @@ def test_entries_of_a_pair_are_folded_without_a_shuffle(spark, tmp_path, repeate
     assert edge_map(graph.simplified_pairs(part)) == {(1, 2): 0.8, (1, 3): -0.6, (2, 3): 0.2}
 
 
+def test_histogram_bins_are_those_of_the_edges():
+    from voxelgraph.operators import medians
+
+    rng = np.random.default_rng(6)
+    for bracket in ((np.nextafter(0, 1), 3.0), (1.2, 1.3), (1.0, np.nextafter(1.0, 2)), (1.0, 1.0 + 1e-13), (5e-324, 1e-300)):
+        e = medians.edges(bracket)
+        x = np.concatenate([rng.normal(size=5000) ** 2, e, np.nextafter(e, 9), np.nextafter(e, -9), rng.uniform(*bracket, 5000)])
+        want = np.bincount(np.searchsorted(e, x, side="right"), minlength=medians.BINS + 2)[: medians.BINS + 1]
+        assert (medians.histogram(x, bracket) == want).all()
+
+
 def test_kmeans_runs_are_light_and_the_same_as_tasks(spark):
     import tracemalloc
 
