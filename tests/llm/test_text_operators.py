@@ -15,6 +15,7 @@ from voxelgraph.llm import exact_dedup, language, mixing, packing, quality, repe
 from voxelgraph.llm import queries as text_queries
 from voxelgraph.llm.components import components
 from voxelgraph.llm.text import Powers, Texts
+from voxelgraph.storage import durable
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _words string"
@@ -716,6 +717,17 @@ def test_mixing_meets_reachable_targets(spark):
     assert np.linalg.norm((reached - target) / np.sqrt(scale)) <= best + 0.005 * np.linalg.norm(target / np.sqrt(scale))
 
 
+def test_mixing_steps_share_their_generated_code(spark):
+    """Each step with its own literals was compiled anew, on the driver and in every executor: memory that grew from step to step."""
+    half = F.rand(3)
+    members = durable(spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 + 1).alias("tokens"), F.array(half, 1 - half).alias("p")))
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount
+    mixing.fit_rates(members, ["a", "b"], {"a": 0.5, "b": 0.5}, close=1e-6)
+    before = compiled()
+    mix = mixing.fit_rates(members, ["a", "b"], {"a": 0.62, "b": 0.38}, close=1e-6)
+    assert mix.steps > 1 and compiled() == before
+
+
 def test_mixing_memberships_follow_labels(spark):
     docs, lab = big(spark)
     mix = mixing.mix_documents(docs, mixing.quality_domains(lab), {"clean": 0.94, "low": 0.03, "toxic": 0.03})

@@ -167,32 +167,35 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
     scale = np.sqrt(np.maximum(np.diag(m), 1e-9))
     reach = max(np.linalg.eigvalsh(m / np.outer(scale, scale)).max(), 1e-9)
 
-    def measured(*rates: Column) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of the rates, in one pass: expected totals, and second moments of the documents that are not held at a bound."""
-        sums, rows = [], members.withColumns({f"_r{n}": r for n, r in enumerate(rates)})
-        for n in range(len(rates)):
-            r = F.col(f"_r{n}")
-            free = F.when((r > 0) & (r < max_rate), tokens).otherwise(0.0)
-            sums += [F.sum(r * tokens * x) for x in p] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
+    def moved(start: Column, g: list[Column]) -> Column:
+        r = start
+        for x, y in zip(g, p):
+            r = r - x * y
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r))
+
+    def measured(*tried: tuple[float, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each start and direction, in one pass: expected totals, and second moments of the documents that are not held at a bound.
+        They are rows and not literals of the sums, so that every step runs the same generated code."""
+        each = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("start"), F.array(*[F.lit(float(x)) for x in g]).alias("g")) for n, (a, g) in enumerate(tried)])
+        rows = members.select("tokens", "p", F.explode(each).alias("_t"))
+        rows = rows.select("tokens", "p", F.col("_t.n").alias("_n"), moved(F.col("_t.start"), [F.col("_t.g")[i] for i in range(k)]).alias("_r"))
+        r = F.col("_r")
+        free = F.when((r > 0) & (r < max_rate), tokens).otherwise(0.0)
+        sums = [F.sum(r * tokens * x) for x in p] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
+        found = {row[0]: np.array([x or 0.0 for x in row[1:]]) for row in rows.groupBy("_n").agg(*sums).collect()}
         out = []
-        for got in np.array([x or 0.0 for x in rows.agg(*sums).first()]).reshape(len(rates), -1):
-            f = np.zeros((k, k))
+        for n in range(len(tried)):
+            got, f = found.get(n, np.zeros(k + k * (k + 1) // 2)), np.zeros((k, k))
             f[np.triu_indices(k)] = got[k:]
             out.append((got[:k], f + np.triu(f, 1).T))
         return out
 
-    def moved(start: float, g: np.ndarray) -> Column:
-        r = F.lit(start)
-        for x, y in zip(g, p):
-            r = r - F.lit(float(x)) * y
-        return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r))
-
     done, all_tokens, tried_all = 0, have.sum(), []
     for total in totals:
         target, start = w * total, float(min(max_rate, total / all_tokens)) if all_tokens else 0.0
         unit = np.maximum(np.where(target > 0, target, total), 1e-9)  # misses count relative to each domain's target
         gone, sizes = np.zeros(k), []
-        best, free = measured(moved(start, gone))[0]
+        best, free = measured((start, gone))[0]
         for _ in range(steps):
             e = best - target
             sizes.append(float(np.linalg.norm(e / unit)))
@@ -203,7 +206,7 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
             # The gradient scaled by the free documents' moments, parts of that, and, where the bounds spoil all, the plain scaled step.
             newton = np.linalg.lstsq(free + 1e-6 * np.diag(scale**2), e, rcond=None)[0]
             tried = [gone + g for g in (newton, newton / 3, newton / 10, e / scale**2 / reach)]
-            found = measured(*[moved(start, g) for g in tried])
+            found = measured(*[(start, g) for g in tried])
             n = int(np.argmin([np.linalg.norm((now - target) / unit) for now, _ in found]))
             gone, (best, free) = tried[n], found[n]
         tried_all.append((target, best, start, gone))
@@ -211,7 +214,7 @@ def fit_rates(members: DataFrame, domains: list, weights: dict, total: float | N
             break
     else:  # none can be met: the largest total, as near as it came
         target, best, start, gone = tried_all[0]
-    rate = moved(start, gone)
+    rate = moved(F.lit(start), [F.lit(float(x)) for x in gone])
     return Mix(domains, target.tolist(), best.tolist(), done, members.withColumn("rate", rate))
 
 
