@@ -816,3 +816,18 @@ def test_grams_of_subjects_that_differ_in_length(spark):
     got = {r.subject_id: r for r in basis.grams(rows).collect()}
     assert {s: (r.n, len(r.sums), len(r.gram)) for s, r in got.items()} == {0: (4, 2, 4), 1: (4, 3, 9)}
     assert got[0].sums == [6.0, 10.0] and got[1].sums == [10.0, 14.0, 18.0]
+
+
+def test_a_tile_counts_kinds_of_voxels_and_makes_the_kept_pairs_only():
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(400)
+    i, j, x = ids[:200], ids[200:], rng.integers(0, 3, (400, 3)).astype(float)
+    for left, right in ((i, None), (i, j)):
+        to = left if right is None else right
+        (a, own), (b, other) = consensus._kinds(x[left]), consensus._kinds(x[to])
+        assert len(a) <= 27 and (a[own] == x[left]).all()
+        agree, cnt = consensus._counted(a, b)
+        got = consensus._cells(left, own, right, other, agree > 0, agree, cnt)
+        pairs = {(min(u, v), max(u, v)) for u in left for v in to if u != v}
+        want = {(u, v, n, int(((x[u] > 0) & (x[v] > 0)).sum())) for u, v in pairs if (n := int(((x[u] == x[v]) & (x[u] > 0)).sum()))}
+        assert len(got[0]) == len(want) and set(zip(*(c.tolist() for c in got))) == want
