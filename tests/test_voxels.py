@@ -831,3 +831,28 @@ def test_a_tile_counts_kinds_of_voxels_and_makes_the_kept_pairs_only():
         pairs = {(min(u, v), max(u, v)) for u in left for v in to if u != v}
         want = {(u, v, n, int(((x[u] > 0) & (x[v] > 0)).sum())) for u, v in pairs if (n := int(((x[u] == x[v]) & (x[u] > 0)).sum()))}
         assert len(got[0]) == len(want) and set(zip(*(c.tolist() for c in got))) == want
+
+
+@pytest.mark.parametrize("method", ["correlation", "l2"])
+def test_rough_products_keep_the_weights_that_exact_ones_keep(spark, method):
+    from voxelgraph.operators import tiled
+
+    rng = np.random.default_rng(8)
+    x = kernels.standardize(rng.normal(size=(300, 12)))
+    side = kernels.standardize(rng.normal(size=(300, 12)))
+    side -= (side * x).sum(1, keepdims=True) / 11 * x
+    side *= np.sqrt(11) / np.linalg.norm(side, axis=1, keepdims=True)
+    r = 0.3 + rng.choice([-1e-12, -1e-8, 1e-12, 1e-8], 300)[:, None]  # in single precision all of these are the cut
+    y = r * x + np.sqrt(1 - r * r) * side
+    finish = (lambda s, d: np.exp(-d * d / 2)) if method == "l2" else None
+    cut = float(np.exp(-0.7)) if finish else 0.3  # of rows with r = 0.3 the squared distance over T is 1.4 * 11 / 12
+    cut = float(np.exp(-0.7 * 11 / 12)) if finish else cut
+    g = tiled.TiledGraph(None, kernels.rms if finish else kernels.correlation, kernels._predicate(cut, False), finish, error=kernels._rounding(method, "rbf", finish), cut=cut)
+    exact, rough = (np.vstack([w for _, w in g.weigher(quick)(0, x, y)]) for quick in (False, True))
+    assert exact.dtype == np.float64 and rough.dtype == np.float32
+    assert ((exact > 0) == (rough > 0)).all() and np.abs(exact - rough).max() < 1e-5
+    assert 100 < np.diag(exact > 0).sum() < 200 and np.abs(np.diag(exact)[np.diag(exact) > 0] - cut).max() < 1e-6
+    norm = kernels.all_pairs_graph(_lattice(spark), method, 0.2, block_size=16).normal()[0]
+    cur = norm.rows.select("subject_id", "voxel_id", F.array(F.lit(1.0), F.sin("voxel_id")).alias("cur"))
+    a, b = (np.stack(norm.times(cur, quick).orderBy("subject_id", "voxel_id").toPandas().cur) for quick in (False, True))
+    assert 0 < np.abs(a - b).max() < 1e-6
