@@ -856,3 +856,26 @@ def test_rough_products_keep_the_weights_that_exact_ones_keep(spark, method):
     cur = norm.rows.select("subject_id", "voxel_id", F.array(F.lit(1.0), F.sin("voxel_id")).alias("cur"))
     a, b = (np.stack(norm.times(cur, quick).orderBy("subject_id", "voxel_id").toPandas().cur) for quick in (False, True))
     assert 0 < np.abs(a - b).max() < 1e-6
+
+
+@pytest.mark.parametrize("wrong", [False, True])
+def test_medians_of_all_pairs_from_a_guess(spark, monkeypatch, wrong):
+    from voxelgraph.operators import medians
+
+    monkeypatch.setattr(kernels, "GUESS", 12)
+    monkeypatch.setattr(kernels, "GUESSED", 0.2)
+    monkeypatch.setattr(medians, "LISTED", 20)
+    if wrong:
+        real = kernels._guessed
+        monkeypatch.setattr(kernels, "_guessed", lambda *a: {s: (lo / 9, hi / 9) for s, (lo, hi) in real(*a).items()})
+    base = kernels.map_series(_lattice(spark), kernels.standardize).select("subject_id", "voxel_id", "series")
+    passes, counted = [], kernels.dealt
+    monkeypatch.setattr(kernels, "dealt", lambda *a: passes.append(a[2]) or counted(*a))
+    got = kernels._far_medians(base, 16)
+    for s, rows in base.toPandas().groupby("subject_id"):
+        x = np.stack(rows.series)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).mean(2))[np.triu_indices(60, 1)]
+        assert got[s] == pytest.approx(np.median(d), rel=1e-12)
+    assert len(passes) == (3 if wrong else 2)  # a count and a list, one count more where the guess was wrong
+    x = np.stack(rows.series)
+    assert kernels.tile_histogram(np.arange(60), x, None, None, (1.0, 1.2)).sum() == 60 * 59 // 2
