@@ -879,3 +879,43 @@ def test_medians_of_all_pairs_from_a_guess(spark, monkeypatch, wrong):
     assert len(passes) == (3 if wrong else 2)  # a count and a list, one count more where the guess was wrong
     x = np.stack(rows.series)
     assert kernels.tile_histogram(np.arange(60), x, None, None, (1.0, 1.2)).sum() == 60 * 59 // 2
+
+
+@pytest.mark.parametrize(("full", "r_min"), [(0.15, 0.0), (2.0, None), (0.0, 0.5)])
+def test_a_group_of_tiles_makes_k_candidates_a_voxel(spark, monkeypatch, full, r_min):
+    monkeypatch.setattr(pairs, "FULL", full)
+    monkeypatch.setattr(pairs, "MOST", 2)
+    rng = np.random.default_rng(6)
+    v = sources.from_arrays(spark, rng.integers(0, 3, (2, 70, 4)).astype(float), np.array([[i, 0, 0] for i in range(70)]))
+    dots = lambda a, b: a @ b.T / 8  # noqa: E731  many ties
+    made, real = [], pairs.dealt
+    monkeypatch.setattr(pairs, "dealt", lambda *a: made.append(real(*a)) or made[-1])
+    got = {(r.subject_id, r.i_idx, r.j_idx): r.w for r in kernels.all_pairs_top(v, 3, dots, r_min=r_min, block_size=8).collect()}
+    monkeypatch.undo()
+    assert got == {(r.subject_id, r.i_idx, r.j_idx): r.w for r in graph.top_k(kernels.all_pairs(v, dots, r_min=r_min), 3).collect()}
+    sizes = [(r.first, len(r.ids) // 8, len(r.who) // 8) for r in made[0].collect()]
+    assert all(b == 3 * a for _, a, b in sizes) and sum(b for *_, b in sizes) <= 2 * 70 * 2 * 3  # subjects, voxels, parts, k
+
+
+def test_a_round_of_merging_sorts_the_edges_of_what_merges_only(monkeypatch):
+    from voxelgraph.operators import greedy
+
+    sorted_, real = [], greedy._joined
+    monkeypatch.setattr(greedy, "_joined", lambda a, *more: sorted_.append(len(a)) or real(a, *more))
+
+    class Rows:
+        groupBy = lambda self, *a: self
+        applyInPandas = lambda self, run, schema: run
+
+    n = 60  # a hub that all its leaves prefer, one merge a round, and a ring that merges early
+    a = np.concatenate([np.zeros(n - 1, int), n + np.arange(n - 1)])
+    b = np.concatenate([np.arange(1, n), n + 1 + np.arange(n - 1)])
+    w = np.concatenate([np.arange(n - 1) % 7 + 5.0, np.ones(n - 1)])
+    deg = np.bincount(a, w, 2 * n) + np.bincount(b, w, 2 * n)
+    out = greedy._finished(Rows(), 3)(pd.DataFrame({"subject_id": 4, "a": a, "b": b, "w": w, "da": deg[a], "db": deg[b], "m": w.sum()}))
+    assert len(out) == 2 * n - 2 and out["round"].min() == 3 and out["round"].max() >= n  # down to the two parts
+    ring = out[out["kept"] >= n]
+    hub = out[out["kept"] < n].sort_values("round")
+    assert len(ring) == n - 1 and (hub["kept"] == 0).all() and (hub["deg"].diff().dropna() > 0).all()
+    left = 2 * n - 2 - np.cumsum(np.bincount(out["round"] - 3))  # each merge in a tree takes one edge away
+    assert sorted_[0] == 2 * n - 2 and sum(sorted_[1:]) < (left.sum() + sorted_[0]) * 0.8
