@@ -919,3 +919,16 @@ def test_a_round_of_merging_sorts_the_edges_of_what_merges_only(monkeypatch):
     assert len(ring) == n - 1 and (hub["kept"] == 0).all() and (hub["deg"].diff().dropna() > 0).all()
     left = 2 * n - 2 - np.cumsum(np.bincount(out["round"] - 3))  # each merge in a tree takes one edge away
     assert sorted_[0] == 2 * n - 2 and sum(sorted_[1:]) < (left.sum() + sorted_[0]) * 0.8
+
+
+def test_ends_of_several_labellings_are_those_of_each(spark, monkeypatch):
+    v = _lattice(spark)
+    one = v.select("subject_id", "voxel_id", (F.col("voxel_id") % 4).cast("int").alias("label")).where("voxel_id <> 7")
+    two = v.select("subject_id", "voxel_id", (F.col("voxel_id") % 3).cast("int").alias("label")).where("voxel_id > 11")
+    either = lambda df: df.groupBy("subject_id", F.least("li", "lj"), F.greatest("li", "lj")).agg(F.round(F.sum("w"), 9))
+    rows = lambda df: sorted(map(tuple, either(df).collect()))
+    passes, real = [], pairs.tiles
+    monkeypatch.setattr(pairs, "tiles", lambda *a, **k: passes.append(1) or real(*a, **k))
+    got = [rows(e) for e in kernels.correlation_ends_of(v, [one, two], 0.2, block_size=16)]
+    assert len(passes) == 1
+    assert got == [rows(kernels.correlation_ends(v, labels, 0.2, block_size=64)) for labels in (one, two)]
