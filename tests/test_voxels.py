@@ -932,3 +932,15 @@ def test_ends_of_several_labellings_are_those_of_each(spark, monkeypatch):
     got = [rows(e) for e in kernels.correlation_ends_of(v, [one, two], 0.2, block_size=16)]
     assert len(passes) == 1
     assert got == [rows(kernels.correlation_ends(v, labels, 0.2, block_size=64)) for labels in (one, two)]
+
+
+def test_the_randomized_query_makes_no_edge(spark, monkeypatch):
+    from voxelgraph.operators import spectral, tiled
+    from voxelgraph.plans import queries
+
+    run = lambda: {r.voxel_id: r.label for r in queries.queries()["spectral_randomized"](spark, "/root/testdata/sf0.001").collect()}
+    whole = run()
+    monkeypatch.setattr(spectral, "DENSE", 100)
+    made, real = [], tiled.TiledGraph.edges
+    monkeypatch.setattr(tiled.TiledGraph, "edges", lambda self: made.append(self.rows.count()) or real(self))
+    assert run() == whole and made == [0]  # edges of no subject
